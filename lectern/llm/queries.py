@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import ngram_jaccard as t
+
+    return t.classes(documents(spark, sf_dir))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import token_output as t
 
@@ -51,6 +57,22 @@ def oracle_sql() -> dict[str, str]:
     return {k[4:].lower(): v.strip() for k, v in globals().items() if k.startswith("SQL_")}
 
 
+SQL_OP3_NGRAM_JACCARD = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON c.a = x.doc_id JOIN sizes y ON c.b = y.doc_id WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+pair AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, c) AS (SELECT doc_id, doc_id FROM words UNION SELECT b, c FROM reached JOIN pair ON reached.doc_id = pair.a)
+SELECT words.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY words.doc_id
+"""
+
 SQL_OP6_DECONTAMINATION = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
