@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import embedding_neardup as t
+
+    return t.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import ngram_jaccard as t
 
@@ -57,6 +63,17 @@ def oracle_sql() -> dict[str, str]:
     return {k[4:].lower(): v.strip() for k, v in globals().items() if k.startswith("SQL_")}
 
 
+SQL_OP1_EMBEDDING_NEARDUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM reached JOIN links ON reached.vec_id = links.a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM reached LEFT JOIN counts USING (vec_id) GROUP BY vec_id
+"""
+
 SQL_OP3_NGRAM_JACCARD = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
