@@ -22,6 +22,12 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import lm_scoring as t
+
+    return t.score(documents(spark, sf_dir).select("doc_id", "text"), bucket_of_id("doc_id", 5) == 1)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import ngram_jaccard as t
 
