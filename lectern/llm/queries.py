@@ -55,6 +55,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import suffix_dedup as t
+
+    return t.digests(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import bpe as t
 
@@ -118,3 +124,22 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+SQL_OP9_SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i FROM d WHERE length(h) >= 100)),
+least AS (SELECT hash(s) AS k, s, min(doc_id) AS low FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT p.doc_id, p.i FROM p JOIN least USING (s) WHERE low < p.doc_id),
+runs AS (SELECT doc_id, i, CASE WHEN i <= 50 + lag(i) OVER w THEN 0 ELSE 1 END AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM runs) GROUP BY doc_id, r),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(CAST(length(h) / 2 AS BIGINT)) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
