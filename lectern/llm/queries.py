@@ -55,6 +55,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight arrivals by a hash of the id, compacted; each document as the last version's shards hold it."""
+    from pyspark.sql import functions as F
+
+    from lectern.llm import sharding as t
+
+    store = t.ShardStore(spark, scratch(spark, "shards"))
+    store.append_each(documents(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8))), "arrival")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import line_dedup as t
+
+    return t.digests(documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import suffix_dedup as t
 
@@ -125,6 +144,10 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+SQL_OP7_SHARDING = """
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5, lang, source, n_chars FROM documents
+"""
+
 SQL_OP9_SUFFIX_DEDUP = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS i FROM d WHERE length(h) >= 100)),
