@@ -86,18 +86,27 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return self.own.library.decode(ids, skip_special_tokens=False) if ids else ""
 
+    def decoded(self, ids: np.ndarray, o: np.ndarray) -> list[bytes]:
+        """The decoding of each text's ids in UTF-8."""
+        if self.plain:
+            return self._joined(ids, o, self.name)
+        return [self.decode(ids[a:b].tolist()).encode() for a, b in zip(o, o[1:], strict=False)]
+
+    def decimals(self, ids: np.ndarray, o: np.ndarray) -> list[bytes]:
+        """Each text's ids in decimal with a space between."""
+        return self._joined(ids, o, self.decimal)
+
+    @staticmethod
+    def _joined(ids: np.ndarray, o: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+        flat, start = parts
+        made, before = gather(flat, start[ids], start[ids + 1])
+        at = before[o].tolist()
+        return [made[a : max(a, b - 1)].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
     def written(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
-        """Of each text, how many ids, they in decimal with a space between, and their decoding."""
+        """Of each text, how many ids, they in decimal, and their decoding."""
         ids, o = self.own.encode(texts)
-        out = []
-        for decoding, (flat, start) in ((False, self.decimal), (True, self.name)):
-            if decoding and not self.plain:
-                out.append([self.decode(ids[a:b].tolist()).encode() for a, b in zip(o, o[1:], strict=False)])
-                continue
-            made, before = gather(flat, start[ids], start[ids + 1])
-            at = before[o].tolist()
-            out.append([made[a : max(a, b - 1)].tobytes() for a, b in zip(at, at[1:], strict=False)])
-        return [*zip(np.diff(o).tolist(), *out, strict=True)]
+        return [*zip(np.diff(o).tolist(), self.decimals(ids, o), self.decoded(ids, o), strict=True)]
 
 
 def csr(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +128,12 @@ def _mapper(path: str, text: str, full: bool):
         for whole in batches:
             for batch in pieces(whole, text, STEP):
                 at = batch.schema.get_field_index(text)
-                texts = batch.column(at).to_pylist()
+                ids, o = own.own.encode(batch.column(at).to_pylist())
+                decoded, counts = own.decoded(ids, o), np.diff(o)
                 if full:
-                    ids = own.encode(texts)
-                    counts = [len(x) for x in ids]
-                    added = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())]
+                    added = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.binary()).cast(pa.string())]
                 else:
-                    counts, *both = zip(*own.written(texts), strict=True)
-                    added = [pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()) for made in both]
+                    added = [pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()) for made in (own.decimals(ids, o), decoded)]
                 kept = [k for k in range(batch.num_columns) if k != at or full]
                 names = batch.schema.names
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(counts, pa.int64()), *added], [names[k] for k in kept] + ["n_tokens", "1", "2"])
