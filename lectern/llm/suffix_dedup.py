@@ -99,7 +99,8 @@ def _runs(raw: np.ndarray, o: np.ndarray, piece: int, row: int) -> tuple[np.ndar
     length = so_far[np.append(start[1:], n)] - so_far[start]
     document = np.searchsorted(o, start, "right") - 1
     content = mix(span_hashes(c, start, start + length + LENGTH - 1) + length.astype(U))
-    return np.full(len(start), piece), start, length, low[start], document + row, content
+    seed = mix(low[start] + U(1))  # least values lie low; ranges of keys must not
+    return np.full(len(start), piece), start, length, seed, document + row, content
 
 
 def _seed_request(buckets: int):
