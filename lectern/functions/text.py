@@ -92,10 +92,19 @@ def normalize_dots(c: Column) -> Column:
     return normalize_ws(replaced(c, r"(?<=\.)\.|\.(?=\.)", " dot "))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def in_matches(c: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """The text with ``change`` applied to each match of the pattern."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), change)
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def changed(x: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), change)
+        return F.array_join(F.zip_with(F.split(x, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(c, lambda x: F.when(x.rlike(pattern), changed(x)).otherwise(x))
 
 
 def normalize_slash_context(c: Column) -> Column:
@@ -135,11 +144,17 @@ LIQUIDS = {"ml": "millilitre", "l": "litre"}
 TIMES = {"sec": "second", "s": "second", "min": "minute", "hr": "hour", "h": "hour", "yr": "year", "y": "year"}
 
 
-def _unit(c: Column, symbol: str, name: str, power: str = "") -> Column:
-    """A number and a unit to the number and the unit's name: one pass for 1, one for all else."""
-    tail = rf"\s*{symbol}" + (rf"\s*(?:\^?\s*{power})" if power else "") + r"\b"
-    c = replaced(c, rf"(?iU)(?<!\d)((?<!\d\.)0*1|0*1\.0+){tail}", f"$1 {name}")
-    return replaced(c, rf"(?iU)(\d+(?:\.\d+)?){tail}", f"$1 {plural(name)}")
+def _units(c: Column, names: dict[str, str], power: str = "") -> Column:
+    """Numbers with one of the units (to ``power``) to the number and the unit's name."""
+    pattern = rf"(?iU)(\d+(?:\.\d+)?)\s*({'|'.join(sorted(names, key=len, reverse=True))})" + (rf"\s*(?:\^?\s*{power})" if power else "") + r"\b"
+    one = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    many = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, plural(v))])
+
+    def change(m: Column) -> Column:
+        number, unit = F.regexp_extract(m, pattern, 1), F.lower(F.regexp_extract(m, pattern, 2))
+        return F.concat(number, F.lit(" "), F.when(is_plural_number(number), many[unit]).otherwise(one[unit]))
+
+    return in_matches(c, pattern, change)
 
 
 def normalize_units(c: Column, profile: str = "main") -> Column:
@@ -151,15 +166,20 @@ def normalize_units(c: Column, profile: str = "main") -> Column:
     c = normalize_decimal_commas(F.coalesce(c, F.lit("")))
     for a, b in [*GLYPHS.items(), *(WIDE_SYMBOLS if profile == "step3" else SYMBOLS).items()]:
         c = F.replace(c, F.lit(a), F.lit(b))
+    return normalize_ws(let(c, lambda x: F.when(x.rlike(r"(?U)\d"), _numbers(x, profile)).otherwise(x if profile == "step3" else _moles(x))))
+
+
+def _moles(c: Column) -> Column:
+    return replaced(c, r"(?iU)\bmol\s*/\s*l\b", " mole per litre ")
+
+
+def _numbers(c: Column, profile: str) -> Column:
     kinds: list[tuple[dict[str, str], str, str]] = [(LENGTHS, "cubic ", "3"), (LENGTHS, "square ", "2"), (LENGTHS, "", "")]
     masses = {k: plural(v) for k, v in MASSES.items()} if profile == "step3" else MASSES
     kinds += [(masses, "", ""), (LIQUIDS, "", "")] + ([(TIMES, "", "")] if profile == "step3" else [])
     for names, prefix, power in kinds:
-        for symbol, name in names.items():
-            c = _unit(c, symbol, prefix + name, power)
-    if profile != "step3":
-        c = replaced(c, r"(?iU)\bmol\s*/\s*l\b", " mole per litre ")
-    return normalize_ws(c)
+        c = _units(c, {k: prefix + v for k, v in names.items()}, power)
+    return c if profile == "step3" else _moles(c)
 
 
 def split_sentences(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import filters as f
 from lectern.functions.text import lines_of, normalize_lines, strip
-from lectern.operators.islands import joined
+from lectern.operators.islands import joined, settled
 from lectern.operators.lines import reading_order
 
 #: Largest steps inside a block, and the step from which lines are kept apart, in points.
@@ -44,8 +44,9 @@ def merge(lines: DataFrame, *, profile: str = "main", order: str = "line_no", re
     rows = rows.withColumn("block_no", F.sum(F.col("starts").cast("int")).over(w)).withColumn("piece", F.when(F.col("starts"), F.col("text")).otherwise(F.concat("apart", "text")))
     out = rows.groupBy("doc_id", "block_no").agg(F.min_by("type", "at").alias("type"), F.min_by("page", "at").alias("page"), F.min_by("y", "at").alias("y"), F.count("*").alias("n_lines"), joined("at", "piece").alias("text"))
     if profile == "main":
-        out = out.withColumn("text", reflow(normalize_lines(F.col("text"))) if reflowed else normalize_lines(F.col("text")))
-    return out.withColumn("text", strip(F.col("text"))).where("text <> ''")
+        text = normalize_lines(F.col("text"))
+        return settled(out, "text", reflow(text) if reflowed else text).where("text <> ''")
+    return settled(out, "text", strip(F.col("text"))).where("text <> ''")
 
 
 def reflow(c: Column, profile: str = "main") -> Column:

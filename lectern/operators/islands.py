@@ -17,3 +17,9 @@ def numbered(rows: DataFrame, starts: Column, *, by: list[str], order: list[Colu
     """``name``: how many rows so far start an island."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+
+
+def settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` behind a barrier: later filters use the column and do not compute ``value`` anew."""
+    kept = [c for c in rows.columns if c != name]
+    return rows.select(*kept, F.explode(F.array(value)).alias(name))

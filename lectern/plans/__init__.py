@@ -10,6 +10,7 @@ from lectern.functions import text as t
 from lectern.functions.tokens import held_tables, marked_tables, narrate_formulas, replace_tables, restored
 from lectern.operators import blocks as b
 from lectern.operators import chunks, formulas, lines, sections, tables, toc
+from lectern.operators.islands import settled
 
 
 def normalized_text(c: Column) -> Column:
@@ -28,7 +29,7 @@ def normalize_sections(found: DataFrame, told: DataFrame | None = None) -> DataF
     if told is not None:
         said = told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("formula_id", "text"))).alias("__told"))
         out = out.join(said, "doc_id", "left").withColumn("text", narrate_formulas(F.col("text"), F.col("__told"))).drop("__told")
-    out = out.withColumn("text", normalized_text(F.col("text")))
+    out = settled(out, "text", normalized_text(F.col("text")))
     return formulas.append_to_sections(out, told) if told is not None else out
 
 
@@ -42,10 +43,10 @@ def wide_text(c: Column) -> Column:
 def normalize_blocks(found: DataFrame) -> DataFrame:
     """Blocks in the wider form, table tokens kept, without page markers, boilerplate lines and remains of two characters."""
     out = found.withColumn("__held", held_tables(F.col("text"))).withColumn("text", t.norm_unicode(marked_tables(F.col("text"))))
-    out = out.withColumn("text", wide_text(F.col("text"))).withColumn("text", restored(F.col("text"), F.col("__held"))).drop("__held")
+    out = settled(out, "text", restored(wide_text(F.col("text")), F.col("__held"))).drop("__held")
     out = out.where(~((~F.col("text").contains("\n")) & f.page_marker(F.col("text"), "step3")))
     kept = F.filter(F.split("text", "\n"), lambda x: (t.strip(x) != "") & ~f.boilerplate(x))
-    out = out.withColumn("text", F.when(F.exists(F.split("text", "\n"), f.boilerplate), t.strip(F.array_join(kept, "\n"))).otherwise(F.col("text")))
+    out = settled(out, "text", F.when(F.exists(F.split("text", "\n"), f.boilerplate), t.strip(F.array_join(kept, "\n"))).otherwise(F.col("text")))
     contents = (F.col("type") == "heading") & (F.lower(t.strip(F.col("text"))) == "contents")
     return out.where((F.length(t.strip(F.translate("text", "\n", ""))) > 2) & ~contents)
 
@@ -54,7 +55,7 @@ def spoken_blocks(found: DataFrame, explanations: DataFrame) -> DataFrame:
     """Blocks with table tokens explained (``id, text``), normalised, without furniture and contents."""
     told = explanations.agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("told"))
     out = found.crossJoin(F.broadcast(told)).withColumn("text", replace_tables(F.col("text"), F.col("told"))).drop("told")  # told is one row
-    out = out.withColumn("text", t.normalize_ws(t.fix_decimal_spacing(t.remove_dot_leaders(t.norm_unicode(F.col("text"))))))
+    out = settled(out, "text", t.normalize_ws(t.fix_decimal_spacing(t.remove_dot_leaders(t.norm_unicode(F.col("text"))))))
     out = out.where((F.length("text") > 2) & ~f.page_marker(F.col("text"), "step4") & ~f.boilerplate(F.col("text")))
     return toc.drop_from_blocks(out)
 
