@@ -27,7 +27,7 @@ from lectern.llm.pretokens import gather
 #: Bytes of a repeated string, of a seed, and of the first rank.
 LENGTH, SEED, FIRST = 50, 20, 13
 #: Ranges of seeds for each group's answer, in shuffle partitions.
-RANGES = 4
+RANGES = 16
 NONE = np.iinfo(np.int64).max
 
 
