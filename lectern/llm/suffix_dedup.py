@@ -25,7 +25,7 @@ from lectern.llm.exchange import ANSWER, REQUEST, answered, ask, grouped, packed
 from lectern.llm.pretokens import gather
 
 #: Bytes of a repeated string, of a seed, and of the first rank.
-LENGTH, SEED, FIRST = 50, 20, 13
+LENGTH, SEED, FIRST = 50, 20, 25
 #: Ranges of seeds for each group's answer, in shuffle partitions.
 RANGES = 16
 NONE = np.iinfo(np.int64).max
