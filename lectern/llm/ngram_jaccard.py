@@ -162,7 +162,7 @@ def _sender(buckets: int, doc_id: str, text: str):
             for batch in pieces(whole, text):
                 for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                     if not len(s) or doc is None:
-                        rows.append([doc or 0, 0, -1 if doc is None else 0, *[0] * COMPACT])
+                        rows.append([doc or 0, 0, -1 - len(s) if doc is None else 0, *[0] * COMPACT])
                         continue
                     for key in sketch_keys(s):
                         keys.append(key)
@@ -258,8 +258,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = 2 * shuffles(docs.sparkSession)
     found = stored(own.mapInArrow(_sender(buckets, "doc_id", "text"), _PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_receiver, _FOUND), "sketches")
-    signed = found.where(F.col("kind") == _DOCS).select(F.when(F.col("n") >= 0, F.col("a")).alias("doc_id"), F.col("b").alias("digest"), F.greatest("n", F.lit(0)).alias("n"), *[f"s{k}" for k in range(COMPACT)])
-    texts = signed.where(F.col("n") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(COMPACT)])
+    signed = found.where(F.col("kind") == _DOCS).select(F.when(F.col("n") >= 0, F.col("a")).alias("doc_id"), F.col("b").alias("digest"), F.when(F.col("n") >= 0, F.col("n")).otherwise(-1 - F.col("n")).alias("n"), *[f"s{k}" for k in range(COMPACT)])
+    texts = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(COMPACT)])
     texts = stored(texts, "texts")
     numbered = own.where("doc_id is not null")
     edges = found.where(F.col("kind") == _EDGES).select("a", "b").distinct()
