@@ -74,5 +74,12 @@ def bucket_of_id(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def drawn(df: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of ``column``; what tasks send is bounded in all, not each."""
+    key = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(1 << 40))
+    share = min(1.0, 2 * most / max(1, df.count()))
+    return df.where(key < int(share * (1 << 40)) + 1).orderBy(key, column).limit(most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

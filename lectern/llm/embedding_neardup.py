@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffles, stored
+from lectern.llm.common import drawn, shuffles, stored
 from lectern.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -204,9 +204,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id:
 
 def _one_size(usable: DataFrame, dimensions: int, threshold: float) -> DataFrame:
     spark = usable.sparkSession
-    drawn = [r[0] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()]
+    found = [r[0] for r in drawn(usable, "vec_id", SAMPLE).select("embedding").collect()]
     r = np.random.default_rng(3)
-    sample = units(np.array(drawn))
+    sample = units(np.array(found))
     wanted = min(CENTRES, -(-usable.count() // BLOCK))
     centres = sample[r.permutation(len(sample))[:wanted]]
     kind = usable.schema["embedding"].dataType.simpleString()

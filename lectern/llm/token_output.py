@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import pieces
-from lectern.llm.common import shuffles
+from lectern.llm.common import drawn, shuffles
 from lectern.llm.pretokens import Pretokens
 
 #: The dictionary is trained on at most this many documents' first characters; it affects size only.
@@ -43,7 +43,7 @@ def _dtype(path: str) -> np.dtype:
 
 
 def _train(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> bytes:
-    rows = docs.select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h").limit(SAMPLE_DOCS).collect()
+    rows = drawn(docs.select(doc_id, F.substring(text, 1, SAMPLE_CHARS).alias("t")), doc_id, SAMPLE_DOCS).collect()
     ids, o = _pretokens(path).encode([r.t for r in rows])
     kind = _dtype(path)
     samples = [np.append(ids[a:b], end_id).astype(kind).tobytes() for a, b in zip(o, o[1:], strict=False)]
