@@ -102,12 +102,12 @@ def ask(requests: DataFrame, buckets: int, kind: str, combine) -> DataFrame:
     return requests.repartitionById(buckets, F.col("bucket")).mapInArrow(run, ANSWER)
 
 
-def grouped(docs: DataFrame, text: str, *also: Column | str) -> tuple[DataFrame, int]:
-    """``docs`` dealt into groups ``g`` of about ``GROUP_BYTES`` of text, and the number of buckets to ask.
+def grouped(docs: DataFrame, text: str, *also: Column | str) -> tuple[DataFrame, int, int]:
+    """``docs`` dealt into groups ``g`` of about ``GROUP_BYTES`` of text, the number of buckets to ask, and the bytes of text.
 
     One exchange serves every pass of a query that groups the result by ``g``.
     """
     n = shuffles(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(n, -(-size // GROUP_BYTES))
-    return docs.select("*", *also).withColumn("g", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(groups))).repartition(n, "g"), n
+    return docs.select("*", *also).withColumn("g", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(groups))).repartition(n, "g"), n, size

@@ -195,7 +195,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     automaton that the answers make.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    dealt, buckets = grouped(own, "text")
+    dealt, buckets, _ = grouped(own, "text")
     counted = ask(dealt.groupBy("g").applyInArrow(_count_request(buckets), REQUEST), buckets, np.uint32, _add_counts)
     pairs = dealt.groupBy("g").cogroup(counted.groupBy("g")).applyInArrow(_followers_request(buckets), REQUEST)
     followed = ask(pairs, buckets, np.uint32, _add_followers)

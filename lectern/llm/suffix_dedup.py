@@ -26,8 +26,8 @@ from lectern.llm.pretokens import gather
 
 #: Bytes of a repeated string, of a seed, and of the first rank.
 LENGTH, SEED, FIRST = 50, 20, 25
-#: Ranges of seeds for each group's answer, in shuffle partitions.
-RANGES = 16
+#: Bytes of the corpus for each range of seeds (at least one range a shuffle partition).
+RANGE_BYTES = 1 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -267,8 +267,8 @@ def _finish(full: bool):
 
 def _answers(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt, n = grouped(own, "text")
-    buckets = RANGES * n
+    dealt, n, size = grouped(own, "text")
+    buckets = max(n, -(-size // RANGE_BYTES))
     seeds = ask(dealt.groupBy("g").applyInArrow(_seed_request(buckets), REQUEST), buckets, np.uint8, _shared)
     runs = dealt.groupBy("g").cogroup(seeds.groupBy("g")).applyInArrow(_run_request(buckets), REQUEST)
     ranked = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_rank, ANSWER)
