@@ -27,8 +27,6 @@ DISTANCE = 3
 EDITS = 10
 #: Bits of each block.
 BLOCKS = (13, 13, 13, 13, 12)
-#: A longer line's words are hashed in runs of words.
-COUNTED = 60_000
 #: Words of a run; runs kept of a line, about; least characters of a run, but for lines of ``SHORT`` words.
 RUN, RUNS, LEAST, SHORT = 3, 16, 16, 8
 #: A key found this often among a sixteenth of the lines is first joined with one line.
@@ -61,30 +59,21 @@ def line_keys(line: Column) -> Column:
     return F.transform(F.transform(F.array(line), lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("words"))), lambda x: of(x["line"], x["words"]))[0]
 
 
-def features(words: Column) -> Column:
-    """The words, or of a very long line its runs of words, so that counters cannot overflow."""
-    n = F.size(words)
-    run = F.greatest(F.ceil(n / F.lit(COUNTED)).cast("int"), F.lit(1))
-    return F.when(n <= COUNTED, words).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), run), lambda i: F.array_join(F.slice(words, i, run), " ")))
-
-
 def simhashes(lines: DataFrame, *keys: str) -> DataFrame:
     """``keys`` and ``sim``: the majority of the bits of the hashes of a line's words.
 
-    Bits are counted in three fields of 21 bits in each of 22 longs, summed
-    per line; sums of a task's rows go on, not its words.
+    Bits are counted in two fields of 32 bits in each of 32 longs, more than a
+    line has words, summed per line; sums of a task's rows go on, not its words.
     """
-    hashed = lines.select(*keys, F.explode(features(F.split("line", " "))).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    mask = F.lit(1 | 1 << 22 | 1 << 44)
-    fields = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(mask)).alias(f"c{k}") for k in range(22)]
+    hashed = lines.select(*keys, F.explode(F.split("line", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    mask = F.lit(1 | 1 << 32)
+    fields = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(mask)).alias(f"c{k}") for k in range(32)]
     counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *fields)
     bits = None
-    for k in range(22):
-        for j in range(3):
-            if k + 22 * j < 64:
-                most = 2 * F.shiftrightunsigned(f"c{k}", 22 * j).bitwiseAND(F.lit((1 << 21) - 1 if j < 2 else (1 << 20) - 1)) > F.col("n")
-                bit = F.when(most, F.lit(1 << (k + 22 * j) if k + 22 * j < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-                bits = bit if bits is None else bits.bitwiseOR(bit)
+    for k in range(64):
+        most = 2 * F.shiftrightunsigned(f"c{k % 32}", 32 * (k // 32)).bitwiseAND(F.lit((1 << 32) - 1)) > F.col("n")
+        bit = F.when(most, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+        bits = bit if bits is None else bits.bitwiseOR(bit)
     return counted.select(*keys, bits.alias("sim"))
 
 

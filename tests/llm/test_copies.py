@@ -166,6 +166,14 @@ def test_lines_with_one_edit(spark):
     assert kept == set(range(120))
 
 
+def test_very_long_lines_meet(spark):
+    """A word more at the start and one more at the end of a line of any size leave runs to meet under."""
+    for n in (59_999, 70_000):
+        words = [f"word{k}" for k in range(n)]
+        pair = spark.createDataFrame([(" ".join(words), " ".join(["new", *words, "end"]))], "a string, b string")
+        assert pair.select(F.arrays_overlap(line_dedup.line_keys(F.col("a")), line_dedup.line_keys(F.col("b")))).first()[0]
+
+
 def test_block_keys_meet(spark):
     r = random.Random(9)
     rows = []
