@@ -474,7 +474,7 @@ def table_nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LAYOUT}, {REGIONS} SELECT doc_id, line_no FROM layout WHERE doc_id < 20 AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc_id = layout.doc_id AND r.page = layout.page AND x + 200 >= r.x0 - 3 AND r.x1 >= x - 3 AND y + 10 >= r.y0 - 3 AND r.y1 >= y - 3)"
 )
 def table_region_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = layout(spark, sf_dir).where("doc_id < 20").withColumn("bbox", F.array("x", "y", F.col("x") + 200, F.col("y") + 10))
+    spans = layout(spark, sf_dir).withColumn("bbox", F.array("x", "y", F.col("x") + 200, F.col("y") + 10))
     return lines.outside_regions(spans, _regions(spark, sf_dir)).select("doc_id", "line_no")
 
 

@@ -40,3 +40,7 @@ def whole(spark, wide, name, subset):
 @pytest.mark.parametrize("name", ["eqno_regions", "layout_regions", "formula_cascade"])
 def test_formula_regions_of_all_documents(spark, wide, name):
     whole(spark, wide, name, " WHERE doc_id < 200")
+
+
+def test_lines_outside_regions_of_all_documents(spark, wide):
+    whole(spark, wide, "table_region_antijoin", "doc_id < 20 AND ")
