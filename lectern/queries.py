@@ -186,8 +186,7 @@ def ssml_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'T H E', 'g'), '(?i)\\bof\\b', 'o f', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def dictionary_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [{"find": "the", "replace": "T H E", "match_type": "word"}, {"find": "of", "replace": "o f", "match_type": "word"}, {"find": "a", "replace": "b", "enabled": False}]
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("conv_id", "turn", t.apply_dictionary(F.col("text"), rules).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.apply_dictionary(F.col("text"), rules).alias("text"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g'), chr(10) || ' ') AS text FROM conversations""")
@@ -539,8 +538,7 @@ def formula_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     "OR regexp_matches(t, '(?i)\\b(sum|prod|sqrt|lim|log|ln|sin|cos|tan|exp|min|max)\\b') OR (length(regexp_replace(t, '[^=+\\-*/^_(){}\\[\\]]', '', 'g')) >= 2 AND length(regexp_replace(t, '[^0-9]', '', 'g')) >= 2)) AND NOT regexp_matches(t, '[–—­]')"
 )
 def formula_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_lines(spark, sf_dir).where(~F.col("text").rlike("[–—­]"))
-    return rows.where(f.formula_text(F.col("text"))).select("doc_id", "line_no")
+    return doc_lines(spark, sf_dir).where(f.formula_text(F.col("text"))).select("doc_id", "line_no")
 
 
 def _formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over whole tables, also where the registered SQL takes a subset of the rows."""
 
 import os
+import re
 
 import pytest
 
@@ -44,3 +45,21 @@ def test_formula_regions_of_all_documents(spark, wide, name):
 
 def test_lines_outside_regions_of_all_documents(spark, wide):
     whole(spark, wide, "table_region_antijoin", "doc_id < 20 AND ")
+
+
+def test_dictionary_on_all_rows(spark):
+    """Against Python's word boundaries."""
+    given = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    found = queries()["dictionary_apply"](spark, DATA).collect()
+
+    def brute(text):
+        return text and re.sub(r"(?i)\bof\b", "o f", re.sub(r"(?i)\bthe\b", "T H E", text))
+
+    assert any(not r.text.isascii() for r in given if r.text)
+    assert sorted(map(str, ((r.conv_id, r.turn, brute(r.text)) for r in given))) == sorted(map(str, map(tuple, found)))
+
+
+def test_formula_flag_on_lines_with_dashes(spark, tmp_path):
+    texts = ["x = 1 – 2", "x = 1 — 2", "x = a\u00adb", "plain – words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in queries()["formula_text_flag"](spark, str(tmp_path)).collect()} == {0, 1, 2}
