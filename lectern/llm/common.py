@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 #: Id lists of at most this many rows may be broadcast (16 bytes a row in Spark's long map).
 BROADCAST_IDS = 1_000_000
 
-_OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine, but only in local mode, where
+    driver and executors are one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="lectern-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = os.path.join(os.getcwd() if not os.access("/tmp", os.W_OK) else "/tmp", f"lectern-{os.getpid()}")
     return path.rstrip("/")
 
 
@@ -52,7 +58,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of intermediates that nothing will read any more."""
+    for df in frames:
+        _, path = _PATHS.pop(id(df))
+        delete(df.sparkSession, path)
 
 
 def shuffles(spark: SparkSession) -> int:

@@ -1,151 +1,232 @@
-"""Fuzzy line deduplication: shared halves and runs of words of normalised lines, edit similarity, one occurrence a group.
+"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole join of its blocks, edit similarity, one occurrence a group.
 
 A line is normalised to lower case with every run of other characters than
-letters and digits as one space. Two different lines link when their
-Levenshtein distance is at most a tenth of the longer. Of all occurrences of
-the lines of a connected group the first stays, by document id and line
-number. Lines without letters and digits always stay.
-
-Everything is DataFrame operations. Lines are compared when they share a half
-(after a single edit the first or the last half is untouched, so that none of
-those is missed) or one of the sampled runs of ``RUN`` words. With more edits a
-link is missed if each sampled run is hit; README.md has the measured recall.
+letters and digits as one space. Two lines link when at most a tenth (rounded:
+``(n + 5) div 10``) of the longer's ``n`` words are put in, taken out or
+replaced, the order of words counting. Of all occurrences of the lines of a
+connected group the first stays, by document id and line number. Lines without
+letters and digits always stay.
+
+The SimHash has ``PARTS`` blocks of 32 bits. A word's hash names the block that
+it votes on, so a replaced word touches two blocks at most and a word put in or
+taken out one, wherever it stands. Lines that agree in any two blocks are
+compared: after one edit two blocks are always left, after several with a
+chance that README.md gives as measured. Two blocks that hold fewer than
+``LEAST`` words together say too little and are not joined on.
+
+Everything is DataFrame operations. Equal lines are known by two 64-bit hashes;
+lines that share only one of them are left alone. Edits are counted on strings
+of one code point a word, out of a million, so a pair that is one edit too far
+passes with a chance of some 1e-6.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_IDS, keep_ids, stored
+from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, shuffles, stored
 from lectern.llm.components import connected_components
 
-DISTANCE = 3
-#: Greatest edit distance in hundredths of the longer line.
-EDITS = 10
-#: Bits of each block.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Words of a run; runs kept of a line, about; least characters of a run, but for lines of ``SHORT`` words.
-RUN, RUNS, LEAST, SHORT = 3, 16, 16, 8
-#: A key found this often among a sixteenth of the lines is first joined with one line.
+#: Blocks of the SimHash; longs of eight 8-bit counters for a block's 32 bits.
+PARTS, LONGS = 4, 4
+#: Words whose votes are counted in 8 bits; longer lines are counted in pieces.
+PIECE = 127
+#: Words that the two blocks of a key must hold.
+LEAST = 3
+#: Edited words allowed: (words + 5) div TENTH.
+TENTH = 10
+#: A key found this often among a sixteenth of the lines is dealt without a shuffle of its lines.
 HOT = 16
+#: Code points that stand for words.
+CODES = 1_000_000
 
+_RUN = r" [^\p{L}\p{N}\n]+|[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*"
+_ROW = ["doc_id", "row", "line_no"]
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
+def normalised(text: Column) -> Column:
+    """Lower case, every run of other characters than letters, digits and line breaks as one space."""
+    return F.regexp_replace(F.lower(text), _RUN, " ")
 
-def line_keys(line: Column) -> Column:
-    """Hashes under which a line meets others: its halves, and its runs of words with the least hashes.
 
-    The share of runs kept falls with the number of words; of two lines the
-    longer's share is part of the shorter's, at every size. Lines that are too
-    short for any edit have no keys.
+def allowed(a: str, b: str) -> Column:
+    return F.expr(f"cast((greatest({a}, {b}) + 5) div {TENTH} as int)")
+
+
+def _each(mask: int, width: int) -> int:
+    return sum(mask << k for k in range(0, 64, width))
+
+
+def simhashes(words: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``keys`` and, of each, the blocks ``b0`` to ``b3`` and their words ``n0`` to ``n3``.
+
+    ``words`` has a row a word: ``keys``, ``n`` words in all, place ``p`` and
+    hash ``h``. Bits are counted eight to a long, for up to ``PIECE`` words, so
+    that sums never overflow; the pieces of longer lines are then added up in
+    counters of 32 bits. A bit is set that more than half of a block's words have.
+    """
+    part, ones = F.shiftrightunsigned("h", 62), F.lit(_each(1, 8))
+    votes = [F.sum(F.when(part == p, F.shiftrightunsigned("h", f).bitwiseAND(ones)).otherwise(F.lit(0).cast("long"))).alias(f"c{p}{f}") for p in range(PARTS) for f in range(LONGS)]
+    sizes = [F.sum(F.when(part == p, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))).alias(f"n{p}") for p in range(PARTS)]
+    counted = stored(words.withColumn("piece", F.expr(f"p div {PIECE}")).groupBy(*keys, n, "piece").agg(*votes, *sizes).drop("piece"), "votes")
+
+    def majority(fields: list[tuple[Column, int]], width: int, size: Column) -> Column:
+        """Fields of ``width`` bits with a free bit each; the carry of field + threshold is the bit."""
+        full = (1 << (width - 2)) - 1
+        threshold = (F.lit(full) - F.floor(size / 2).cast("long")) * F.lit(_each(1, width))
+        out = None
+        for field, to in fields:
+            bit = F.shiftleft(F.shiftrightunsigned(field + threshold, width - 2).bitwiseAND(F.lit(_each(1, width))), to)
+            out = bit if out is None else out.bitwiseOR(bit)
+        return out
+
+    short, long = counted.where(F.col(n) <= PIECE), counted.where(F.col(n) > PIECE)
+    eight = F.lit(_each(0xFF, 16))
+    blocks = []
+    for p in range(PARTS):
+        halves = [(F.shiftrightunsigned(f"c{p}{f}", 8 * k).bitwiseAND(eight), f + 8 * k) for f in range(LONGS) for k in range(2)]
+        blocks.append(majority(halves, 16, F.col(f"n{p}")).alias(f"b{p}"))
+    names = [f"n{p}" for p in range(PARTS)]
+    near = short.select(*keys, n, *blocks, *names)
+    wide = _each(0xFF, 32)
+    sums = [F.sum(F.shiftrightunsigned(f"c{p}{f}", 8 * k).bitwiseAND(F.lit(wide))).alias(f"c{p}{f}{k}") for p in range(PARTS) for f in range(LONGS) for k in range(4)]
+    total = long.groupBy(*keys, n).agg(*sums, *[F.sum(x).alias(x) for x in names])
+    blocks = [majority([(F.col(f"c{p}{f}{k}"), f + 8 * k) for f in range(LONGS) for k in range(4)], 32, F.col(f"n{p}")).alias(f"b{p}") for p in range(PARTS)]
+    return near.union(total.select(*keys, n, *blocks, *names)), counted
+
+
+def key_columns() -> Column:
+    """A key for each two blocks that hold enough words; others are null."""
+    return F.array(*[F.when(F.col(f"n{i}") + F.col(f"n{j}") >= LEAST, F.xxhash64(F.lit(t), f"b{i}", f"b{j}", f"n{i}", f"n{j}")) for t, (i, j) in enumerate(combinations(range(PARTS), 2))])
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``row``, ``text`` of rows with both; of rows repeated with id and text, one."""
+    own = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    twice = own.groupBy("doc_id").count().where("count > 1")
+    if not twice.limit(1).count():
+        return own.select("doc_id", F.lit(0).cast("long").alias("row"), "text")
+    once = keep_ids(own, twice, "doc_id", "left_anti").unionByName(keep_ids(own, twice, "doc_id").dropDuplicates())
+    return once.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """Every line with letters or digits: where it stands, its hashes ``id`` and ``id2``, words and blocks."""
+    lines = rows.select("doc_id", "row", F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    lines = lines.select(*_ROW, F.trim("line").alias("line")).where("line <> ''")
+    parted = lines.select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.split("line", " ").alias("words")).withColumn("n", F.size("words"))
+    words = parted.select(*_ROW, "id", "id2", "n", F.posexplode("words").alias("p", "w")).withColumn("h", F.xxhash64("w"))
+    out, counted = simhashes(words, [*_ROW, "id", "id2"], "n")
+    out = stored(out, "lines")
+    discard(counted)
+    return out
+
+
+def coded(line: Column) -> Column:
+    """A string of one code point a word."""
+    code = lambda w: F.lpad(F.hex(F.lit(65536) + F.pmod(F.xxhash64(w), F.lit(CODES))), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-32")
+
+
+def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those within the edits allowed; texts come from each line's first occurrence.
+
+    Rows of text are read again where they stand: only lines in a pair are
+    normalised and go on, found by a broadcast of their places while these are
+    counted to be few, else by a join.
     """
-    def of(line: Column, words: Column) -> Column:
-        n, count = F.length(line), F.size(words)
-        starts = F.when(count >= RUN, F.sequence(F.lit(1), F.greatest(count - (RUN - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        hashed = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i, RUN)).alias("h"), i.alias("i")))
-        few = F.filter(hashed, lambda x: F.shiftrightunsigned(x["h"], 40) * count < F.lit(RUNS << 24))  # 24 bits of a hash decide
-        long_enough = F.filter(few, lambda x: (count <= SHORT) | (F.length(F.array_join(F.slice(words, x["i"], RUN), " ")) >= LEAST))
-        halves = []
-        for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-            halves += [F.xxhash64(F.substring(line, F.lit(1), half), F.lit(1)), F.xxhash64(F.substring(line, n - half + 1, half), F.lit(2))]
-        return F.when((n + 1) * EDITS >= 100, F.array_distinct(F.concat(F.array(*halves), long_enough["h"]))).otherwise(F.array().cast("array<bigint>"))
-
-    # lambdas bind the line and its words, which would else be computed anew for each run
-    return F.transform(F.transform(F.array(line), lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("words"))), lambda x: of(x["line"], x["words"]))[0]
-
-
-def simhashes(lines: DataFrame, *keys: str) -> DataFrame:
-    """``keys`` and ``sim``: the majority of the bits of the hashes of a line's words.
-
-    Bits are counted in two fields of 32 bits in each of 32 longs, more than a
-    line has words, summed per line; sums of a task's rows go on, not its words.
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    spot = F.xxhash64(*_ROW).alias("spot")
+    needed = stored(ids.join(first, "id").select("id", "at.*").select("id", *_ROW, spot), "line-places")
+    n = needed.count()
+    raw = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(*_ROW, "line", spot)
+    if n <= BROADCAST_IDS:
+        raw = raw.join(F.broadcast(needed.select("spot")), "spot", "left_semi")
+    found = raw.drop("spot").join(needed.drop("spot"), _ROW).select("id", F.trim(normalised(F.col("line"))).alias("line"))
+    lines = stored(found.select("id", coded(F.col("line")).alias("code")), "line-codes")
+    side = lambda k: lines.select(F.col("id").alias(k), F.col("code").alias(f"code_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = F.expr(f"levenshtein(code_a, code_b, cast((greatest(length(code_a), length(code_b)) + 5) div {TENTH} as int))") >= 0
+    out = stored(both.where(near).select("a", "b"), "line-links")
+    discard(needed, lines)
+    return out
+
+
+def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the lines of each group, over the different lines ``first``.
+
+    The lines of a key are first held against one of them, the most frequent.
+    Where they still fall apart, those outside the key's largest component are
+    held against all of the key's other components.
     """
-    hashed = lines.select(*keys, F.explode(F.split("line", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    mask = F.lit(1 | 1 << 32)
-    fields = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(mask)).alias(f"c{k}") for k in range(32)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *fields)
-    bits = None
-    for k in range(64):
-        most = 2 * F.shiftrightunsigned(f"c{k % 32}", 32 * (k // 32)).bitwiseAND(F.lit((1 << 32) - 1)) > F.col("n")
-        bit = F.when(most, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return counted.select(*keys, bits.alias("sim"))
-
-
-def block_keys(sim: Column) -> Column:
-    """A key for each pair of blocks, the pair's number in the high bits."""
-    start, parts = 0, []
-    for width in BLOCKS:
-        parts.append(F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << width) - 1)))
-        start += width
-    return F.array(*[F.lit(t << 32) + F.shiftleft(parts[i], 13) + parts[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
-
-
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", normalised("line")).where("line <> ''")
-
-
-def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Of candidate pairs (a, b) those within the edit distance; texts come from each line's first occurrence."""
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(first, "id").select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no")), "line-ids")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = _lines(keep_ids(own, needed.select("doc_id").distinct(), "doc_id"), "doc_id", "text")
-    lines = needed.join(found, ["doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"])
-    side = lambda k: lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"))
-    longer = F.greatest(F.length("line_a"), F.length("line_b"))
-    allowed = F.floor(longer * F.lit(EDITS) / 100).cast("int")
-    near = F.abs(F.length("line_a") - F.length("line_b")) <= allowed
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
-    return both.withColumn("d", F.expr(f"levenshtein(line_a, line_b, cast(floor(greatest(length(line_a), length(line_b)) * {EDITS} / 100) as int))")).where("d >= 0").select("a", "b")
+    keyed = first.where(F.col("sole") & (F.col("n") >= TENTH // 2)).select("id", "n", "often", F.explode(key_columns()).alias("key")).where("key is not null")
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= allowed(x, y)
+    rank = F.shiftleft(F.least("often", F.lit(1 << 30)), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 32) - 1)))
+    hot = stored(keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").count().where(F.col("count") >= HOT).select("key"), "hot-keys")
+    n_hot = hot.count()
+    by_key = Window.partitionBy("key")
+    cold = keep_ids(keyed, hot, "key", "left_anti") if n_hot else keyed
+    headed = cold.withColumn("rank", rank).withColumn("top", F.max("rank").over(by_key)).withColumn("several", F.min("rank").over(by_key) < F.col("top")).where("several")
+    headed = headed.withColumn("head", F.max(F.when(F.col("rank") == F.col("top"), F.col("id"))).over(by_key)).withColumn("head_n", F.max(F.when(F.col("rank") == F.col("top"), F.col("n"))).over(by_key))
+    members = headed.select("key", "id", "n", "head", "head_n")
+    if n_hot:
+        few = n_hot <= BROADCAST_IDS // 8
+        warm = keyed.withColumn("rank", rank).join(F.broadcast(hot) if few else hot, "key")
+        tops = stored(warm.groupBy("key").agg(F.max_by("id", "rank").alias("head"), F.max_by("n", "rank").alias("head_n")), "hot-heads")
+        members = members.union(warm.join(F.broadcast(tops) if few else tops, "key").select("key", "id", "n", "head", "head_n"))
+    members = stored(members, "line-keys")
+    stars = members.where((F.col("id") != F.col("head")) & near("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    links = _verified(stored(stars.distinct(), "line-pairs"), first, rows)
+    placed = members.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = stored(placed, "placed-lines")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("lines"))
+    most = stored(sizes.groupBy("key").agg(F.max_by("component", F.shiftleft("lines", 32).bitwiseOR(F.col("component").bitwiseAND(F.lit((1 << 32) - 1)))).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "most"), "mixed-keys")
+    crowd = placed.join(most, "key")
+    x, y = crowd.where("component <> most").alias("x"), crowd.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near("x.n", "y.n") & apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = stored(pairs, "line-pairs")
+    discard(members, placed, most)
+    if not pairs.limit(1).count():
+        return links
+    return links.union(_verified(pairs, first, rows))
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_lines`` (with letters or digits), ``removed`` (their numbers from 0) for every document with such a line."""
-    lines = _lines(docs, doc_id, text).withColumn("id", F.xxhash64("line"))
-    seen = stored(lines.select("doc_id", "line_no", "id", F.length("line").alias("n"), line_keys(F.col("line")).alias("keys")), "lines")
-    at = F.struct("doc_id", "line_no")
-    first = stored(seen.groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "first-lines")
-
-    def keyed(of: DataFrame) -> DataFrame:
-        return of.select("id", "n", "component", F.explode("keys").alias("key"))
-
-    near = lambda x, y: F.abs(F.col(x) - F.col(y)) * 100 <= F.greatest(x, y) * EDITS
-    plain = first.select("id", "n", "keys", F.col("id").alias("component"))
-    hot = stored(keyed(plain.where(F.pmod("id", F.lit(16)) == 0)).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "n")).alias("head")).where(F.col("n") >= HOT).select("key", "head"), "hot-blocks")
-    links, placed = None, plain
-    n = hot.count()
-    if n:
-        heads = F.broadcast(hot) if n <= BROADCAST_IDS // 8 else hot
-        stars = keyed(plain).join(heads, "key").where((F.col("id") != F.col("head.id")) & near("n", "head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = stored(_verified(stored(stars, "line-pairs"), first, docs, doc_id, text), "line-links")
-        known = connected_components(links).withColumnRenamed("node", "id")
-        placed = stored(first.select("id", "n", "keys").join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed-lines")
-    k = keyed(placed)
-    meet = (F.col("x.key") == F.col("y.key")) & near("x.n", "y.n")
-    both = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    cold = k.join(heads.select("key"), "key", "left_anti") if n else k
-    pairs = cold.alias("x").join(cold.alias("y"), meet & (F.col("x.component") < F.col("y.component"))).select(*both)
-    if n:  # of a hot key's lines most are of one component by now; only the others need to be held against all
-        crowd = k.join(heads.select("key"), "key")
-        most = crowd.groupBy("key", "component").agg(F.count("*").alias("lines")).groupBy("key").agg(F.max_by("component", F.struct("lines", "component")).alias("most"))
-        few = stored(crowd.join(F.broadcast(most) if n <= BROADCAST_IDS // 8 else most, "key").where("component <> most").drop("most"), "few-lines")
-        pairs = pairs.union(few.alias("x").join(crowd.alias("y"), meet & (F.col("x.component") != F.col("y.component"))).select(*both))
-    pairs = stored(pairs.distinct(), "line-pairs")
-    more = stored(_verified(pairs, first, docs, doc_id, text), "line-links")
-    component = connected_components(more if links is None else links.union(more)).withColumnRenamed("node", "id")
-    grouped = first.select("id", "at").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """``doc_id``, ``row``, ``n_lines`` (with letters or digits), ``removed`` (their numbers from 0) for every row with such a line.
+
+    ``row`` is 0 where ids are unique, else the hash of the row's text.
+    """
+    rows = _rows(docs, doc_id, text)
+    seen = _seen(rows)
+    blocks = [F.first(f"{k}{p}").alias(f"{k}{p}") for k in "bn" for p in range(PARTS)]
+    first = seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at"), F.first("n").alias("n"), *blocks)
+    first = stored(first, "first-lines")
+    component = connected_components(_links(first, rows)).withColumnRenamed("node", "id")
+    grouped = first.where("sole").select("id", "at", "often").join(component, "id", "left").where("often > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     stay = grouped.groupBy("component").agg(F.min("at").alias("stay"))
-    decided = grouped.join(stay, "component").select("id", "stay")
-    return (
-        seen.join(decided, "id")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n_lines"), F.collect_list(F.when((F.col("doc_id") != F.col("stay.doc_id")) | (F.col("line_no") != F.col("stay.line_no")), F.col("line_no"))).alias("removed"))
-    )
+    decided = stored(grouped.join(stay, "component").select("id", "stay"), "line-groups")
+    few = decided.count() <= BROADCAST_IDS // 2
+    gone = seen.select(*_ROW, "id").join(F.broadcast(decided) if few else decided, "id", "left")
+    return gone.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.collect_list(F.when(F.struct(*_ROW) != F.col("stay"), F.col("line_no"))).alias("removed"))
+
+
+def _kept(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with ``name``: the text without the lines ``removed``; as it is where these are null or none."""
+    parts = docs.withColumn("__parts", F.when(F.size("removed") > 0, F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(stay, lambda i: F.col("__parts")[i]), "\n")
+    return parts.withColumn(name, F.when(F.col("__parts").isNull(), F.col(text)).otherwise(kept)).drop("__parts")
+
+
+def _with_removed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``n_lines`` and ``removed``, null where a row has no line with letters or digits."""
+    found = removed_lines(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "n_lines", "removed")
+    same = (F.col(doc_id) == F.col("__id")) & ((F.col("__row") == 0) | (F.col("__row") == F.xxhash64(text)))
+    return docs.join(found, same, "left").drop("__id", "__row")
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", drop_emptied: bool = True) -> DataFrame:
@@ -153,22 +234,21 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A document whose lines with letters or digits were all removed goes, unless
     ``drop_emptied`` is false. Null texts and ids, and texts without such
-    lines, pass unchanged; rows with one id are one document, whose kept lines
-    stay in each row; other columns pass through.
+    lines, pass unchanged. Rows with one id and different texts are told apart
+    and ordered by a hash of the text; rows repeated with id and text are one
+    occurrence and all keep its lines. Other columns pass through, whatever
+    their names.
     """
-    own = "__removed_lines"
-    decided = removed_lines(docs, doc_id=doc_id, text=text).where(F.size("removed") > 0).select(F.col("doc_id").alias(f"{own}_id"), "n_lines", "removed").select(f"{own}_id", F.struct("n_lines", "removed").alias(own))
-    out = docs.join(decided, docs[doc_id] == F.col(f"{own}_id"), "left").drop(f"{own}_id")
+    own = docs.select(F.struct(*docs.columns).alias("__own"), F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    out = _with_removed(own, "__doc", "__text")
     if drop_emptied:
-        out = out.where(F.col(own).isNull() | (F.size(f"{own}.removed") < F.col(f"{own}.n_lines")))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(f"{own}.removed", i)), "\n")
-    return out.withColumn(text, F.when(F.col(own).isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+        out = out.where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines")))
+    out = _kept(out, "__text", "__kept")
+    return out.select(*[F.col("__kept").alias(c) if c == text else F.col("__own")[c].alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id``, ``n_lines`` and ``n_removed`` (of lines with letters or digits) and the SHA-256 of what is left."""
-    decided = removed_lines(docs).withColumnRenamed("doc_id", "id")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    out = docs.select("doc_id", "text").join(decided, F.col("doc_id") == F.col("id"), "left")
-    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) > 0, kept).otherwise(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    out = _kept(_with_removed(docs.select("doc_id", "text"), "doc_id", "text"), "text", "kept")
+    n = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.greatest(n, F.lit(0).cast("long")).alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
