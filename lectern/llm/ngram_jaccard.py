@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import PLAIN_KEEP, U, Words, mix, pieces, window_hashes
-from lectern.llm.common import keep_ids, shuffles, stored
+from lectern.llm.common import BROADCAST_IDS, keep_ids, shuffles, stored
 from lectern.llm.components import connected_components
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
@@ -28,6 +28,8 @@ SHINGLE, PERCENT = 5, 80
 BAND, SPARE = 1.5, 1.3
 #: A sketch word shared by more texts than this is joined by stars and reviewed, by fewer as pairs.
 FEW = 8
+#: Texts of a reviewed key that one task holds the others against.
+SLICE = 4096
 #: A map task deals its sketch words out when it has this many.
 HELD = 1 << 20
 #: 64-bit words of the compact sketch that pre-checks reviewed pairs.
@@ -245,13 +247,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return linked.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
+def _across(members: DataFrame, texts: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a key whose texts lie in different components, and may link across them.
+
+    Under such a key the texts outside its largest component are held against
+    those of all its other components. Texts share many keys; a pair is made
+    under the first only. A key's texts are dealt over tasks by ``SLICE``.
+    """
+    placed = members.join(texts.select("digest", "rep"), "digest").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "digest", F.coalesce("component", "rep").alias("component"))
+    placed = stored(placed, "members")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = stored(mixed, "mixed")
+    few_keys = mixed.count() <= BROADCAST_IDS // 4
+    held = placed.join(F.broadcast(mixed) if few_keys else mixed, "key").groupBy("digest", "component").agg(F.array_sort(F.collect_list(F.struct("key", "most", "total"))).alias("own"))
+    held = held.join(texts.drop("rep"), "digest").select("*", F.posexplode("own").alias("at", "k"))
+    slices = F.ceil(F.col("k.total") / SLICE).cast("int")
+    rows = held.select("digest", "component", "n", *[f"s{k}" for k in range(COMPACT)], "k.key", "k.most", F.transform(F.slice("own", F.lit(1), F.col("at")), lambda x: x["key"]).alias("before"), slices.alias("slices"))
+    x = rows.where("component <> most").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).alias("x")
+    y = rows.withColumn("slice", F.pmod("digest", F.col("slices")).cast("int")).alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.digest") < F.col("y.digest")))
+    once = ~F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & apart & _near("x", "y") & once)
+    return met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``.
 
     Equal sets are one text. Texts that share a sketch word are compared: as
     pairs where few share it, else with the first of them; a word whose texts
     then still lie in different components is reviewed pair by pair across
-    these, so no link is lost. A null or word-less text has an empty set and
+    these, so no link is lost. Texts are known by 64-bit digests of their sets,
+    shingles by 64-bit hashes of strongly hashed words. A null or word-less text has an empty set and
     its own id; a row with a null id takes no part and has a null component;
     repeated rows each get their row. Other columns are not returned.
     """
@@ -267,11 +295,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     links = stored(_verified(pairs, texts, numbered), "links")
     component = connected_components(links)
     members = found.where(F.col("kind") == _MEMBERS).select(F.col("a").alias("key"), F.col("b").alias("digest")).distinct()
-    members = members.join(texts, "digest").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    review = members.join(mixed, "key")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near("x", "y")
-    more = stored(review.alias("x").join(review.alias("y"), across).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
+    more = stored(_across(members, texts, component), "pairs")
     if more.limit(1).count():
         added = stored(_verified(more, texts, numbered), "links")
         component = connected_components(links.union(added))
