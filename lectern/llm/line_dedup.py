@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, shuffles, stored
+from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, stored
 from lectern.llm.components import connected_components
 
 #: Blocks of the SimHash; longs of eight 8-bit counters for a block's 32 bits.
@@ -38,8 +38,10 @@ PIECE = 127
 LEAST = 3
 #: Edited words allowed: (words + 5) div TENTH.
 TENTH = 10
-#: A key found this often among a sixteenth of the lines is dealt without a shuffle of its lines.
+#: A key found this often among a sixteenth of the lines is dealt over several tasks.
 HOT = 16
+#: Lines of a key that go to one task.
+SLICE = 4096
 #: Code points that stand for words.
 CODES = 1_000_000
 
@@ -160,34 +162,36 @@ def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
 
     The lines of a key are first held against one of them, the most frequent.
     Where they still fall apart, those outside the key's largest component are
-    held against all of the key's other components.
+    held against all of the key's other components. Keys of very many lines are
+    known from a sixteenth of the lines, with a line to hold against; theirs are
+    dealt over tasks by ``SLICE``.
     """
     keyed = first.where(F.col("sole") & (F.col("n") >= TENTH // 2)).select("id", "n", "often", F.explode(key_columns()).alias("key")).where("key is not null")
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= allowed(x, y)
     rank = F.shiftleft(F.least("often", F.lit(1 << 30)), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 32) - 1)))
-    hot = stored(keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").count().where(F.col("count") >= HOT).select("key"), "hot-keys")
-    n_hot = hot.count()
-    by_key = Window.partitionBy("key")
-    cold = keep_ids(keyed, hot, "key", "left_anti") if n_hot else keyed
-    headed = cold.withColumn("rank", rank).withColumn("top", F.max("rank").over(by_key)).withColumn("several", F.min("rank").over(by_key) < F.col("top")).where("several")
-    headed = headed.withColumn("head", F.max(F.when(F.col("rank") == F.col("top"), F.col("id"))).over(by_key)).withColumn("head_n", F.max(F.when(F.col("rank") == F.col("top"), F.col("n"))).over(by_key))
-    members = headed.select("key", "id", "n", "head", "head_n")
-    if n_hot:
-        few = n_hot <= BROADCAST_IDS // 8
-        warm = keyed.withColumn("rank", rank).join(F.broadcast(hot) if few else hot, "key")
-        tops = stored(warm.groupBy("key").agg(F.max_by("id", "rank").alias("head"), F.max_by("n", "rank").alias("head_n")), "hot-heads")
-        members = members.union(warm.join(F.broadcast(tops) if few else tops, "key").select("key", "id", "n", "head", "head_n"))
+    keyed = keyed.withColumn("rank", rank).drop("often")
+    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), F.max_by("id", "rank").alias("hot"), F.max_by("n", "rank").alias("hot_n")).where(F.col("count") >= HOT)
+    hot = stored(sample.select("key", "hot", "hot_n", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices")), "hot-keys")
+    dealt = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 8 else hot, "key", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod("id", F.col("slices"))))
+    own = Window.partitionBy("key", "slice")
+    dealt = dealt.withColumn("top", F.max("rank").over(own)).withColumn("several", F.min("rank").over(own) < F.col("top")).where("several or hot is not null")
+    top = lambda c: F.max(F.when(F.col("rank") == F.col("top"), F.col(c))).over(own)
+    members = dealt.withColumns({"top_id": top("id"), "top_n": top("n")}).select("key", "id", "n", F.coalesce("hot", "top_id").alias("head"), F.coalesce("hot_n", "top_n").alias("head_n"))
     members = stored(members, "line-keys")
     stars = members.where((F.col("id") != F.col("head")) & near("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = _verified(stored(stars.distinct(), "line-pairs"), first, rows)
     placed = members.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed-lines")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("lines"))
-    most = stored(sizes.groupBy("key").agg(F.max_by("component", F.shiftleft("lines", 32).bitwiseOR(F.col("component").bitwiseAND(F.lit((1 << 32) - 1)))).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "most"), "mixed-keys")
-    crowd = placed.join(most, "key")
-    x, y = crowd.where("component <> most").alias("x"), crowd.alias("y")
+    largest = F.max_by("component", F.shiftleft("lines", 32).bitwiseOR(F.col("component").bitwiseAND(F.lit((1 << 32) - 1))))
+    most = sizes.groupBy("key").agg(largest.alias("most"), F.count("*").alias("parts"), F.ceil(F.sum("lines") / SLICE).cast("int").alias("slices")).where("parts > 1")
+    most = stored(most.select("key", "most", "slices"), "mixed-keys")
+    crowd = placed.join(F.broadcast(most) if most.count() <= BROADCAST_IDS // 4 else most, "key")
+    x = crowd.where("component <> most").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).alias("x")
+    y = crowd.withColumn("slice", F.pmod("id", F.col("slices")).cast("int")).alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near("x.n", "y.n") & apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.n", "y.n") & apart)
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
     discard(members, placed, most)
     if not pairs.limit(1).count():
