@@ -1,11 +1,13 @@
 """Vectorised byte-level text work for Arrow batches: word bounds, word hashes, window hashes.
 
 All hashes are 64-bit and depend on the bytes only, so any process gets the
-same ones. Words never cross documents.
+same ones. Words never cross documents. Spans of few elements are hashed from
+prefix sums; of words and long spans every bit goes through ``strong_hashes``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,34 @@ def span_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((c[end] - c[start]) * _POWERS.get(len(c))[1][start])
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each span of bytes a hash that takes in eight bytes at a time, mixed after each; BLAKE2 for long spans.
+
+    Unlike sums, it has no strings of a simple make that meet.
+    """
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(length.astype(U) ^ U(_MULT))
+    at = np.flatnonzero(length <= LONG)
+    taken = 0
+    while len(at):
+        left = length[at] - taken
+        if (left <= 0).any():
+            at = at[left > 0]
+            left = length[at] - taken
+        h[at] = mix((h[at] * U(_MULT)) ^ (eight[start[at] + taken] & _MASKS[np.minimum(left, 8)]))
+        taken += 8
+    for k in np.flatnonzero(length > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 #: Words of the contracts: ``[^\x20\x09-\x0D]+`` and ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. NUL is a word byte of the first.
 PLAIN_KEEP = np.ones(256, bool)
 PLAIN_KEEP[[9, 10, 11, 12, 13, 32]] = False
@@ -111,7 +141,7 @@ class Words:
         last[before] = on[1:-1][before]
         self.ends = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = span_hashes(prefix_hashes(self.data), self.starts, self.ends)
+        self.hashes = strong_hashes(self.data, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:

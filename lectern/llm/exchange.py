@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import U
@@ -54,19 +54,25 @@ def unsqueezed(blob: bytes, kind) -> np.ndarray:
 
 def ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds in ascending ``keys`` of each bucket's range."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U)
+    edges = np.arange(1, buckets, dtype=U) * U((1 << 64) // buckets)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
 REQUEST = "bucket int, g long, keys binary, said binary"
-ANSWER = "g long, bucket int, answer binary, extra array<long>"
+ANSWER = "g long, bucket int, answer binary"
 
 
 def request(g: int, keys: np.ndarray, said: np.ndarray, buckets: int) -> pa.Table:
-    """Rows for every bucket, empty ones too, so that each answers every group. ``said`` goes along, one value a key."""
+    """A row for each bucket that holds any of the ascending ``keys``. ``said`` goes along, one value a key."""
+    return rows_by_range(g, keys, buckets, lambda a, b: squeezed(said[a:b]))
+
+
+def rows_by_range(g: int, keys: np.ndarray, buckets: int, said) -> pa.Table:
+    """Rows of a request; ``said(a, b)`` is what goes along with the keys a to b."""
     x = ranges(keys, buckets)
-    rows = [(packed(keys[a:b]), squeezed(said[a:b])) for a, b in zip(x, x[1:], strict=False)]
-    return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "g": pa.array([g] * buckets, pa.int64()), "keys": pa.array([r[0] for r in rows], pa.binary()), "said": pa.array([r[1] for r in rows], pa.binary())})
+    used = np.flatnonzero(x[1:] > x[:-1])
+    spans = [*zip(x[used].tolist(), x[used + 1].tolist(), strict=True)]
+    return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([g] * len(used), pa.int64()), "keys": pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()), "said": pa.array([said(a, b) for a, b in spans], pa.binary())})
 
 
 def answered(rows: pa.Table) -> bytes:
@@ -76,12 +82,15 @@ def answered(rows: pa.Table) -> bytes:
     return b"".join(zstandard.ZstdDecompressor().decompress(blobs[k]) for k in order)
 
 
+def answer(request_row: dict, said: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([request_row["g"]], pa.int64()), pa.array([request_row["bucket"]], pa.int32()), pa.array([said], pa.binary())], ["g", "bucket", "answer"])
+
+
 def ask(requests: DataFrame, buckets: int, kind: str, combine) -> DataFrame:
     """Deal requests to their buckets and answer.
 
     ``combine(keys, said, sender)`` gets the entries of all groups, where
-    ``sender`` numbers them, and returns an answer for each entry and a list of
-    numbers about the whole bucket.
+    ``sender`` numbers them, and returns an answer for each entry.
     """
 
     def run(batches):
@@ -92,22 +101,25 @@ def ask(requests: DataFrame, buckets: int, kind: str, combine) -> DataFrame:
         keys = [unpacked(r["keys"]) for r in rows]
         counts = [len(k) for k in keys]
         said = np.concatenate([unsqueezed(r["said"], kind) for r in rows])
-        answers, extra = combine(np.concatenate(keys), said, np.repeat(np.arange(len(rows)), counts))
+        answers = combine(np.concatenate(keys), said, np.repeat(np.arange(len(rows)), counts))
         at = np.append(0, np.cumsum(counts))
         for k, r in enumerate(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["g"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([squeezed(answers[at[k] : at[k + 1]])], pa.binary()), pa.array([extra], pa.list_(pa.int64()))], ["g", "bucket", "answer", "extra"]
-            )
+            yield answer(r, squeezed(answers[at[k] : at[k + 1]]))
 
     return requests.repartitionById(buckets, F.col("bucket")).mapInArrow(run, ANSWER)
 
 
-def grouped(docs: DataFrame, text: str, *also: Column | str) -> tuple[DataFrame, int, int]:
-    """``docs`` dealt into groups ``g`` of about ``GROUP_BYTES`` of text, the number of buckets to ask, and the bytes of text.
+def buckets_for(docs: DataFrame, size: int, range_bytes: int) -> int:
+    """Ranges of keys for ``size`` bytes of text: as many as the bytes need, at least one a shuffle partition."""
+    return max(shuffles(docs.sparkSession), -(-size // range_bytes))
+
+
+def grouped(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """``docs`` dealt into groups ``g`` of about ``GROUP_BYTES`` of text, and the bytes of text.
 
     One exchange serves every pass of a query that groups the result by ``g``.
     """
     n = shuffles(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(n, -(-size // GROUP_BYTES))
-    return docs.select("*", *also).withColumn("g", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(groups))).repartition(n, "g"), n, size
+    return docs.withColumn("g", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(groups))).repartition(n, "g"), size

@@ -1,11 +1,11 @@
 """Language-model scores from a weighted backoff automaton of smoothed word n-grams.
 
-States are contexts: the start of a document, each word, and below them the
-root. A state's arcs are the words seen after it, weighted with smoothed
+States are contexts: the root, the start of a document, and each word. A
+state's arcs are the words seen after it, weighted with smoothed
 log-probabilities; its failure arc leads to the root at the weight of the
-probability left over. The root has an arc for every known word and one for
-all others. Reading a document from left to right, the automaton follows the
-arc of the next word, or the failure arc and then the root's.
+probability left over. The root has an arc for every word, known or not. A
+text is read once from left to right: the state goes along, and where it has
+no arc for the next word, failure arcs are followed until a state has one.
 
 With counts c and T(h) different words after h, and k = TYPES * T(h) + FLAT:
 
@@ -16,6 +16,7 @@ which sums to one over the V known words and one for all unknown.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,42 +25,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import PLAIN_KEEP, U, Words, mix, pieces
-from lectern.llm.exchange import REQUEST, answered, ask, grouped, request
+from lectern.llm.exchange import GROUP_BYTES, REQUEST, answered, ask, buckets_for, grouped, request, unpacked, unsqueezed
 
 #: Pseudo-counts of the backoff: for each different follower, and flat.
 TYPES, FLAT = 2.0, 5.0
 END, START = U(3), U(5)
+#: Tokens that are read in a row; pieces of texts are read side by side, each from the state that the token before it leads to.
+STRETCH = 256
+ROOT = 0
+#: Bytes of the corpus for each range of keys (at least one range a shuffle partition).
+RANGE_BYTES = 16 << 20
 
 
 @dataclass
 class BackoffAutomaton:
-    """The part of the automaton that a batch of documents can reach."""
-
-    unigrams: np.ndarray  # counts of the batch's words, by word number
-    followers: np.ndarray  # T of the batch's contexts, by word number; the start is last
-    bigrams: np.ndarray  # counts of the batch's pairs, by pair number
-    starts: int  # training documents
-    tokens: int  # N
-    types: int  # V
-
-    def __post_init__(self) -> None:
-        self.root = np.log10((self.unigrams + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
-        context = np.append(self.unigrams, self.starts).astype(float)
-        self.left = TYPES * self.followers + FLAT
-        self.context = context
-        self.failure = np.log10(self.left / (context + self.left))
-
-    def traverse(self, state: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Log-probability of each step: from ``state`` by ``word``, ``pair`` being the number of both.
-
-        Every step's state is the word before it, so that all steps of a batch
-        are taken at once.
-        """
-        fell = self.failure[state] + self.root[word]
-        seen = self.bigrams[pair] > 0
-        s, w, c = state[seen], word[seen], self.bigrams[pair[seen]]
-        fell[seen] = np.log10((c + self.left[s] * 10 ** self.root[w]) / (self.context[s] + self.left[s]))
-        return fell
+    """Arcs by (state, label), ascending, with weights and targets; a failure arc with its weight for each state but the root.
+
+    Labels are word numbers. ``after[label]`` is the state that the root's arc leads to.
+    """
+
+    arc: np.ndarray  # state * labels + label
+    weight: np.ndarray
+    target: np.ndarray
+    failure: np.ndarray  # state
+    failure_weight: np.ndarray
+    after: np.ndarray
+    start: int
+    labels: int
+
+    @classmethod
+    def of(cls, words: np.ndarray, followers: np.ndarray, starts: int, start_followers: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: int, types: int) -> BackoffAutomaton:
+        """From counts of words and of their different followers, and of pairs: (label before, -1 at the start; label; count)."""
+        n = len(words)
+        base = np.log10((words + 0.5) / (tokens + 0.5 * (types + 1)))
+        state = np.where(followers > 0, np.arange(n) + 2, ROOT)  # a word that nothing follows leads to the root
+        context = np.concatenate([[0.0, starts], words])
+        left = TYPES * np.concatenate([[0.0, start_followers], followers]) + FLAT
+        before, label, count = pairs
+        origin = before + 2
+        seen = np.log10((count + left[origin] * 10 ** base[label]) / (context[origin] + left[origin]))
+        arc = np.concatenate([np.arange(n), origin * n + label])
+        order = np.argsort(arc)
+        weight, target = np.concatenate([base, seen])[order], np.concatenate([state, state[label]])[order]
+        return cls(arc[order], weight, target, np.full(n + 2, ROOT), np.log10(left / (context + left)), state, 1, n)
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one token of each of many texts, and the log-probabilities."""
+        to, weight = np.empty_like(state), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.labels + label[todo]
+            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            has = self.arc[at] == key
+            done = todo[has]
+            to[done] = self.target[at[has]]
+            weight[done] += self.weight[at[has]]
+            todo = todo[~has]
+            weight[todo] += self.failure_weight[state[todo]]
+            state = state.copy()
+            state[todo] = self.failure[state[todo]]
+        return to, weight
+
+    def traverse(self, labels: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log-probability of each token of texts that begin at ``first`` (and end where the next begins)."""
+        out = np.zeros(len(labels))
+        sizes = np.diff(np.append(first, len(labels)))
+        many = -(-sizes // STRETCH)
+        begin = np.repeat(first - STRETCH * (np.cumsum(many) - many), many) + STRETCH * np.arange(many.sum())
+        end = np.minimum(begin + STRETCH, np.repeat(first + sizes, many))
+        state = np.where(np.isin(begin, first), self.start, self.after[labels[begin - 1]])
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        begin, length, state = begin[order], (end - begin)[order], state[order]
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t))
+            at = begin[:n] + t
+            state, out[at] = self.step(state[:n], labels[at])
+        return out
 
 
 @dataclass
@@ -113,8 +154,8 @@ def _count_request(buckets: int):
     return run
 
 
-def _add_counts(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Of each entry the count over all groups and whether this group is the first with any; N and V of the bucket."""
+def _add_counts(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> np.ndarray:
+    """Of each entry the count over all groups and whether this group is the first with any."""
     order = np.lexsort((sender, said == 0, keys))
     new = np.append(True, keys[order][1:] != keys[order][:-1]) if len(keys) else np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -122,8 +163,7 @@ def _add_counts(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> tuple
     answers = np.zeros(len(keys), np.dtype([("count", "<u8"), ("first", "u1")]))
     answers["count"][order] = np.repeat(totals, np.diff(np.append(first, len(keys))))
     answers["first"][order] = new & (said[order] > 0)
-    word = (keys[order][first] & U(1)) == 1
-    return answers, [int(totals[word].sum()), int((totals[word] > 0).sum())]
+    return answers
 
 
 _COUNTS = np.dtype([("count", "<u8"), ("first", "u1")])
@@ -145,37 +185,83 @@ def _followers_request(buckets: int):
     return run
 
 
-def _add_followers(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _add_followers(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> np.ndarray:
     _, back = np.unique(keys, return_inverse=True)
-    return np.bincount(back, weights=said).astype("<u8")[back] if len(keys) else np.zeros(0, "<u8"), []
-
-
-def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    own = Batch.of(docs)
-    step = answers.column("step").to_numpy()
-    counted, followed = answers.filter(pa.array(step == 1)), answers.filter(pa.array(step == 2))
-    counts = np.frombuffer(answered(counted), _COUNTS)["count"].astype(np.int64)
-    tokens, types = np.array(counted.column("extra").to_pylist(), np.int64).sum(0)
-    known = np.frombuffer(answered(followed), "<u8").astype(float)
-    followers = np.zeros(len(own.keys) + 1)
-    followers[:-1][own.keys & U(1) == 1], followers[-1] = known[1:], known[0]
-    end = np.searchsorted(own.keys, END | U(1))
-    model = BackoffAutomaton(counts, followers, counts, int(counts[end]), int(tokens), int(types))
-    steps = np.append(model.traverse(own.state(), own.word, own.pair), 0.0)
-    first = np.cumsum(own.counts) - own.counts
-    add = lambda x: np.add.reduceat(x, first)
-    n = len(own.counts)
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(own.counts, pa.int64()),
-            "n_known": pa.array(add(np.append(counts[own.word] > 0, False).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
-            "base_score": pa.array(add(np.append(model.root[own.word], 0.0))),
-            "score": pa.array(add(steps)),
-        }
-    )
+    return np.bincount(back, weights=said).astype("<u8")[back] if len(keys) else np.zeros(0, "<u8")
+
+
+def _scorer(starts: int, tokens: int, types: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Batch.of(docs)
+        step = answers.column("step").to_numpy()
+        counted, followed = answers.filter(pa.array(step == 1)), answers.filter(pa.array(step == 2))
+        counts = np.frombuffer(answered(counted), _COUNTS)["count"].astype(np.int64)
+        known = np.frombuffer(answered(followed), "<u8").astype(np.int64)
+        is_word = own.keys & U(1) == 1
+        label = np.cumsum(is_word) - 1
+        labels = label[own.word]
+        first = np.cumsum(own.counts) - own.counts
+        at = np.unique(own.pair, return_index=True)[1]
+        at = at[counts[own.pair[at]] > 0]
+        before = np.append(labels[at - 1], 0)[:-1]
+        before[np.isin(at, first)] = -1
+        model = BackoffAutomaton.of(counts[is_word], known[1:], starts, int(known[0]), (before, labels[at], counts[own.pair[at]]), tokens, types)
+        base = model.weight[: model.labels]
+        add = lambda x: np.add.reduceat(x, first)
+        n = len(own.counts)
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "held_out": docs.column("held_out"),
+                "n_tokens": pa.array(own.counts, pa.int64()),
+                "n_known": pa.array(add((counts[own.word] > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
+                "base_score": pa.array(add(base[labels])),
+                "score": pa.array(add(model.traverse(labels, first))),
+            }
+        )
+
+    return run
+
+
+def _word_sender(buckets: int):
+    """Different words of the training texts with their counts, by bucket, for about ``GROUP_BYTES`` of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            yield from request(0, keys, np.bincount(counts, np.concatenate([n for _, n in held])).astype(np.uint64), buckets).to_batches()
+
+        for whole in batches:
+            for piece in pieces(whole):
+                w = Words(piece.column(0), PLAIN_KEEP)
+                held.append(np.unique(np.append(w.hashes | U(1), np.full(piece.num_rows, END | U(1))), return_counts=True))
+                size += len(w.data)
+                if size >= GROUP_BYTES:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    keys = [unpacked(r["keys"]) for r in rows]
+    tokens = sum(int(unsqueezed(r["said"], np.uint64).sum()) for r in rows)
+    types = len(np.unique(np.concatenate(keys))) if keys else 0
+    yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([types], pa.int64())], ["tokens", "types"])
+
+
+def totals(own: DataFrame, buckets: int) -> tuple[int, int, int]:
+    """Documents, tokens and different tokens to learn from."""
+    train = own.where(~F.col("held_out"))
+    sent = train.select("text").mapInArrow(_word_sender(buckets), REQUEST)
+    tokens, types = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_word_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+    return train.count(), tokens or 0, types or 0
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -189,15 +275,18 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     nothing to learn from, every token has the base's probability of an unknown
     one. Other columns are not returned.
 
-    Documents are dealt into groups once; each group counts its different
-    words and pairs and asks for their totals over the corpus, then for the
-    number of followers of its words, and reads its documents through the
-    automaton that the answers make.
+    The training tokens are counted first. Documents are then dealt into groups
+    once; each group counts its different words and pairs and asks for their
+    totals over the corpus, then for the number of followers of its words, and
+    reads its documents through the automaton that the answers make. Words and
+    pairs are known by 64-bit hashes.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    dealt, buckets, _ = grouped(own, "text")
+    dealt, size = grouped(own, "text")
+    buckets = buckets_for(own, size, RANGE_BYTES)
+    starts, tokens, types = totals(own, buckets)
     counted = ask(dealt.groupBy("g").applyInArrow(_count_request(buckets), REQUEST), buckets, np.uint32, _add_counts)
     pairs = dealt.groupBy("g").cogroup(counted.groupBy("g")).applyInArrow(_followers_request(buckets), REQUEST)
     followed = ask(pairs, buckets, np.uint32, _add_followers)
     answers = counted.withColumn("step", F.lit(1)).union(followed.withColumn("step", F.lit(2)))
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score, SCORED)
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_scorer(starts, tokens, types), SCORED)

@@ -1,4 +1,8 @@
-"""Exact BPE encoding of Arrow batches: array-wise pre-tokenization, the library's model on each different pre-token.
+"""Exact BPE encoding of Arrow batches: array-wise pre-tokenization, the model on each different pre-token.
+
+Pre-tokens are looked up by hash and then compared letter by letter with the
+one that the cached ids belong to; those that only share its hash are looked up
+as strings.
 
 Serves the two pre-tokenizers of the public files: byte-level with the space
 before a word kept, and words with white space dropped. Everything else about
@@ -19,9 +23,9 @@ from tokenizers import Tokenizer
 from lectern.llm.bytesops import U, prefix_hashes_of, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Pre-tokens a worker keeps; beyond that the cache starts anew.
-CACHED = 1_000_000
-_SLOTS = 20
+#: Pre-tokens that a worker keeps, and letters of them; beyond either the cache starts anew.
+CACHED, LETTERS = 400_000, 1 << 23
+_SLOTS = 19
 _RARE = re.compile("[\u1C80-\u1C8F\uA7C0-\uA7FF\U00010000-\U0001EFFF\U00020000-\U0010FFFF]")
 
 
@@ -101,7 +105,8 @@ def bounds(c: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray,
 class Pretokens:
     """Encodes texts piece by piece; every different pre-token goes through the library's model once while it is cached."""
 
-    def __init__(self, path: str, long_pretoken=None, long_at: int = 1 << 62) -> None:
+    def __init__(self, path: str, encode_pretoken=None) -> None:
+        """``encode_pretoken`` gets a pre-token in the file's letters and returns its ids; by default the library's model does."""
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.spaced = file["pre_tokenizer"]["type"] == "ByteLevel"
@@ -109,20 +114,38 @@ class Pretokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t["content"] for t in file["added_tokens"]]
-        self.model = self.library.model
+        model = self.library.model
+        self.encode_pretoken = encode_pretoken or (lambda mapped: [t.id for t in model.tokenize(mapped)])
         self.names = np.array([self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())], object)
-        self.letters, self.long_pretoken, self.long_at = byte_letters(), long_pretoken, long_at
+        self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
         self.slot_hash, self.slot_row = np.zeros(2 << _SLOTS, U), np.zeros(2 << _SLOTS, np.int32)
-        self.ids, self.starts, self.rows, self.filled = np.zeros(1 << 20, np.int32), np.zeros(CACHED + (1 << 20) + 2, np.int64), 0, 0
-
-    def model_ids(self, pretoken: str) -> list[int]:
-        mapped = pretoken.encode().decode("latin-1").translate(self.letters)
-        if len(pretoken) > self.long_at:
-            return self.long_pretoken(mapped)
-        return [t.id for t in self.model.tokenize(mapped)]
+        self.rows, self.exact = 0, {}
+        self.ids, self.starts = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64)
+        self.chars, self.char_starts = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def _put(self, what: str, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Append to ``what`` (ids or chars) the values of new rows."""
+        flat, starts = getattr(self, what), getattr(self, "starts" if what == "ids" else "char_starts")
+        at, n = int(starts[self.rows]), self.rows + len(lengths) + 1
+        while at + len(values) > len(flat):
+            flat = np.append(flat, np.zeros_like(flat))
+        while n > len(starts):
+            starts = np.append(starts, np.zeros_like(starts))
+        flat[at : at + len(values)] = values
+        starts[self.rows + 1 : n] = at + np.cumsum(lengths)
+        setattr(self, what, flat)
+        setattr(self, "starts" if what == "ids" else "char_starts", starts)
+
+    def _add(self, pretokens: list[str]) -> np.ndarray:
+        """Encode pre-tokens and keep them; their rows."""
+        found = [self.encode_pretoken(p.encode().decode("latin-1").translate(self.letters)) for p in pretokens]
+        self._put("ids", np.fromiter((i for x in found for i in x), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+        self._put("chars", np.frombuffer("".join(pretokens).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, pretokens), np.int64, len(found)))
+        self.rows += len(found)
+        return np.arange(self.rows - len(found), self.rows)
 
     def normal(self, text: str) -> str:
         if self.spaced:
@@ -139,8 +162,9 @@ class Pretokens:
     def _second(hashes: np.ndarray) -> np.ndarray:
         return ((hashes & U((1 << _SLOTS) - 1)) + U(1 << _SLOTS)).astype(np.int64)
 
-    def _learn(self, text: str, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _learn(self, text: str, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rows of the pre-tokens, new ones included."""
+        hashes = span_hashes(prefix_hashes_of(_random()[c]), start, end)
         slot = (hashes >> U(64 - _SLOTS)).astype(np.int64)
         row = self.slot_row[slot]
         missing = np.flatnonzero(self.slot_hash[slot] != hashes)
@@ -150,23 +174,32 @@ class Pretokens:
             missing = missing[self.slot_hash[other] != hashes[missing]]
         if len(missing):
             new, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            found = [self.model_ids(text[a:b]) for a, b in zip(start[missing[at]].tolist(), end[missing[at]].tolist(), strict=True)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(lengths.sum())
-            while self.filled + total > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(len(self.ids), np.int32))
-            self.ids[self.filled : self.filled + total] = [i for x in found for i in x]
-            rows = np.arange(self.rows, self.rows + len(new))
-            if self.rows + len(new) + 2 > len(self.starts):
-                self.starts = np.append(self.starts, np.zeros(len(self.starts), np.int64))
-            self.starts[self.rows + 1 : self.rows + len(new) + 1] = self.filled + np.cumsum(lengths)
+            rows = self._add([text[a:b] for a, b in zip(start[missing[at]].tolist(), end[missing[at]].tolist(), strict=True)])
             place = slot[missing[at]]
             place = np.where(self.slot_hash[place] == 0, place, self._second(new))
             self.slot_hash[place], self.slot_row[place] = new, rows
-            self.rows, self.filled = self.rows + len(new), self.filled + total
             row[missing] = rows[back]
+        for k in self._others(c, start, end, row).tolist():  # another pre-token has this one's hash
+            own = text[start[k] : end[k]]
+            if own not in self.exact:
+                self.exact[own] = int(self._add([own])[0])
+            row[k] = self.exact[own]
         return row
 
+    def _others(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which pre-tokens differ from the letters of their row."""
+        length, a = end - start, self.char_starts[row]
+        short = self.char_starts[row + 1] - a != length
+        own, before = gather(c, start, end)
+        kept, _ = self._cut(a, length, short) if short.any() else gather(self.chars, a, a + length)
+        wrong = np.flatnonzero(own != kept)
+        return np.union1d(np.flatnonzero(short), np.searchsorted(before, wrong, "right") - 1)
+
+    def _cut(self, a: np.ndarray, length: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``gather``, with zeros for the rows in ``short``."""
+        flat = np.append(self.chars, np.zeros(int(length.max()), np.uint32))
+        return gather(flat, np.where(short, len(self.chars), a), np.where(short, len(self.chars), a) + length)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the n+1 offsets of the texts."""
         texts = [t or "" for t in texts]
@@ -177,7 +210,7 @@ class Pretokens:
         if not joined:
             ids, offsets = np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         else:
-            if self.rows > CACHED:
+            if self.rows > CACHED or self.char_starts[self.rows] > LETTERS:
                 self.clear()
             c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             edges = np.zeros(len(texts) + 1, np.int64)
@@ -185,7 +218,7 @@ class Pretokens:
             first = np.zeros(len(c), bool)
             first[edges[:-1][edges[:-1] < len(c)]] = True
             start, end = bounds(c, first, self.spaced)
-            row = self._learn(joined, span_hashes(prefix_hashes_of(_random()[c]), start, end), start, end)
+            row = self._learn(joined, c, start, end)
             ids, before = gather(self.ids, self.starts[row], self.starts[row + 1])
             offsets = before[np.searchsorted(start, edges)]
         if whole:
@@ -194,11 +227,17 @@ class Pretokens:
         return ids, offsets
 
 
-def gather(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spans of ``flat`` one after another, and their n+1 offsets in that."""
+def places(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes that the spans cover, one span after another, and the spans' n+1 offsets in that."""
     length = end - start
     before = np.zeros(len(length) + 1, np.int64)
     np.cumsum(length, out=before[1:])
     at = np.arange(before[-1])
     at += np.repeat(start - before[:-1], length)
+    return at, before
+
+
+def gather(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``flat`` one after another, and their n+1 offsets in that."""
+    at, before = places(start, end)
     return flat[at], before

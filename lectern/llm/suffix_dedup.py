@@ -20,14 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bytesops import U, buffers, mix, pieces, prefix_hashes, span_hashes
-from lectern.llm.exchange import ANSWER, REQUEST, answered, ask, grouped, packed, ranges, request, unpacked
-from lectern.llm.pretokens import gather
+from lectern.llm.bytesops import U, buffers, mix, pieces, prefix_hashes, span_hashes, strong_hashes
+from lectern.llm.exchange import ANSWER, REQUEST, answer, answered, ask, buckets_for, grouped, request, rows_by_range, unpacked
+from lectern.llm.pretokens import gather, places
 
 #: Bytes of a repeated string, of a seed, and of the first rank.
 LENGTH, SEED, FIRST = 50, 20, 25
-#: Bytes of the corpus for each range of seeds (at least one range a shuffle partition).
-RANGE_BYTES = 1 << 20
+#: Bytes of the corpus for each range of seeds (at least one range a shuffle partition), and of entries ranked at a time.
+RANGE_BYTES, STEP_BYTES = 8 << 20, 2 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -98,7 +98,7 @@ def _runs(raw: np.ndarray, o: np.ndarray, piece: int, row: int) -> tuple[np.ndar
     so_far = np.append(0, np.cumsum(inside))
     length = so_far[np.append(start[1:], n)] - so_far[start]
     document = np.searchsorted(o, start, "right") - 1
-    content = mix(span_hashes(c, start, start + length + LENGTH - 1) + length.astype(U))
+    content = strong_hashes(raw, start, start + length + LENGTH - 1)
     seed = mix(low[start] + U(1))  # least values lie low; ranges of keys must not
     return np.full(len(start), piece), start, length, seed, document + row, content
 
@@ -116,11 +116,11 @@ def _seed_request(buckets: int):
     return run
 
 
-def _shared(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _shared(keys: np.ndarray, said: np.ndarray, sender: np.ndarray) -> np.ndarray:
     """1 for each seed that more than one document holds."""
     _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
     several = np.bincount(back, weights=said, minlength=len(n)) > 0
-    return ((n > 1) | several)[back].astype(np.uint8), []
+    return ((n > 1) | several)[back].astype(np.uint8)
 
 
 @dataclass
@@ -156,12 +156,11 @@ def _run_request(buckets: int):
         runs = Runs.of(docs)
         own = Entries.of_group(runs, answered(answers), _ids(docs))
         seeds, lengths = runs.seed[own.run], runs.length[own.run]
-        x = ranges(seeds, buckets)
-        keys, said = [], []
-        for a, b in zip(x, x[1:], strict=False):
-            keys.append(packed(seeds[a:b]))
-            said.append(zstandard.ZstdCompressor(level=1).compress(own.doc_id[a:b].tobytes() + lengths[a:b].astype(np.uint32).tobytes() + runs.bytes_of(own.run[a:b])))
-        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "g": pa.array([docs.column("g")[0].as_py()] * buckets, pa.int64()), "keys": pa.array(keys, pa.binary()), "said": pa.array(said, pa.binary())})
+
+        def said(a: int, b: int) -> bytes:
+            return zstandard.ZstdCompressor(level=1).compress(own.doc_id[a:b].tobytes() + lengths[a:b].astype(np.uint32).tobytes() + runs.bytes_of(own.run[a:b]))
+
+        return rows_by_range(docs.column("g")[0].as_py(), seeds, buckets, said)
 
     return run
 
@@ -201,24 +200,63 @@ def least_documents(flat: np.ndarray, start: np.ndarray, positions: np.ndarray,
 
 
 def _rank(batches):
-    """One range of seeds: entries of all groups in, least documents by position out (run-length coded)."""
+    """One range of seeds: entries of all groups in, least documents by position out.
+
+    Seeds are ranked in steps of bounded bytes. Of entries with the same seed
+    and bytes, from whichever groups, one is ranked, with the least document.
+    """
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
         return
-    docs, counts, texts, sizes = [], [], [], []
+    seeds, docs, counts, texts = [], [], [], []
     for r in rows:
-        n = len(unpacked(r["keys"]))
+        seeds.append(unpacked(r["keys"]))
+        n = len(seeds[-1])
         blob = zstandard.ZstdDecompressor().decompress(r["said"])
         docs.append(np.frombuffer(blob, np.int64, n))
         counts.append(np.frombuffer(blob, np.uint32, n, 8 * n).astype(np.int64))
         texts.append(np.frombuffer(blob, np.uint8, offset=12 * n))
-        sizes.append(n)
-    doc, positions = np.concatenate(docs), np.concatenate(counts)
+        r["keys"] = r["said"] = None
+    sizes = [len(x) for x in seeds]
+    seed, doc, positions, flat = (np.concatenate(x) for x in (seeds, docs, counts, texts))
+    del seeds, docs, counts, texts
     size = positions + LENGTH - 1
-    low = least_documents(np.concatenate(texts), np.cumsum(size) - size, positions, doc) if len(doc) else np.zeros(0, np.int64)
-    at = np.append(0, np.cumsum(positions))[np.append(0, np.cumsum(sizes))]
+    start = np.cumsum(size) - size
+    at = np.append(0, np.cumsum(positions))
+    low = np.empty(at[-1], np.int64)
+    order = np.argsort(seed, kind="stable")
+    done = np.cumsum(size[order])
+    new = np.append(True, seed[order][1:] != seed[order][:-1])
+    edges, a = np.flatnonzero(np.append(new, True)), 0
+    while a < len(order):  # whole seeds of about STEP_BYTES
+        most = (done[a - 1] if a else 0) + STEP_BYTES
+        k = np.searchsorted(edges, np.searchsorted(done, most, "right"), "right") - 1
+        b = int(edges[k]) if edges[k] > a else int(edges[np.searchsorted(edges, a, "right")])
+        own = order[a:b]
+        least = _ranked(flat, seed[own], start[own], positions[own], doc[own])
+        low[places(at[own], at[own] + positions[own])[0]] = least
+        a = b
+    bounds = at[np.append(0, np.cumsum(sizes))]
     for k, r in enumerate(rows):
-        yield pa.RecordBatch.from_arrays([pa.array([r["g"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(low[at[k] : at[k + 1]].tobytes())], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["g", "bucket", "answer", "extra"])
+        yield answer(r, zstandard.ZstdCompressor(level=1).compress(low[bounds[k] : bounds[k + 1]].tobytes()))
+
+
+def _ranked(flat: np.ndarray, seed: np.ndarray, start: np.ndarray, positions: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Least documents of the entries' positions, one entry after another."""
+    size = positions + LENGTH - 1
+    own, begin = gather(flat, start, start + size)
+    content = strong_hashes(own, begin[:-1], begin[1:])
+    order = np.lexsort((doc, content, size, seed))
+    s, z, c = seed[order], size[order], content[order]
+    new = np.append(True, (s[1:] != s[:-1]) | (z[1:] != z[:-1]) | (c[1:] != c[:-1]))
+    one = order[new]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    if len(one) < len(order):
+        own, begin = gather(own, begin[one], begin[one + 1])
+    least = least_documents(own, begin[:-1], positions[one], doc[one])
+    after = np.append(0, np.cumsum(positions[one]))
+    return gather(least, after[which], after[which] + positions)[0]
 
 
 def _removed(docs: pa.Table, answers: pa.Table) -> tuple[Runs, list[np.ndarray]]:
@@ -267,8 +305,8 @@ def _finish(full: bool):
 
 def _answers(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt, n, size = grouped(own, "text")
-    buckets = max(n, -(-size // RANGE_BYTES))
+    dealt, size = grouped(own, "text")
+    buckets = buckets_for(own, size, RANGE_BYTES)
     seeds = ask(dealt.groupBy("g").applyInArrow(_seed_request(buckets), REQUEST), buckets, np.uint8, _shared)
     runs = dealt.groupBy("g").cogroup(seeds.groupBy("g")).applyInArrow(_run_request(buckets), REQUEST)
     ranked = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_rank, ANSWER)
