@@ -1,4 +1,10 @@
-"""BPE encoding and decoding; long unsplit text by tree concatenation."""
+"""BPE encoding and decoding by tree concatenation.
+
+Every different pre-token is cut into halves down to leaves of ``LEAF``
+characters; the leaves of long text are encoded as one parallel batch, and
+encoded halves are joined by encoding growing windows around the joint anew
+until both sides agree with what they were.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +20,10 @@ from tokenizers import Tokenizer, models
 from lectern.llm.bytesops import pieces
 from lectern.llm.pretokens import Pretokens, gather
 
-#: A pre-token of more characters than this is encoded as a tree of halves.
-LONG = 4096
-#: Leaves of the tree have at most this many characters.
-LEAF = 1024
+#: Leaves of the tree have at most this many characters; a pre-token of more is encoded as halves.
+LEAF = 8
+#: From this many leaves they are encoded by the library's threads.
+MANY = 256
 #: Bytes of text encoded at a time.
 STEP = 1 << 19
 
@@ -31,15 +37,21 @@ class TreeBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner = Tokenizer(models.BPE(self.vocab, merges))
-        self.final = Tokenizer(models.BPE(self.vocab, merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        self.middle = models.BPE(self.vocab, merges)
+        self.last = models.BPE(self.vocab, merges, end_of_word_suffix=self.suffix) if self.suffix else self.middle
+        self.inner = Tokenizer(self.middle)
+
+    def _leaves(self, pieces: list[str]) -> list[list[str]]:
+        if len(pieces) < MANY:
+            return [self._encode(p, k + 1 == len(pieces)) for k, p in enumerate(pieces)]
+        return [x.tokens for x in self.inner.encode_batch(pieces[:-1], add_special_tokens=False)] + [self._encode(pieces[-1], True)]
 
-    def _encode(self, pieces: Sequence[str], final: bool) -> list[list[str]]:
-        return [x.tokens for x in (self.final if final else self.inner).encode_batch(list(pieces), add_special_tokens=False)]
+    def _encode(self, text: str, final: bool) -> list[str]:
+        return [t.value for t in (self.last if final else self.middle).tokenize(text)]
 
     def _window(self, tokens: Sequence[str], final: bool) -> list[str]:
         text = "".join(tokens)
-        return self._encode([text.removesuffix(self.suffix) if final else text], final)[0]
+        return self._encode(text.removesuffix(self.suffix) if final else text, final)
 
     def join(self, left: list[str], right: list[str], final: bool) -> list[str]:
         """One encoding from two: re-encode a window around the joint, growing until its ends are the sides' own tokens.
@@ -58,14 +70,16 @@ class TreeBpe:
             i, j = i * (1 if left_agrees else 2), j * (1 if right_agrees else 2)
 
     def tokens(self, text: str, leaf: int = LEAF) -> list[str]:
-        """Leaves are encoded as one parallel batch, then joined pairwise, level by level."""
+        """Halves down to leaves, then joined pairwise, level by level."""
         if not text:
             return []
-        bounds = [*range(0, len(text), leaf), len(text)]
-        cut = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        level = self._encode(cut[:-1], False) + self._encode(cut[-1:], True)
+        n = 1
+        while n * leaf < len(text):
+            n *= 2
+        bounds = [len(text) * k // n for k in range(n + 1)]
+        level = self._leaves([text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
         while len(level) > 1:
-            level = [self.join(level[k], level[k + 1], k + 2 == len(level)) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            level = [self.join(level[k], level[k + 1], k + 2 == len(level)) for k in range(0, len(level), 2)]
         return level[0]
 
 
@@ -74,7 +88,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tree = TreeBpe(path)
-        self.own = Pretokens(path, lambda mapped: [self.tree.vocab[t] for t in self.tree.tokens(mapped)], LONG)
+        self.own = Pretokens(path, lambda mapped: [self.tree.vocab[t] for t in self.tree.tokens(mapped)])
         self.plain = self.own.library.decoder is None
         self.decimal = csr([f"{i} ".encode() for i in range(len(self.own.names))])
         self.name = csr([f"{x} ".encode() for x in self.own.names])

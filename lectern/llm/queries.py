@@ -56,7 +56,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight arrivals by a hash of the id, compacted; each document as the last version's shards hold it."""
+    """Eight arrivals by a hash of the id, compacted; each document as the last version's shards hold it.
+
+    ``due_tiers``, ``unlisted_files`` and ``versions`` are 0, 0 and 1 where
+    compaction and vacuum did their work.
+    """
     from pyspark.sql import functions as F
 
     from lectern.llm import sharding as t
@@ -65,7 +69,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_each(documents(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8))), "arrival")
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    due, unlisted, versions = len(store.due(store.manifest()[1])), store.unlisted(), len(store.versions())
+    kept = store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    return kept.withColumns({"due_tiers": F.lit(due).cast("long"), "unlisted_files": F.lit(unlisted).cast("long"), "versions": F.lit(versions).cast("long")})
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +151,8 @@ FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 SQL_OP7_SHARDING = """
-SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5, lang, source, n_chars FROM documents
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5, lang, source, n_chars,
+  CAST(0 AS BIGINT) AS due_tiers, CAST(0 AS BIGINT) AS unlisted_files, CAST(1 AS BIGINT) AS versions FROM documents
 """
 
 SQL_OP9_SUFFIX_DEDUP = """

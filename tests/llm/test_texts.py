@@ -46,15 +46,47 @@ def test_language_odd_rows(spark):
     assert language_id.predict(none(spark), net).count() == 0
 
 
-def test_language_scores_and_gradients_agree():
-    net = language_id.ByteConvolution.fresh(["a", "b"])
-    x = np.random.default_rng(0).integers(0, 64, (5, language_id.WINDOW)).astype(np.uint8)
-    y = np.array([0, 1, 0, 1, 1])
-    p = net.windows(x, net.tables())
+def test_language_gradients():
+    """Every parameter's steepest gradients against finite differences, in double precision."""
+    net = language_id.ByteConvolution.fresh(["a", "b", "c"])
+    net.embedding, net.filters = net.embedding.astype(float), [f.astype(float) for f in net.filters]
+    net.biases, net.weights, net.offsets = (p.astype(float) + 0.01 for p in (net.biases, net.weights, net.offsets))
+    x = np.random.default_rng(0).integers(0, 64, (6, language_id.WINDOW)).astype(np.uint8)
+    y = np.array([0, 1, 0, 2, 1, 1])
     loss, grads = net.step(x, y)
-    assert math.isclose(loss, float(-np.log(p[np.arange(5), y]).mean()), rel_tol=1e-3)
-    net.offsets[0] += 1e-2
-    assert math.isclose((net.step(x, y)[0] - loss) / 1e-2, grads[-1][0], rel_tol=0.1, abs_tol=1e-3)
+    assert math.isclose(loss, float(-np.log(net.windows(x, net.tables())[np.arange(6), y]).mean()), rel_tol=1e-4)
+    for p, g in zip(net.parameters(), grads, strict=True):
+        assert p.shape == g.shape
+        for at in np.argsort(-np.abs(g).ravel())[:6]:
+            k = np.unravel_index(at, p.shape)
+            was, side = p[k], []
+            for step in (1e-6, -1e-6):
+                p[k] = was + step
+                side.append(net.step(x, y)[0])
+            p[k] = was
+            assert math.isclose((side[0] - side[1]) / 2e-6, g[k], rel_tol=1e-3, abs_tol=1e-7)
+
+
+def naive_language(net, text):
+    """Window by window, position by position."""
+    s, total = language_id.FOLD[np.frombuffer(text.encode(), np.uint8)], 0.0
+    for a in range(0, len(s), language_id.WINDOW):
+        window = np.zeros(language_id.WINDOW, int)
+        window[: len(s[a : a + language_id.WINDOW])] = s[a : a + language_id.WINDOW]
+        e = net.embedding[window]
+        top = [np.max([sum(e[p + k] @ f[k] for k in range(len(f))) for p in range(len(e) - len(f) + 1)], 0) for f in net.filters]
+        logits = np.maximum(np.concatenate(top) + net.biases, 0) @ net.weights + net.offsets
+        p = np.exp(logits - logits.max())
+        total = total + p / p.sum() * sum(0 < c < 27 or c >= 32 for c in window)
+    return net.labels[int(np.argmax(total))], float(np.max(total) / np.sum(total))
+
+
+def test_language_against_naive_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and n_chars < 600").limit(30)
+    net = language_id.train(docs)
+    for r in language_id.predict(docs, net).collect():
+        label, score = naive_language(net, r.text)
+        assert math.isclose(r.score, score, rel_tol=1e-3) and (r.lang_pred == label or score < 0.51)
 
 
 ITEMS = [(1, "fox jumps over the lazy dog and then some more words follow until"), (2, "One, TWO three!"), (3, None), (None, "quick"), (4, "..."), (5, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18")]
@@ -120,10 +152,35 @@ def test_lm_scores(spark):
     assert nothing.train_tokens == 0 and nothing.score == nothing.base_score == 0
 
 
-def test_lm_sums_to_one():
-    m = lm_scoring.BackoffAutomaton(np.array([4, 2, 0]), np.array([2.0, 1.0, 0.0, 1.0]), np.array([3, 1, 0]), 2, 6, 2)
-    p = 10 ** m.traverse(np.zeros(3, int), np.arange(3), np.arange(3))
-    assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+def test_lm_automaton():
+    """Three words after which two, one and none follow; the arcs and failure arcs of each state sum to one."""
+    pairs = (np.array([-1, 0, 0, 1]), np.array([0, 0, 1, 0]), np.array([2, 1, 2, 1]))
+    m = lm_scoring.BackoffAutomaton.of(np.array([4, 2, 0]), np.array([2, 1, 0]), 2, 1, pairs, 6, 2)
+    assert m.after.tolist() == [2, 3, lm_scoring.ROOT]
+    for state in (lm_scoring.ROOT, m.start, 2, 3):
+        to, weight = m.step(np.full(3, state), np.arange(3))
+        assert math.isclose((10**weight).sum(), 1, rel_tol=1e-9) and to.tolist() == m.after.tolist()
+    labels = np.random.default_rng(1).integers(0, 3, 4000)
+    first = np.array([0, 1, 700, 3990])
+    state, expected = None, []
+    for k, w in enumerate(labels):
+        state = np.array([m.start]) if k in first else state
+        state, weight = m.step(state, np.array([w]))
+        expected.append(weight[0])
+    assert np.allclose(m.traverse(labels, first), expected)
+
+
+def morse(n, swap=False):
+    """Two texts of 2^n letters that sums of powers modulo 2^64 take for one."""
+    return "".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(1 << n))
+
+
+def test_words_of_a_simple_make_differ(spark):
+    rows = [(k, f"{morse(n, s)} end") for k, (n, s) in enumerate([(10, 0), (10, 1), (11, 0), (11, 1), (9, 0), (9, 1)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (docs, docs.orderBy(F.desc("doc_id"))):
+        found = {r.doc_id: r for r in lm_scoring.score(part.coalesce(1), F.col("doc_id") % 2 == 1).collect()}
+        assert [found[k].n_known for k in range(6)] == [3, 2, 3, 2, 3, 2] and found[0].train_tokens == 9
 
 
 def test_suffix_dedup(spark):

@@ -33,6 +33,28 @@ def test_pretokens_match_library(path):
         assert found == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pretokens_that_share_a_hash(path):
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    pairs = [["".join("ab"[(bin(k).count("1") + s) % 2] for k in range(1 << n)) for s in (0, 1)] for n in (10, 11)]
+    cases = [x for p in pairs for x in p] + [f"{p[0]} {p[1]} {p[0]}" for p in pairs] + ["plain words"]
+    for order in (cases, cases[::-1]):
+        own = bpe.Encoder(path)
+        for _ in range(2):
+            assert own.encode(order) == [library.encode(x, add_special_tokens=False).ids for x in order]
+        assert [own.encode([x])[0] for x in order] == [library.encode(x, add_special_tokens=False).ids for x in order]
+
+
+def test_every_long_pretoken_is_a_tree(monkeypatch):
+    joins = []
+    real = bpe.TreeBpe.join
+    monkeypatch.setattr(bpe.TreeBpe, "join", lambda self, *a: joins.append(a) or real(self, *a))
+    own, library = bpe.Encoder(WORD), Tokenizer.from_file(WORD)
+    assert own.encode(["short extraordinarily"])[0] == library.encode("short extraordinarily", add_special_tokens=False).ids
+    assert len(joins) == 1
+
+
 def test_tree_concatenation_is_exact():
     tree, library = bpe.TreeBpe(WORD), Tokenizer.from_file(WORD)
     r = random.Random(4)
