@@ -13,10 +13,16 @@ from lectern.llm.queries import tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language (null, or without any letter); fills missing labels with the prediction."""
+    """Rejects documents of no language (null, or without any letter); fills missing labels with the prediction.
+
+    Where no document has a label, nothing can be learned or filled in, and
+    documents with letters stay as they are.
+    """
+    net = language_id.train(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = docs.withColumn("__own", F.struct(*docs.columns)).select("__own", "text")
-    seen = language_id.predict(own, language_id.train(docs))
-    kept = seen.where(F.col("lang_pred") != language_id.UNKNOWN).select("lang_pred", "__own.*")
+    kept = language_id.predict(own, net).where(F.col("lang_pred") != language_id.UNKNOWN).select("lang_pred", "__own.*")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -49,6 +49,18 @@ def merge(lines: DataFrame, *, profile: str = "main", order: str = "line_no", re
     return settled(out, "text", strip(F.col("text"))).where("text <> ''")
 
 
+def scanned_blocks(rows: DataFrame) -> DataFrame:
+    """``block_id, type, text`` for a page's blocks as they are (``doc_id, page, block_no, bbox, text``); blank ones go.
+
+    The id ends in six hexadecimal digits of a hash of what the block is.
+    """
+    text = strip(F.coalesce("text", F.lit("")))
+    made = F.substring(F.sha2(F.concat_ws("|", "doc_id", "page", "block_no", text), 256), 1, 6)
+    out = rows.withColumn("block_id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("block_no").cast("string"), F.lit("_"), made))
+    out = settled(out, "text", text).where("text <> ''")
+    return out.withColumn("type", F.when(f.topic_heading(F.col("text")), "heading").otherwise("paragraph"))
+
+
 def reflow(c: Column, profile: str = "main") -> Column:
     """Rejoin wrapped lines of a block.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import filters as f
@@ -10,9 +10,6 @@ from lectern.functions.geometry import overlap
 from lectern.functions.text import nfkc, normalize_ws, strip, strip_control_chars
 from lectern.operators.islands import joined
 
-#: Rows of a small side that may be broadcast; beyond that joins shuffle by document and page.
-SMALL = 100_000
-
 
 def clean_spans(spans: DataFrame, *, rules: dict | None = None) -> DataFrame:
     """Drop span-level furniture: blank text, stamps, margins, corner stamps and page numbers.
@@ -34,8 +31,8 @@ def remove_by_rules(rows: DataFrame, rules: dict, text: str = "text") -> DataFra
     hit = F.lit(False)
     if exact:
         hit = hit | t.isin(exact)
-    if patterns:
-        hit = hit | t.rlike("|".join(f"(?:{p})" for p in patterns))
+    for p in patterns:  # one by one: back-references count groups within their own pattern
+        hit = hit | t.rlike(p)
     return rows.where((t == "") | ~hit)
 
 
@@ -83,6 +80,15 @@ def assemble(spans: DataFrame, *, unicode: bool = False) -> DataFrame:
     return out.withColumn("text", normalize_ws(strip_control_chars(F.col("text")))).where("text <> ''")
 
 
+def boxed_lines(spans: DataFrame) -> DataFrame:
+    """Lines with their box, by page, height and left edge, as ``line_no``; boxes and sizes are taken from blank spans, too.
+
+    Lines without text or without any box go.
+    """
+    rows = assemble(spans).where("x is not null").withColumn("bbox", F.array("x", "y", "x1", "y1"))
+    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y", "x", "block_no", "line_no")).cast("long"))
+
+
 def reading_order(*also: str) -> list[Column]:
     """Page, height in tenths, left edge."""
     return [F.col("page"), F.round("y", 1), F.col("x"), *map(F.col, also)]
@@ -111,7 +117,9 @@ def header_footer_candidates(lines: DataFrame, *, top: float = 0.08, bottom: flo
     band = F.when(F.col("y") <= F.col("page_h") * top, "TOP").when(F.col("y") >= F.col("page_h") * bottom, "BOTTOM")
     pages = lines.groupBy("doc_id").agg(F.max("page").alias("pages"))
     seen = lines.where(F.length("text").between(2, longest)).withColumn("band", band).where("band is not null")
-    out = seen.groupBy("doc_id", "band", "text").agg(F.count_distinct("page").alias("pages_count"), F.slice(F.array_sort(F.collect_list("page")), 1, samples).alias("sample"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "band", "text").orderBy("page"))
+    sample = F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.col("page"))))
+    out = seen.withColumn("nth", nth).groupBy("doc_id", "band", "text").agg(F.count_distinct("page").alias("pages_count"), sample.alias("sample"))
     out = out.join(pages, "doc_id").where(F.col("pages_count") >= share * F.col("pages"))
     return out.select("doc_id", "band", "text", "pages_count", F.round(F.col("pages_count") / F.col("pages"), 2).alias("pages_ratio"), F.array_join(F.col("sample").cast("array<string>"), ", ").alias("sample_pages"))
 
@@ -124,6 +132,11 @@ SUGGESTED = [
 ]
 
 
+def suggested_patterns(spark: SparkSession) -> DataFrame:
+    """``position, regex``: the patterns that go with the candidates of every document."""
+    return spark.createDataFrame(list(enumerate(SUGGESTED)), "position int, regex string")
+
+
 def scanned(lines: DataFrame, least: int = 200) -> DataFrame:
     """``doc_id, chars, scanned``: documents with less text than ``least`` characters are taken for scans."""
     return lines.groupBy("doc_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).withColumn("scanned", F.col("chars") < least)

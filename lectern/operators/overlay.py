@@ -31,12 +31,19 @@ def first_nonempty(*sources: DataFrame) -> DataFrame:
     raise ValueError("no source has rows")
 
 
+def told_maps(told: DataFrame, key: str = "id", *, order: str | None = None) -> DataFrame:
+    """``doc_id, told``: a map from ``key`` to text for each document. Of a key told twice the last by ``order`` counts, else the greatest text."""
+    last = F.max_by("text", F.struct(order, "text")) if order else F.max("text")
+    one = told.where(F.col(key).isNotNull()).groupBy("doc_id", key).agg(last.alias("text"))
+    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "text"))).alias("told"))
+
+
 def missing_explanations(blocks: DataFrame, explanations: DataFrame, *, order: str = "block_no") -> DataFrame:
-    """``doc_id, table_id, caption`` of the first token of each table without explanation."""
+    """``doc_id, table_id, caption`` of the first token of each table that its document's explanations (``doc_id, id, text``) lack."""
     found = blocks.select("doc_id", order, F.posexplode(table_tokens(F.col("text"))).alias("k", "t")).select("doc_id", order, "k", "t.*")
     first = F.row_number().over(Window.partitionBy("doc_id", "table_id").orderBy(order, "k"))
-    known = explanations.where(strip(F.coalesce("text", F.lit(""))) != "").select(F.col("id").alias("table_id"))
-    return found.withColumn("rn", first).where("rn = 1").join(known, "table_id", "left_anti").select("doc_id", "table_id", "caption")
+    known = explanations.where(strip(F.coalesce("text", F.lit(""))) != "").select("doc_id", F.col("id").alias("table_id"))
+    return found.withColumn("rn", first).where("rn = 1").join(known, ["doc_id", "table_id"], "left_anti").select("doc_id", "table_id", "caption")
 
 
 def cached(requests: DataFrame, cache: DataFrame, key: str = "sha256") -> DataFrame:
@@ -57,12 +64,24 @@ def pending(wanted: DataFrame, done: DataFrame, keys: list[str], least: int = 20
 
 def merged_audio(parts: DataFrame, *, order: str = "part_no") -> DataFrame:
     """``doc_id, n_parts, frames`` of parts (``doc_id, params, frames``) in order; an error where parameters differ."""
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), "frames"))), lambda x: x["frames"])
-    out = parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.count_distinct("params").alias("kinds"), F.unhex(F.array_join(F.transform(pieces, F.hex), "")).alias("frames"))
-    same = F.when(F.col("kinds") > 1, F.raise_error(F.lit("parts have different parameters"))).otherwise(F.col("frames"))
+    whole = F.expr(f"listagg(frames, X'') WITHIN GROUP (ORDER BY `{order}`)")
+    out = parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.min("params").alias("low"), F.max("params").alias("high"), whole.alias("frames"))
+    same = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("parts have different parameters"))).otherwise(F.col("frames"))
     return out.select("doc_id", "n_parts", same.alias("frames"))
 
 
+def section_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows (``doc_id, file``) with the ``path`` of their file: the path as it is recorded where it exists, else that of the same name.
+
+    ``files``: ``doc_id, path``. Rows without a file have a null path.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/\\]+)$", 1)
+    exact = files.select("doc_id", F.col("path").alias("file"), F.col("path").alias("__exact")).distinct()
+    named = files.groupBy("doc_id", name(F.col("path")).alias("__name")).agg(F.min("path").alias("__named"))
+    out = manifest.withColumn("__name", name(F.col("file"))).join(exact, ["doc_id", "file"], "left").join(named, ["doc_id", "__name"], "left")
+    return out.withColumn("path", F.coalesce("__exact", "__named")).drop("__name", "__exact", "__named")
+
+
 def ordered_files(files: DataFrame, name: str = "name") -> DataFrame:
     """By leading number, then by name; names without number last."""
     return files.orderBy(F.coalesce(F.regexp_extract(name, r"^(\d+)_", 1).try_cast("int"), F.lit(999999)), name)

@@ -183,7 +183,10 @@ def ssml_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(t.strip(F.col("text")) != "").select("doc_id", t.text_ssml(F.col("text")).alias("ssml"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'T H E', 'g'), '(?i)\\bof\\b', 'o f', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(
+    r"""WITH marked AS (SELECT conv_id, turn, regexp_replace(text, '([\p{L}\p{M}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g') AS t FROM conversations)
+SELECT conv_id, turn, replace(regexp_replace(regexp_replace(t, '(?i)\x01the\x01', 'T H E', 'g'), '(?i)\x01of\x01', 'o f', 'g'), chr(1), '') AS text FROM marked"""
+)
 def dictionary_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [{"find": "the", "replace": "T H E", "match_type": "word"}, {"find": "of", "replace": "o f", "match_type": "word"}, {"find": "a", "replace": "b", "enabled": False}]
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.apply_dictionary(F.col("text"), rules).alias("text"))
@@ -199,10 +202,9 @@ def selection_ssml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.selection_ssml(F.col("text")).alias("ssml"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9\s_]+', '', 'g'), '\s+', '_', 'g'), '_') AS slug FROM documents WHERE regexp_matches(substr(text, 1, 40), '[A-Za-z]')")
+@query(r"SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s_]+', '', 'g'), '\s+', '_', 'g'), '_'), 1, 60), ''), 'section') AS slug FROM documents")
 def title_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    return table(spark, sf_dir, "documents").where(head.rlike("[A-Za-z]")).select("doc_id", t.slug(head).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 # --- lines and furniture
@@ -470,7 +472,7 @@ def table_nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LAYOUT}, {REGIONS} SELECT doc_id, line_no FROM layout WHERE doc_id < 20 AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc_id = layout.doc_id AND r.page = layout.page AND x + 200 >= r.x0 - 3 AND r.x1 >= x - 3 AND y + 10 >= r.y0 - 3 AND r.y1 >= y - 3)"
+    f"WITH {LAYOUT}, {REGIONS} SELECT doc_id, line_no FROM layout WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc_id = layout.doc_id AND r.page = layout.page AND x + 200 >= r.x0 - 3 AND r.x1 >= x - 3 AND y + 10 >= r.y0 - 3 AND r.y1 >= y - 3)"
 )
 def table_region_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = layout(spark, sf_dir).withColumn("bbox", F.array("x", "y", F.col("x") + 200, F.col("y") + 10))
@@ -508,10 +510,37 @@ def canonical_table_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", k.canonical_table_id(raw, caption).alias("table_id"))
 
 
-@query("SELECT o_custkey AS doc_id, 't' || (o_orderkey % 5) AS table_id, 'Table ' || (min(o_orderkey) % 3) || ' of ' || min(o_orderkey) AS caption FROM orders WHERE o_orderkey % 5 <> 2 GROUP BY o_custkey, o_orderkey % 5")
+@query("SELECT o_custkey AS doc_id, 't' || (o_orderkey % 5) AS table_id, 'Table ' || (min(o_orderkey) % 3) || ' of ' || min(o_orderkey) AS caption FROM orders WHERE o_orderkey % 5 <> 2 OR o_custkey % 3 = 0 GROUP BY o_custkey, o_orderkey % 5")
 def missing_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = spark.createDataFrame([("t2", "known"), ("t3", " ")], "id string, text string")
-    return overlay.missing_explanations(_token_blocks(spark, sf_dir), told)
+    return overlay.missing_explanations(_token_blocks(spark, sf_dir), _told(spark, sf_dir))
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents not divisible by 3 explain t2, and all of them t3, twice, with blanks."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "explode(array(named_struct('id', if(c_custkey % 3 = 0, 't9', 't2'), 'text', concat('Known ', c_custkey, '.')), named_struct('id', 't3', 'text', ' '), named_struct('id', 't3', 'text', '  '))) as x").select("doc_id", "x.*")
+
+
+@query(
+    "SELECT o_custkey AS doc_id, o_orderkey AS block_no, 'See Table ' || (o_orderkey % 3) || ' of ' || o_orderkey || '. ' || CASE WHEN o_orderkey % 5 = 2 AND o_custkey % 3 <> 0 THEN 'Known ' || o_custkey || '.' ELSE 'This is a table. Please provide a short explanation for table id t' || (o_orderkey % 5) || '.' END || ' here, [[FORMULA|F' || (o_orderkey % 4) || '|x]] and [FORMULA:F9].' AS text FROM orders"
+)
+def spoken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents share table ids and explain them differently."""
+    from lectern import plans
+
+    return plans.spoken_blocks(_token_blocks(spark, sf_dir), _told(spark, sf_dir)).select("doc_id", "block_no", "text")
+
+
+@query("SELECT s_suppkey % 20 AS doc_id, page, count(*) AS n_tables, string_agg('T' || s_suppkey, ',' ORDER BY s_suppkey * 31 % 700, s_suppkey) AS table_ids FROM (SELECT s_suppkey, unnest([1, 2, 3, 4, 5, 6, 7]) AS page FROM supplier) GROUP BY 1, 2")
+def tables_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _regions(spark, sf_dir).withColumn("table_id", F.concat(F.lit("T"), F.col("bbox")[0].cast("int").cast("string")))
+    return tables.per_page(found).select("doc_id", "page", "n_tables", F.array_join("table_ids", ",").alias("table_ids"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'runs/a/s' || o_orderkey || '.txt' WHEN 1 THEN 'orig/s' || o_orderkey || '.txt' END AS path FROM orders")
+def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey as doc_id", "o_orderkey", "concat('runs/a/s', o_orderkey, '.txt') as file")
+    there = rows.where("o_orderkey % 3 < 2").selectExpr("doc_id", "if(o_orderkey % 3 = 0, file, concat('orig/s', o_orderkey, '.txt')) as path")
+    return overlay.section_files(rows, there).select("doc_id", "o_orderkey", "path")
 
 
 @query(
@@ -534,8 +563,8 @@ def formula_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LINES}, n AS (SELECT doc_id, line_no, {ws('text')} AS t FROM l) SELECT doc_id, line_no FROM n WHERE t <> '' AND length(t) <= 900 AND (regexp_matches(t, '^\\(\\s*[0-9]{{1,4}}\\s*\\)$') OR regexp_matches(t, '[=±×*/^_∑∏√∫≈≠≤≥→←↔∞αβγΔμΩπθλ∈∉∩∪∂∇·•]') "
-    "OR regexp_matches(t, '(?i)\\b(sum|prod|sqrt|lim|log|ln|sin|cos|tan|exp|min|max)\\b') OR (length(regexp_replace(t, '[^=+\\-*/^_(){}\\[\\]]', '', 'g')) >= 2 AND length(regexp_replace(t, '[^0-9]', '', 'g')) >= 2)) AND NOT regexp_matches(t, '[–—­]')"
+    f"WITH {LINES}, n AS (SELECT doc_id, line_no, {ws("translate(text, '–—' || chr(173), '--')")} AS t FROM l) SELECT doc_id, line_no FROM n WHERE t <> '' AND length(t) <= 900 AND (regexp_matches(t, '^\\(\\s*[0-9]{{1,4}}\\s*\\)$') OR regexp_matches(t, '[=±×*/^_∑∏√∫≈≠≤≥→←↔∞αβγΔμΩπθλ∈∉∩∪∂∇·•]') "
+    "OR regexp_matches(t, '(?i)\\b(sum|prod|sqrt|lim|log|ln|sin|cos|tan|exp|min|max)\\b') OR (length(regexp_replace(t, '[^=+\\-*/^_(){}\\[\\]]', '', 'g')) >= 2 AND length(regexp_replace(t, '[^0-9]', '', 'g')) >= 2))"
 )
 def formula_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_lines(spark, sf_dir).where(f.formula_text(F.col("text"))).select("doc_id", "line_no")
@@ -545,12 +574,13 @@ def _formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout lines of which some are equation numbers at the right margin and some displayed equations."""
     rows = layout(spark, sf_dir)
     number, shown = (F.col("doc_id") % 3 == 0) & (F.col("line_no") % 10 == 4), (F.col("doc_id") % 3 == 1) & (F.col("line_no") % 10 == 4)
-    text = F.when(number, F.concat(F.lit("("), F.col("line_no").cast("string"), F.lit(")"))).when(shown, F.lit("y = a x")).otherwise(F.lit("plain words"))
-    x0 = F.when(number, 500.0).otherwise(F.col("x"))
+    edge = (F.col("doc_id") % 3 == 2) & (F.col("line_no") % 10 == 4)  # too far left to count as displayed
+    text = F.when(number, F.concat(F.lit("("), F.col("line_no").cast("string"), F.lit(")"))).when(shown, F.lit("y = a x")).when(edge, F.lit("z = b x")).otherwise(F.lit("plain words"))
+    x0 = F.when(number, 500.0).when(edge, 10.0).otherwise(F.col("x"))
     return rows.select("doc_id", "page", "line_no", text.alias("text"), F.array(x0, F.col("y"), x0 + 120, F.col("y") + 10).alias("bbox"), "page_w")
 
 
-FORMULAS = f"""{LAYOUT}, fl AS (SELECT doc_id, page, line_no, doc_id % 3 = 0 AND line_no % 10 = 4 AS number, doc_id % 3 = 1 AND line_no % 10 = 4 AS shown, CASE WHEN doc_id % 3 = 0 AND line_no % 10 = 4 THEN 500 ELSE x END AS x0, y AS y0 FROM layout WHERE doc_id < 200),
+FORMULAS = f"""{LAYOUT}, fl AS (SELECT doc_id, page, line_no, doc_id % 3 = 0 AND line_no % 10 = 4 AS number, doc_id % 3 = 1 AND line_no % 10 = 4 AS shown, CASE WHEN doc_id % 3 = 0 AND line_no % 10 = 4 THEN 500 WHEN doc_id % 3 = 2 AND line_no % 10 = 4 THEN 10 ELSE x END AS x0, y AS y0 FROM layout),
 eq AS (SELECT a.doc_id, a.page, a.line_no, min(o.x0) AS x0, min(o.y0) AS y0, any_value(a.x0) + 120 AS x1, max(o.y0) + 10 AS y1 FROM fl a JOIN fl o ON a.doc_id = o.doc_id AND a.page = o.page AND (abs(o.y0 - a.y0) <= 90 OR (abs(o.y0 - a.y0) <= 160 AND o.x0 >= 595 * 0.05 AND o.x0 + 120 <= 595 * 0.95)) WHERE a.number GROUP BY 1, 2, 3),
 eqd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, floor(x0 / 5), floor(y0 / 5), floor(x1 / 5), floor(y1 / 5) ORDER BY line_no) AS rn FROM eq),
 ly AS (SELECT a.doc_id, a.page, a.line_no, min(o.x0) AS x0, min(o.y0) AS y0, max(o.x0) + 120 AS x1, max(o.y0) + 10 AS y1 FROM fl a JOIN fl o ON a.doc_id = o.doc_id AND a.page = o.page AND (a.line_no = o.line_no OR (abs(o.y0 - a.y0) <= 120 AND (least(o.x0, a.x0) + 120 - greatest(o.x0, a.x0)) / 120.0 >= 0.35)) WHERE a.shown GROUP BY 1, 2, 3),
@@ -572,7 +602,7 @@ def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(formulas.displayed_equations(_formula_lines(spark, sf_dir).where("text not rlike '^\\\\('")))
 
 
-@query(f"WITH {FORMULAS} SELECT doc_id, page, 0 AS tier, {BOX} FROM eqd WHERE rn = 1 UNION ALL SELECT doc_id, page, 1, {BOX} FROM lyd WHERE rn = 1")
+@query(f"WITH {FORMULAS} SELECT doc_id, page, 0 AS tier, {BOX} FROM eqd WHERE rn = 1 UNION ALL SELECT doc_id, page, 1, {BOX} FROM lyd WHERE rn = 1 UNION ALL SELECT doc_id, page, 2, 10, CAST(y0 AS INT), 130, CAST(y0 + 10 AS INT) FROM fl WHERE doc_id % 3 = 2 AND line_no % 10 = 4")
 def formula_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(formulas.page_regions(_formula_lines(spark, sf_dir)), "tier")
 
@@ -587,6 +617,43 @@ def section_formula_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.regexp_count("text", F.lit(": qqq")).cast("long").alias("formulas"))
 
 
+@query(
+    f"WITH {LINES}, t AS (SELECT doc_id, line_no, trim(text, ' ' || chr(9)) AS text FROM l), w AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM t WHERE text <> '') "
+    "SELECT doc_id, 'p' || (CAST(floor(line_no / 20) AS INT) + 1) || '_b' || line_no || '_' || substr(sha256(doc_id || '|' || (CAST(floor(line_no / 20) AS INT) + 1) || '|' || line_no || '|' || text), 1, 6) AS block_id, "
+    "CASE WHEN length(text) BETWEEN 3 AND 70 AND NOT ends_with(text, '.') AND ((upper(text) = text AND lower(text) <> text) OR (len(words) BETWEEN 1 AND 10 AND len(list_filter(words, lambda x: regexp_matches(x, '^\\p{Lu}'))) / len(words) >= 0.6)) THEN 'heading' ELSE 'paragraph' END AS type FROM w"
+)
+def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.scanned_blocks(layout(spark, sf_dir).withColumn("block_no", F.col("line_no"))).select("doc_id", "block_id", "type")
+
+
+@query(
+    f"WITH {FORMULAS}, tiers AS (SELECT doc_id, page, line_no, 0 AS tier FROM eqd WHERE rn = 1 UNION ALL SELECT doc_id, page, line_no, 1 FROM lyd WHERE rn = 1 UNION ALL SELECT doc_id, page, line_no, 2 FROM fl WHERE doc_id % 3 = 2 AND line_no % 10 = 4), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS seq FROM tiers) "
+    "SELECT doc_id, 'F' || CASE WHEN tier = 0 THEN line_no ELSE seq END || '_p' || page || '_' || seq AS formula_id, page, "
+    "CASE WHEN seq % 4 = 0 THEN 'first' WHEN seq % 4 = 1 THEN 'second' ELSE 'text' END AS provider, "
+    "CASE WHEN seq % 4 = 0 THEN 'p=q' WHEN seq % 4 = 1 THEN 'r=s' WHEN tier = 0 THEN '(' || line_no || ')' WHEN tier = 1 THEN '' ELSE 'z = b x' END AS latex, CASE WHEN seq % 4 = 3 THEN 'no image' END AS error FROM s"
+)
+def formula_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions to recognised formulas: two recognisers, the second asked where the first is bad, some images missing."""
+    from lectern import plans
+
+    rows = _formula_lines(spark, sf_dir)
+    nothing = spark.createDataFrame([], "doc_id long, block_no long, type string, page int, bbox array<double>, text string")
+    seq = "cast(regexp_extract(formula_id, '_([0-9]+)$', 1) as int)"
+    ids = plans.narrated_formulas(nothing, rows)[0]
+    seen = ids.selectExpr("doc_id", "formula_id", f"case {seq} % 4 when 0 then 'p=q' when 1 then '??' end as first", f"case when {seq} % 4 = 1 then 'r=s' end as second", f"case when {seq} % 4 = 3 then 'no image' end as error")
+    return plans.narrated_formulas(nothing, rows, seen, providers=("first", "second"))[0].select("doc_id", "formula_id", "page", "provider", "latex", "error")
+
+
+@query()
+def wide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of lines to blocks in the wider form."""
+    from lectern import plans
+
+    spans = layout(spark, sf_dir).select("doc_id", "page", F.lit(0).alias("block_no"), "line_no", F.lit(0).alias("span_no"), "text", F.col("avg_size").alias("size"), (F.col("bold_ratio") > 0).alias("bold"), F.lit(False).alias("italic"), F.array("x", "y", F.col("x") + 200, F.col("y") + 10).alias("bbox"), "page_w", "page_h")
+    return plans.spans_to_normalized_blocks(spans).select("doc_id", "block_no", "type", "text")
+
+
 # --- versions and selections
 
 
@@ -602,9 +669,9 @@ def section_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.selected(table(spark, sf_dir, "documents").select("doc_id", "text"), chosen, ["doc_id"])
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(substr(text, 1, 60)), 'the')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the')")
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(f.title_search(F.substring("text", 1, 60), "THE")).select("doc_id")
+    return table(spark, sf_dir, "documents").where(f.title_search(F.col("text"), "THE")).select("doc_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'latex ' || o_custkey END AS latex, CASE WHEN o_orderkey % 3 = 0 THEN 'cache' END AS provider FROM orders")

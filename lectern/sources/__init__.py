@@ -88,6 +88,11 @@ def pdf_spans(spark: SparkSession, folder: str, max_pages: int | None = None) ->
     return rows.withColumns({"doc_id": F.xxhash64("doc"), "bold": bold(F.col("font")), "italic": italic(F.col("font"))})
 
 
+def with_doc_ids(files: DataFrame, path: str = "path") -> DataFrame:
+    """``doc_key``: ten hexadecimal digits of a hash of the path, the same in every run, also the name of the document's folder."""
+    return files.withColumn("doc_key", F.substring(F.sha2(F.col(path), 256), 1, 10))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

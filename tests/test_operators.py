@@ -76,8 +76,8 @@ def test_toc(spark):
 
 def test_spoken_blocks(spark):
     rows = blocked(spark, [("heading", 1, "Contents"), ("paragraph", 1, "Part 1"), ("paragraph", 5, "See [[TABLE|t1|Table 1]]"), ("paragraph", 5, "12"), ("paragraph", 6, "[TABLE:t2] Table 2")])
-    told = spark.createDataFrame([("t1", "It shows x.")], "id string, text string")
-    assert [r.text for r in spoken_blocks(rows, told).orderBy("block_no").collect()] == ["See Table 1. It shows x.", "Table 2. This is a table. Please provide a short explanation for table id t2."]
+    told = spark.createDataFrame([(1, 0, "t1", "It shows."), (1, 1, "t1", "It shows x."), (2, 0, "t2", "Of another document."), (1, 0, None, "x")], "doc_id long, n int, id string, text string")
+    assert [r.text for r in spoken_blocks(rows, told, order="n").orderBy("block_no").collect()] == ["See Table 1. It shows x.", "Table 2. This is a table. Please provide a short explanation for table id t2."]
 
 
 def test_ssml_and_block_chunks(spark):
