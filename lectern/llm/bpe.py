@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
 from lectern.llm.bytesops import pieces
+from lectern.llm.common import frugal
 from lectern.llm.pretokens import Pretokens, gather
 
 #: Leaves of the tree have at most this many characters; a pre-token of more is encoded as halves.
@@ -127,18 +128,10 @@ def csr(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _mapper(path: str, text: str, full: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = Encoder(path)
         for whole in batches:
             for batch in pieces(whole, text, STEP):
                 at = batch.schema.get_field_index(text)

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import os
+import sys
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +76,27 @@ def discard(*frames: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python ``rows`` documents at a time, where the session has Spark's default of 10000: a batch of whole documents is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def frugal(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its worker's memory back to the system when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,4 +124,5 @@ def drawn(df: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import ALNUM_KEEP, Words, pieces, window_hashes
-from lectern.llm.common import stored
+from lectern.llm.common import frugal, stored
 
 #: Words in a window; an item of fewer words, but not none, is one window.
 WINDOW = 13
@@ -67,6 +67,7 @@ def _joined(w: Words, k: int, length: int) -> bytes:
 
 
 def _scanner(windows, text: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: TestWindows = windows.value
         for whole in batches:
@@ -132,6 +133,7 @@ def decide(scanned: DataFrame, share: int = SHARE) -> DataFrame:
 def _cut(text: str):
     """Removes the bytes from the first to the last word of each run of hit words."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import buffers, pieces
+from lectern.llm.common import frugal
 
 UNKNOWN = "und"
 SYMBOLS, WIDTHS, FILTERS, DIMENSIONS = 64, (2, 3, 4), 8, 8
@@ -186,6 +187,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _predictor(model, text: str, added: list[str]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: ByteConvolution | None = model.value
         tables = net.tables() if net else None

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import PLAIN_KEEP, U, Words, mix, pieces, window_hashes
-from lectern.llm.common import BROADCAST_IDS, keep_ids, shuffles, stored
+from lectern.llm.common import BROADCAST_IDS, frugal, keep_ids, shuffles, stored
 from lectern.llm.components import connected_components
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
@@ -131,6 +131,7 @@ def _stars(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sender(buckets: int, doc_id: str, text: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, rows, held = [], [], [], 0
 
@@ -189,6 +190,7 @@ def _found(kind: int, table: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(table), kind, np.int32)), *columns], names)
 
 
+@frugal
 def _receiver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket of sketch words: links among the texts that share one."""
     keys, docs, marks = [], [], []
@@ -221,6 +223,7 @@ def _receiver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found(_MEMBERS, np.stack([key[inside].astype(np.int64), doc[inside]], 1))
 
 
+@frugal
 def _set_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole):

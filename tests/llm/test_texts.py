@@ -154,7 +154,7 @@ def test_lm_scores(spark):
 
 def test_lm_automaton():
     """Three words after which two, one and none follow; the arcs and failure arcs of each state sum to one."""
-    pairs = (np.array([-1, 0, 0, 1]), np.array([0, 0, 1, 0]), np.array([2, 1, 2, 1]))
+    pairs = (np.array([-1, 0, 0, 1]), np.array([0, 0, 1, 0]), np.array([2, 1, 3, 2]))
     m = lm_scoring.BackoffAutomaton.of(np.array([4, 2, 0]), np.array([2, 1, 0]), 2, 1, pairs, 6, 2)
     assert m.after.tolist() == [2, 3, lm_scoring.ROOT]
     for state in (lm_scoring.ROOT, m.start, 2, 3):
