@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language_id.train(docs)
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = docs.withColumn("__own", F.struct(*docs.columns)).select("__own", "text")
-    kept = language_id.predict(own, net).where(F.col("lang_pred") != language_id.UNKNOWN).select("lang_pred", "__own.*")
+    own = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__own"), "text")
+    kept = language_id.predict(own, net).where(F.col("lang_pred") != language_id.UNKNOWN).select("lang_pred", "text", "__own.*")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
