@@ -30,6 +30,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 4000, 1 << 16
 LEVEL = 1
 #: A page is closed at this many bytes of payload.
 PAGE_BYTES = 1 << 20
+#: Bytes of a Parquet row group, the least that is read to find a document.
+GROUP_BYTES = 8 << 20
+#: Up to this many documents are looked for by id in the files' statistics, more by least and greatest id.
+LOOKED_UP = 64
 STEP = 1 << 19
 
 
@@ -69,7 +73,7 @@ def _frames(path: str, end_id: int, dictionary, cuts, text: str):
     return run
 
 
-_PAGE = "part int, page int, dictionary_sha256 string, width int, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
+_PAGE = "part int, page int, first_id long, last_id long, dictionary_sha256 string, width int, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
 
 
 def _pages(sha: str, width: int):
@@ -78,8 +82,9 @@ def _pages(sha: str, width: int):
 
         def closed() -> pa.RecordBatch:
             ids, counts, frames = zip(*held, strict=True)
-            row = [part, page, sha, width, list(ids), list(counts), [0, *np.cumsum([len(x) for x in frames]).tolist()], b"".join(frames)]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            known = [k for k in ids if k is not None]
+            row = [part, page, min(known, default=None), max(known, default=None), sha, width, list(ids), list(counts), [0, *np.cumsum([len(x) for x in frames]).tolist()], b"".join(frames)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _PAGE.split(", ")])
 
         for batch in batches:
@@ -113,7 +118,7 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, *, end_id: int, doc
     spark.createDataFrame([(sha, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     frames = own.mapInArrow(_frames(path, end_id, sc.broadcast(dictionary), sc.broadcast(cuts), "text"), "part int, doc_id long, n long, frame binary")
     dealt = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "frame")
-    dealt.mapInArrow(_pages(sha, width), _PAGE).write.parquet(f"{folder}/pages")
+    dealt.mapInArrow(_pages(sha, width), _PAGE).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/pages")
     totals = spark.read.parquet(f"{folder}/pages").groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
     before, rows = 0, []
     for part, n in sorted(totals.collect()):  # one row a partition
@@ -122,7 +127,7 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, *, end_id: int, doc
     spark.createDataFrame(rows, "part int, base long").coalesce(1).write.parquet(f"{folder}/parts")
 
 
-def _unpack(dictionary, sha: str):
+def _unpack(dictionary, sha: str, wanted: frozenset[int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = dictionary.value
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data) if data else None)
@@ -132,8 +137,10 @@ def _unpack(dictionary, sha: str):
                     raise ValueError(f"page {row['part']}/{row['page']} was written with another dictionary")
                 payload, o, kind = row["payload"], row["offsets"], np.dtype(f"<u{row['width']}")
                 at = row["start"] + np.append(0, np.cumsum(row["counts"])[:-1])
-                ids = [np.frombuffer(unpack.decompress(payload[a:b]), kind).astype("<u4").tobytes() for a, b in zip(o, o[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                some = [k for k, d in enumerate(row["doc_ids"]) if wanted is None or d in wanted]
+                ids = [np.frombuffer(unpack.decompress(payload[o[k] : o[k + 1]]), kind).astype("<u4").tobytes() for k in some]
+                of = lambda values, some=some: pa.array([values[k] for k in some], pa.int64())
+                yield pa.RecordBatch.from_arrays([of(row["doc_ids"]), of(at.tolist()), of(row["counts"]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
@@ -141,8 +148,8 @@ def _unpack(dictionary, sha: str):
 def read_token_ids(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
     """The written documents: ``doc_id``, ``start``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit).
 
-    With ``doc_ids``, only these; pages without them are skipped before their
-    payload is unpacked.
+    With ``doc_ids``, only these: row groups without them are skipped by their
+    statistics, and of a page only their frames are cut out and unpacked.
     """
     sha, data = spark.read.parquet(f"{folder}/dictionary").first()
     pages = spark.read.schema(_PAGE).parquet(f"{folder}/pages").withColumn("n", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))
@@ -152,9 +159,14 @@ def read_token_ids(spark: SparkSession, folder: str, doc_ids: list[int] | None =
     starts = starts.join(base, "part").select("part", "page", (F.col("base") + F.col("before")).alias("start"))
     pages = pages.drop("n")
     if doc_ids is not None:
-        pages = pages.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, doc_ids))))
-    out = pages.join(starts, ["part", "page"]).mapInArrow(_unpack(spark.sparkContext.broadcast(bytes(data)), sha), "doc_id long, start long, n_tokens long, ids binary")
-    return out if doc_ids is None else out.where(F.col("doc_id").isin(doc_ids))
+        some = sorted(set(doc_ids))
+        spans = [(k, k) for k in some] if len(some) <= LOOKED_UP else [(some[0], some[-1])]
+        inside = F.lit(False)
+        for low, high in spans:
+            inside = inside | ((F.col("first_id") <= high) & (F.col("last_id") >= low))
+        pages = pages.where(inside)
+    wanted = None if doc_ids is None else frozenset(doc_ids)
+    return pages.join(starts, ["part", "page"]).mapInArrow(_unpack(spark.sparkContext.broadcast(bytes(data)), sha, wanted), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
