@@ -18,44 +18,52 @@ WINDOW = 13
 #: A document is contaminated from this share of hit words: 1 of 20.
 SHARE = 20
 #: Bytes of item text in one broadcast set; more items are taken in blocks of this size.
-BLOCK_BYTES = 4 << 20
-_SLOTS = 22
+BLOCK_BYTES = 16 << 20
 
 _ADDED = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_bits", pa.binary()), ("hit_items", pa.list_(pa.string()))])
 
 
 class TestWindows:
-    """The hash set of one block of items: hash -> window bytes and the items that hold it, by window length."""
+    """The hash set of one block of items: by window length, ascending hashes with each window's item and place in one text."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, list[str]]]]] = {}
-        found: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-        for item, text in items:
+        self.names, texts, size = [item for item, _ in items], [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        for k, (_, text) in enumerate(items):
             w = Words(pa.array([text]), ALNUM_KEEP)
             if length := min(n, len(w.starts)):
-                for k, h in enumerate(window_hashes(w.hashes, length).tolist()):
-                    owners = found[length][h][_joined(w, k, length)]
-                    if item not in owners:
-                        owners.append(item)
-        for length, windows in found.items():
-            hashes = np.sort(np.fromiter(windows, np.uint64, len(windows)))
-            slots = np.zeros(1 << _SLOTS, bool)
-            slots[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-            self.by_length[length] = hashes, slots, {h: dict(x) for h, x in windows.items()}
+                texts.append(_joined(w, 0, len(w.starts)))
+                end = size + np.cumsum(w.ends - w.starts + 1) - 1
+                start = end - (w.ends - w.starts)
+                size += len(texts[-1])
+                hashes = window_hashes(w.hashes, length)
+                found[length].append((hashes, np.full(len(hashes), k, np.int32), start[: len(hashes)], end[length - 1 :]))
+        self.text = b"".join(texts)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, parts in found.items():
+            hashes, item, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            bits = max(10, int(16 * len(hashes)).bit_length())  # a slot in 16 or fewer is taken
+            slots = np.zeros(1 << bits, bool)
+            slots[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.by_length[length] = hashes[order], item[order], start[order], end[order], slots
 
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words are hit, and the items found by document."""
         diff, items = np.zeros(len(w.starts) + 1, np.int64), defaultdict(set)
         document = w.document()
-        for length, (hashes, slots, windows) in self.by_length.items():
+        for length, (hashes, item, start, end, slots) in self.by_length.items():
             h = window_hashes(w.hashes, length)
-            for k in np.flatnonzero(slots[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]).tolist():
-                if document[k] != document[k + length - 1]:
-                    continue
-                at = int(np.searchsorted(hashes, h[k]))
-                if at < len(hashes) and hashes[at] == h[k] and (owners := windows[int(h[k])].get(_joined(w, k, length))):
+            bits = len(slots).bit_length() - 1
+            likely = np.flatnonzero(slots[(h >> np.uint64(64 - bits)).astype(np.int64)])
+            likely = likely[document[likely] == document[likely + length - 1]]
+            a, b = np.searchsorted(hashes, h[likely], "left"), np.searchsorted(hashes, h[likely], "right")
+            for k, first, last in zip(likely[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
+                own = _joined(w, k, length)
+                owners = [self.names[item[x]] for x in range(first, last) if self.text[start[x] : end[x]] == own]
+                if owners:
                     diff[k] += 1
                     diff[k + length] -= 1
                     items[int(document[k])].update(owners)
