@@ -172,3 +172,60 @@ def test_spans_to_sections(spark):
     _, built = documents_to_sections(spans(spark, rows), drawn)
     text = built.first().text
     assert "Some text here." in text and "[[TABLE|T1|Table 1 - Sizes]]" in text and "inside" not in text
+
+
+def drawn_on(spark, pages):
+    """Boxes of each page in drawing order, on pages of 600 x 800."""
+    rows = [(1, p, k, [float(v) for v in b], 600.0, 800.0) for p, boxes in pages.items() for k, b in enumerate(boxes)]
+    return spark.createDataFrame(rows, "doc_id long, page int, drawing_no long, bbox array<double>, page_w double, page_h double")
+
+
+def test_ruled_regions_of_many_pages(spark):
+    grid = lambda x, y, n=20: [(x + 20 * (k % 10), y + 30 * (k // 10), x + 20 * (k % 10) + 20, y + 30 * (k // 10) + 30) for k in range(n)]
+    frame = [(0, 0, 600, 800)] * 20
+    found = tables.ruled_regions(
+        drawn_on(
+            spark,
+            {
+                1: grid(100, 100),
+                2: grid(100, 100, 17),  # too few
+                3: grid(300, 400) + grid(50, 100),  # two apart, from the top down
+                4: frame,  # around the page
+                5: [(10, 10, 12, 12)] * 20,  # too small
+                6: grid(100, 100) + grid(100, 175),  # a gap of 15 between them: clusters of their own, too far to join
+                7: grid(100, 100) + grid(100, 170),  # a gap of 10: one cluster by padding
+            },
+        )
+    ).collect()
+    by_page = {}
+    for r in found:
+        by_page.setdefault(r.page, []).append([int(v) for v in r.bbox])
+    assert by_page == {1: [[100, 100, 300, 160]], 3: [[50, 100, 250, 160], [300, 400, 500, 460]], 6: [[100, 100, 300, 160], [100, 175, 300, 235]], 7: [[100, 100, 300, 230]]}
+
+
+def test_back_references_in_rules(spark):
+    df = spark.createDataFrame([("xx",), ("abab",), ("abcd",)], "text string")
+    assert [r.text for r in lines.remove_by_rules(df, {"regex": [r"^(x)\1$", r"^(ab)\1$"]}).collect()] == ["abcd"]
+
+
+def test_narrated_formulas(spark):
+    from lectern.plans import narrated_formulas
+
+    found = spark.createDataFrame([(1, 1, "paragraph", 1, None, "words"), (1, 2, "formula", 1, [0.0, 0.0, 9.0, 9.0], "(3)"), (1, 3, "formula", 2, [0.0, 0.0, 9.0, 9.0], "x = 1")], "doc_id long, block_no int, type string, page int, bbox array<double>, text string")
+    rows = spark.createDataFrame([], "doc_id long, page int, line_no long, text string, bbox array<double>, page_w double, page_h double")
+    seen = spark.createDataFrame([(1, "F3_p1_1", None, "a+b"), (1, "F2_p2_2", "no image", None)], "doc_id long, formula_id string, error string, ocr string")
+    made, tokens, said = narrated_formulas(found, rows, seen, providers=("ocr",))
+    assert [(r.formula_id, r.latex, r.provider, r.error) for r in made.orderBy("page").collect()] == [("F3_p1_1", "a+b", "ocr", None), ("F2_p2_2", "x = 1", "text", "no image")]
+    assert [r.text for r in tokens.where("block_no > 3").collect()] == ["[[FORMULA|F3_p1_1|]]"] and [r.formula_id for r in said.collect()] == ["F3_p1_1"]
+
+
+def test_command_line(spark, tmp_path):
+    from lectern.__main__ import main
+
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "00_a.txt").write_text("One line of 5 kg. Another.")
+    (tmp_path / "blocks.json").write_text('[{"page": 1, "type": "heading", "text": "1 Scope of it"}, {"page": 1, "type": "paragraph", "text": "body"}]')
+    for command, given in (("chunks", "texts"), ("ssml", "texts"), ("normalize", "texts"), ("sections", "blocks.json"), ("blocks", "blocks.json")):
+        main([command, str(tmp_path / given), str(tmp_path / command)], spark)
+        assert spark.read.json(str(tmp_path / command)).count() > 0, command
+    assert "5 kilograms" in spark.read.json(str(tmp_path / "normalize")).first().text
