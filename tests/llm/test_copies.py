@@ -260,7 +260,7 @@ def test_line_votes_of_any_length(spark):
     sig = signature(spark, texts_)
     for r in seen:
         assert [(r[f"n{p}"], r[f"b{p}"] % (1 << 64)) for p in range(4)] == sig[texts_[r.doc_id]]
-    assert [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()] == [0, 2] or len(seen) == 3
+    assert [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()] == [0, 2]
 
 
 def test_one_edit_always_leaves_blocks(spark):
