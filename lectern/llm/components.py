@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import discard, stored
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -17,8 +17,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round turns every node's links into links to its smallest neighbour
     (first for larger, then for smaller neighbours); a round's links are
-    written to the shared folder, and rounds end when nothing changes. A node
-    with very many links is only ever pre-aggregated or joined with one row.
+    written to the shared folder in place of the round's before, and rounds end
+    when nothing changes. A node with very many links is only ever
+    pre-aggregated or joined with one row.
     Links to itself and null ends are left out.
     """
     e = stored(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
@@ -29,7 +30,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(low.select("u", "m")).distinct(), "links")
+        done, e = e, stored(small.union(low.select("u", "m")).distinct(), "links")
+        discard(done)
         before, mark = mark, _mark(e)
         if mark == before:
             break
