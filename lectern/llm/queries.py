@@ -1,4 +1,4 @@
-"""The ten operators as queries with production parameters over whole tables, and their SQL where it exists."""
+"""The operators as queries with production parameters over whole tables, and their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -92,6 +92,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id is divisible by 7, the label is the next one."""
+    from pyspark.sql import functions as F
+
+    from lectern.llm import hard_negatives as t
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return t.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import importance as t
+
+    return t.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import fingerprints as t
+
+    return t.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -173,3 +195,47 @@ SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed
   sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+SQL_OP11_HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n USING (anchor_id) WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+SQL_OP12_IMPORTANCE = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+found AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM docs),
+wanted AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM items),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f FROM found UNION SELECT f FROM wanted), crc),
+corpus AS (SELECT b, count(*) AS n FROM found JOIN buckets USING (f) GROUP BY b),
+target AS (SELECT b, count(*) AS n FROM wanted JOIN buckets USING (f) GROUP BY b),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM found) + 10000.0::DOUBLE)
+    / ((c.n + 1.0::DOUBLE) * ((SELECT count(*) FROM wanted) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM corpus c LEFT JOIN target t USING (b)),
+weights AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM found JOIN buckets USING (f) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT docs.doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, len(w) AS n_words,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || docs.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN weights USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM scored WHERE n_words >= 20
+  QUALIFY rank <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CAST(rank AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
