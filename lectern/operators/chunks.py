@@ -11,16 +11,54 @@ from lectern.functions.text import block_ssml, clean_for_tts, paragraphs, strip,
 TEXT_CHARS, SSML_CHARS = 1800, 4000
 
 
-def packed(pieces: Column, longest: int) -> Column:
-    """Pieces, each with its own separators, packed in order; chunks are stripped."""
-    state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
+def starts(lengths: Column, longest: int) -> Column:
+    """Where chunks begin (from 0), if pieces of these lengths are packed in order while they fit, one at least.
+
+    By cumulative lengths each piece points to the one after the last that fits
+    with it; which pieces are reached from the first is found by pointer
+    jumping, so time grows with n log n and nothing but numbers is copied.
+    """
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    bits = lambda n: F.length(F.bin(n))
+    power = lambda t: F.call_function("shiftleft", F.lit(1), t)
+
+    def ends(n: Column) -> Column:
+        add = lambda s, t: F.transform(s, lambda x, i: x + F.coalesce(F.get(s, i - power(t)), F.lit(0)))
+        return F.aggregate(F.sequence(F.lit(0), bits(n) - 1), F.transform(lengths, lambda x: x.cast("long")), add)
+
+    def after(n: Column) -> Column:
+        def nexts(end: Column) -> Column:
+            def fitting(most: Column) -> Column:
+                step = lambda at, t: F.when((at + power(t) <= n) & (F.get(end, at + power(t) - 1) <= most), at + power(t)).otherwise(at)
+                return F.aggregate(F.sequence(bits(n) - 1, F.lit(0), F.lit(-1)), F.lit(0), step)
+
+            return F.transform(end, lambda e, i: F.greatest(i + 1, fitting(F.coalesce(F.get(end, i - 1), F.lit(0)) + longest)))
+
+        return let(ends(n), nexts)
+
+    def reached(n: Column) -> Column:
+        jump = lambda js, _: F.concat(js, F.array(let(F.element_at(js, -1), lambda j: F.transform(j, lambda k: F.get(j, k)))))
+        first = F.array(F.concat(after(n), F.array(n)))
+        jumps = F.aggregate(F.sequence(F.lit(1), bits(n)), first, jump)
+        both = lambda at, j: F.filter(F.flatten(F.transform(at, lambda k: F.array(k, F.get(j, k)))), lambda k: k < n)
+        return F.aggregate(F.reverse(jumps), F.array(F.lit(0)), both)
+
+    return F.when(F.size(lengths) > 0, let(F.size(lengths), reached)).otherwise(F.array().cast("array<int>"))
 
-    def add(a: Column, p: Column) -> Column:
-        full = (F.length(a["cur"]) + F.length(p) > longest) & (strip(a["cur"]) != "")
-        return F.when(full, state(F.concat(a["done"], F.array(strip(a["cur"]))), p)).otherwise(state(a["done"], F.concat(a["cur"], p)))
 
-    end = lambda a: F.when(strip(a["cur"]) != "", F.concat(a["done"], F.array(strip(a["cur"])))).otherwise(a["done"])
-    return F.aggregate(pieces, state(F.array().cast("array<string>"), F.lit("")), add, end)
+def grouped(pieces: Column, longest: int) -> Column:
+    """Pieces in order, in groups whose lengths add up to at most ``longest``; a longer piece is a group of its own."""
+
+    def cut(own: Column) -> Column:
+        at = starts(F.transform(own, F.length), longest)
+        return F.transform(F.array(at), lambda s: F.transform(s, lambda k, i: F.slice(own, k + 1, F.coalesce(F.get(s, i + 1), F.size(own)) - k)))[0]
+
+    return F.transform(F.array(pieces), cut)[0]
+
+
+def packed(pieces: Column, longest: int) -> Column:
+    """Pieces that are not blank, each with its own separators, packed in order; chunks are stripped."""
+    return F.transform(grouped(pieces, longest), lambda g: strip(F.array_join(g, "")))
 
 
 def text_chunks(c: Column, longest: int = TEXT_CHARS, header: Column | None = None) -> Column:
@@ -58,17 +96,8 @@ def block_chunks(blocks: DataFrame, *, longest: int = TEXT_CHARS, order: str = "
 
 def ssml_chunks(blocks: DataFrame, *, longest: int = SSML_CHARS, order: str = "block_no") -> DataFrame:
     """``doc_id, chunk_no, ssml, n_blocks``: spoken blocks in documents whose parts' lengths add up to at most ``longest``."""
-    rows = _in_order(blocks.withColumn("s", block_ssml(F.col("type"), F.col("text"))), "s", order=order)
-    state = lambda done, cur, n: F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"))
-    none = F.array().cast("array<string>")
-
-    def add(a: Column, b: Column) -> Column:
-        s = b["s"]
-        full = (F.size(a["cur"]) > 0) & (a["n"] + F.length(s) > longest)
-        return F.when(full, state(F.concat(a["done"], F.array(a["cur"])), F.array(s), F.length(s))).otherwise(state(a["done"], F.concat(a["cur"], F.array(s)), a["n"] + F.length(s)))
-
-    end = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-    found = F.aggregate("blocks", state(F.array().cast("array<array<string>>"), none, F.lit(0)), add, end)
+    rows = _in_order(blocks.withColumn("s", block_ssml(F.col("type"), F.col("text"))), "s", order=order).withColumn("parts", F.transform("blocks", lambda b: b["s"]))
+    found = grouped(F.col("parts"), longest)
     out = rows.select("doc_id", F.posexplode(found).alias("chunk_no", "parts"))
     return out.select("doc_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.concat(F.lit("<speak>\n"), F.array_join("parts", "\n"), F.lit("\n</speak>")).alias("ssml"), F.size("parts").alias("n_blocks"))
 

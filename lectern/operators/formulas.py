@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import filters as f
 from lectern.functions.geometry import height, middle_y, overlap_x
 from lectern.functions.text import latex_spoken, normalize_ws, spoken_ssml, strip
+from lectern.operators.spatial import close_by, within_ranges
 
 KEYS = ["doc_id", "page"]
 #: Reach of a numbered equation to all lines and to lines of the main column; of an unnumbered one, at least and in line heights.
@@ -20,10 +21,10 @@ def _deduplicated(regions: DataFrame, grain: int) -> DataFrame:
     return regions.withColumn("rn", F.row_number().over(Window.partitionBy(*KEYS, *cell).orderBy("line_no"))).where("rn = 1").drop("rn")
 
 
-def _around(anchors: DataFrame, lines: DataFrame, near: Column) -> DataFrame:
-    """Anchors with the corners of all lines near them; joined by page, the rest of the condition after."""
+def _around(anchors: DataFrame, lines: DataFrame, near: Column, reach: Column, *, bounded: bool) -> DataFrame:
+    """Anchors with the corners of all lines near them; joined by strips of the page that ``reach`` covers, the rest of the condition after."""
     others = lines.select("doc_id", "page", F.col("bbox").alias("other"), F.col("text").alias("other_text"), F.col("line_no").alias("other_no"))
-    both = anchors.join(others, KEYS).where(near)
+    both = close_by(anchors, others, KEYS, at=middle_y(F.col("bbox")), reach=reach, place=middle_y(F.col("other")), bounded=bounded).where(near)
     o = F.col("other")
     return both.groupBy(*KEYS, "line_no").agg(F.first("text").alias("text"), F.first("bbox").alias("anchor"), F.first("page_w").alias("page_w"), F.min(o[0]).alias("x0"), F.min(o[1]).alias("y0"), F.max(o[2]).alias("x1"), F.max(o[3]).alias("y1"))
 
@@ -36,7 +37,7 @@ def numbered_equations(lines: DataFrame) -> DataFrame:
     anchors = lines.where(alone | ending).withColumn("text", F.when(alone, t).otherwise(strip(F.regexp_extract(t, f.EQUATION_END, 0))))
     away = F.abs(middle_y(F.col("other")) - middle_y(b))
     near = (away <= NEAR) | ((away <= COLUMN_NEAR) & (F.col("other")[0] >= w * 0.05) & (F.col("other")[2] <= w * 0.95))
-    out = _around(anchors, lines, near).select(*KEYS, "line_no", F.array("x0", "y0", F.col("anchor")[2], "y1").alias("bbox"), "text")
+    out = _around(anchors, lines, near, F.lit(float(COLUMN_NEAR)), bounded=True).select(*KEYS, "line_no", F.array("x0", "y0", F.col("anchor")[2], "y1").alias("bbox"), "text")
     return _deduplicated(out, 5)
 
 
@@ -44,9 +45,10 @@ def displayed_equations(lines: DataFrame) -> DataFrame:
     """Regions around wide lines that look like formulas, with what is stacked above and below."""
     t, b, w = strip(F.col("text")), F.col("bbox"), F.col("page_w")
     anchors = lines.where((b[2] - b[0] >= w * 0.18) & (b[0] >= w * 0.04) & (t.contains("=") | f.formula_text(t)))
-    close = F.abs(middle_y(F.col("other")) - middle_y(b)) <= F.greatest(F.lit(float(LAYOUT_NEAR)), HEIGHTS * height(b))
+    reach = F.greatest(F.lit(float(LAYOUT_NEAR)), HEIGHTS * height(b))
+    close = F.abs(middle_y(F.col("other")) - middle_y(b)) <= reach
     near = (F.col("other_no") == F.col("line_no")) | (close & (overlap_x(b, F.col("other")) >= 0.35) & (F.length(strip(F.col("other_text"))) <= 120))
-    out = _around(anchors, lines, near).where(~((F.col("x1") - F.col("x0") > F.col("page_w") * 0.92) & (F.col("y1") - F.col("y0") > 160)))
+    out = _around(anchors, lines, near, reach, bounded=False).where(~((F.col("x1") - F.col("x0") > F.col("page_w") * 0.92) & (F.col("y1") - F.col("y0") > 160)))
     return _deduplicated(out.select(*KEYS, "line_no", F.array("x0", "y0", "x1", "y1").alias("bbox"), F.lit("").alias("text")), 8)
 
 
@@ -124,11 +126,10 @@ def narrations(formulas: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def append_to_sections(sections: DataFrame, told: DataFrame) -> DataFrame:
-    """Sections with the narrations of their pages' formulas at the end, by page and id."""
+    """Sections with the narrations of their pages' formulas at the end, by page and id. Sections are known by ``doc_id, section_no``."""
     n = told.select("doc_id", F.col("page").alias("at"), "formula_id", F.col("text").alias("told"))
-    inside = (sections["doc_id"] == n["doc_id"]) & n["at"].between(sections["page_start"], sections["page_end"])
-    both = sections.join(n, inside, "left").select(sections["*"], "at", "formula_id", "told")
-    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("at", "formula_id", "told")))), lambda x: F.concat(F.lit("- "), x["formula_id"], F.lit(" (page "), x["at"].cast("string"), F.lit("): "), x["told"]))
-    keep = [c for c in sections.columns if c not in ("doc_id", "section_no")]
-    out = both.groupBy("doc_id", "section_no").agg(*[F.first(c).alias(c) for c in keep], said.alias("said"))
-    return out.withColumn("text", F.when((F.size("said") > 0) & (F.col("text") != ""), strip(F.concat(F.col("text"), F.lit("\n\nFormulas in this section:\n"), F.array_join("said", "\n")))).otherwise(F.col("text"))).drop("said")
+    met = within_ranges(sections.select("doc_id", "section_no", "page_start", "page_end").distinct(), n, "doc_id", low="page_start", high="page_end", at="at")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("at", "formula_id", "told"))), lambda x: F.concat(F.lit("- "), x["formula_id"], F.lit(" (page "), x["at"].cast("string"), F.lit("): "), x["told"]))
+    out = sections.join(met.groupBy("doc_id", "section_no").agg(said.alias("said")), ["doc_id", "section_no"], "left")
+    appended = strip(F.concat(F.col("text"), F.lit("\n\nFormulas in this section:\n"), F.array_join("said", "\n")))
+    return out.withColumn("text", F.when((F.size("said") > 0) & (F.col("text") != ""), appended).otherwise(F.col("text"))).select(*sections.columns)
