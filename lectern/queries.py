@@ -15,7 +15,7 @@ from lectern.functions import filters as f
 from lectern.functions import text as t
 from lectern.functions import tokens as k
 from lectern.operators import blocks as b
-from lectern.operators import chunks, formulas, lines, overlay, sections, tables, toc
+from lectern.operators import chunks, formulas, lines, overlay, recognise, rules, sections, tables, toc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -192,6 +192,39 @@ def dictionary_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.apply_dictionary(F.col("text"), rules).alias("text"))
 
 
+def _benchmark_words(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """``find, position``: the different words of ``benchmark``, by length and alphabet."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("find")).where(F.length("find") >= least).distinct()
+    return words.withColumn("position", F.row_number().over(Window.orderBy(F.length("find"), F.col("find"))))
+
+
+RULE_WORDS = "SELECT find, row_number() OVER (ORDER BY length(find), find) AS position FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS find FROM benchmark) WHERE length(find) >= {}"
+
+
+@query(
+    f"WITH r AS ({RULE_WORDS.format(4)}), a AS (SELECT list(find || chr(1) || substr(find, 2) || position ORDER BY position) AS rules FROM r) "
+    "SELECT doc_id, sha256(list_reduce(list_prepend(text, rules), lambda t, x: replace(t, split_part(x, chr(1), 1), split_part(x, chr(1), 2)))) AS text_sha256 FROM documents, a"
+)
+def rule_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark as a rule; what one rule puts in, a later one may find."""
+    words = _benchmark_words(spark, sf_dir, 4)
+    own = words.select("position", "find", F.concat(F.expr("substr(find, 2)"), F.col("position").cast("string")).alias("replace"), F.lit(True).alias("case_sensitive"))
+    out = rules.replace_by_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), own)
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query(
+    f"WITH {LINES}, r AS ({RULE_WORDS.format(9)}), t AS (SELECT doc_id, line_no, trim(text, ' ' || chr(9)) AS t FROM l), firsts AS (SELECT DISTINCT t FROM t WHERE line_no = 0) "
+    "SELECT doc_id, line_no FROM t WHERE t = '' OR (t NOT IN (SELECT t FROM firsts) AND NOT EXISTS (SELECT 1 FROM r WHERE contains(lower(t), lower(find))))"
+)
+def rule_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no document's first line and hold no long word of the benchmark: exact and pattern rules from tables."""
+    found = doc_lines(spark, sf_dir)
+    exact = found.where("line_no = 0").select(F.lit(0).alias("position"), t.strip(F.col("text")).alias("find"), F.lit("exact").alias("match_type")).distinct()
+    patterns = _benchmark_words(spark, sf_dir, 9).select("position", F.concat(F.lit("(?:"), "find", F.lit(")[a-z]*")).alias("find"), F.lit("regex").alias("match_type"))
+    return rules.drop_by_rules(found, exact.unionByName(patterns)).select("doc_id", "line_no")
+
+
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g'), chr(10) || ' ') AS text FROM conversations""")
 def selection_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.normalize_selection(F.col("text"), fix_hyphens=False).alias("text"))
@@ -681,6 +714,27 @@ def recognition_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.cached(rows.select("o_orderkey", "sha256"), cache).select("o_orderkey", "latex", "provider")
 
 
+def _first_half(contents: list[bytes]) -> list[str | None]:
+    return ["??" if len(c) % 3 == 0 else c[: len(c) // 2].decode(errors="replace") for c in contents]
+
+
+def _failing(contents: list[bytes]) -> list[str | None]:
+    if any(len(c) % 2 for c in contents):
+        raise ValueError("odd")
+    return [f"x = {len(c)}" for c in contents]
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN n % 3 <> 0 THEN substr(c, 1, n // 2) WHEN n % 2 = 0 THEN 'x = ' || n END AS latex, CASE WHEN n % 3 <> 0 THEN 'half' WHEN n % 2 = 0 THEN 'length' END AS provider, "
+    "CASE WHEN n % 3 = 0 AND n % 2 = 1 THEN 'length: ValueError: odd' END AS error FROM (SELECT o_orderkey, o_orderpriority || repeat('c', CAST(o_custkey % 12 AS INT)) AS c, length(o_orderpriority) + CAST(o_custkey % 12 AS INT) AS n FROM orders)"
+)
+def recognition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recognisers over contents that many rows share; the second is asked for what the first reads badly, and fails on some."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(concat(o_orderpriority, repeat('c', cast(o_custkey % 12 as int))) as binary)").alias("image"))
+    found = recognise.readings(rows, [("half", lambda: _first_half), ("length", lambda: _failing)])
+    return recognise.with_readings(rows, found).select("o_orderkey", "latex", "provider", "error")
+
+
 @query("SELECT conv_id AS doc_id, count(*) AS n_parts, sha256(string_agg(text, '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id")
 def audio_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part_no"), F.lit("22050 Hz").alias("params"), F.col("text").cast("binary").alias("frames"))
