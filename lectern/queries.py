@@ -225,9 +225,14 @@ def rule_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.drop_by_rules(found, exact.unionByName(patterns)).select("doc_id", "line_no")
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g'), chr(10) || ' ') AS text FROM conversations""")
+@query(
+    r"""WITH cut AS (SELECT conv_id, turn, regexp_replace(replace(text, ' the', '-' || chr(10) || ' the'), '([\p{L}\p{M}\p{N}_])-\s*\n\s*([\p{L}\p{M}\p{N}_])', '\1\2', 'g') AS text FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g'), chr(10) || ' ') AS text FROM cut"""
+)
 def selection_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.normalize_selection(F.col("text"), fix_hyphens=False).alias("text"))
+    """Passages with lines that are cut at hyphens."""
+    cut = F.replace(F.col("text"), F.lit(" the"), F.lit("-\n the"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.normalize_selection(cut).alias("text"))
 
 
 @query(r"""SELECT conv_id, turn, '<speak><s>' || replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), ' ') || '</s></speak>' AS ssml FROM conversations""")
@@ -361,10 +366,24 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "title", "page_start", "page_end", "text")
 
 
-@query(f"WITH {HEADINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS section_no, page_start, page_end, len(regexp_extract_all(text, '\\S+')) AS word_count, 0 AS table_count FROM sections")
+TABLED = HEADINGS.replace("hb AS (", "plain AS (").replace("ok AS (SELECT", "hb AS (SELECT * REPLACE (CASE WHEN block_no % 17 = 9 THEN 'table' ELSE type END AS type, CASE WHEN block_no % 17 = 9 THEN '[[TABLE|T' || block_no || '|Table ' || block_no || ']]' ELSE text END AS text) FROM plain WHERE text <> ''),\nok AS (SELECT", 1)
+SECTION_ID = r"""CASE WHEN seq = 0 THEN '00_front_matter' ELSE regexp_extract(first, '^([0-9]+(\.[0-9]+)*)\s+(.+)$', 1) || '_' || substr(coalesce(nullif(trim(regexp_replace(regexp_replace(lower(regexp_extract(first, '^([0-9]+(\.[0-9]+)*)\s+(.+)$', 3)), '[^a-z0-9\s_]+', '', 'g'), '\s+', '_', 'g'), '_'), ''), 'section'), 1, 60) END"""
+
+
+@query(
+    f"WITH {TABLED}, tables AS (SELECT doc_id, seq, string_agg('T' || block_no || ' Table ' || block_no || ' ' || page, ';' ORDER BY block_no) AS tables, count(*) AS n FROM seqs WHERE type = 'table' GROUP BY ALL), "
+    f"m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS section_no, {SECTION_ID} AS id, {SECTION_NAMES} FROM sections) "
+    "SELECT doc_id, section_no, id, title, printf('%02d_%s.txt', section_no, id) AS file, page_start, page_end, len(regexp_extract_all(text, '\\S+')) AS word_count, coalesce(tables, '') AS tables, coalesce(n, 0) AS table_count FROM m LEFT JOIN tables USING (doc_id, seq)"
+)
 def section_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sections.manifest(sections.build(heading_blocks(spark, sf_dir)))
-    return out.select("doc_id", F.col("order").cast("long").alias("section_no"), "page_start", "page_end", F.col("word_count").cast("long").alias("word_count"), "table_count")
+    """Every 17th line stands for a table."""
+    here = F.col("block_no") % 17 == 9
+    own = lambda *parts: F.when(here, F.concat(*parts))
+    number = F.col("block_no").cast("string")
+    rows = heading_blocks(spark, sf_dir).where("text <> ''").withColumn("type", F.when(here, "table").otherwise(F.col("type")))
+    out = sections.manifest(sections.build(rows.withColumns({"table_id": own(F.lit("T"), number), "caption": own(F.lit("Table "), number)})))
+    listed = F.array_join(F.transform("tables", lambda x: F.concat_ws(" ", x["table_id"], x["caption"], x["page"].cast("string"))), ";")
+    return out.select("doc_id", F.col("order").cast("long").alias("section_no"), "id", "title", "file", "page_start", "page_end", F.col("word_count").cast("long").alias("word_count"), listed.alias("tables"), F.col("table_count").cast("long").alias("table_count"))
 
 
 OUTLINE = f"""{LINES}, o AS (SELECT doc_id, line_no, CAST(line_no // 20 + 1 AS INT) AS page, CASE WHEN line_no % 7 = 3 THEN 'Annex ' || chr(CAST(65 + line_no % 5 AS INT)) || ' more' WHEN line_no % 11 = 5 THEN 'Scope' ELSE '> ' || text END AS text FROM l),
@@ -448,20 +467,34 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("conv_id as doc_id", "turn as block_no", "case when role = 'user' then 'heading' else 'paragraph' end as type", "text")
 
 
-TURNS = f"""p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(t) + CASE WHEN role = 'user' THEN 4 ELSE 2 END AS size FROM (SELECT *, {ws("regexp_replace(text, '<[^>]+>', ' ', 'g')")} AS t FROM conversations) WHERE t <> '')"""
+TURNS = f"""t AS (SELECT *, {ws("regexp_replace(text, '<[^>]+>', ' ', 'g')")} AS t FROM conversations),
+p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE WHEN role = 'user' THEN chr(10) || chr(10) ELSE '' END || t || chr(10) || chr(10) AS piece FROM t WHERE t <> '')"""
+SPOKEN_TURNS = f"""t AS (SELECT *, replace(replace(replace({ws('text')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM conversations),
+p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+  CASE WHEN role = 'user' THEN '<break time="600ms"/><emphasis level="moderate">' || t || '</emphasis><break time="400ms"/>' ELSE t || '<break time="350ms"/>' END AS piece FROM t)"""
+
+
+def _greedy(longest: int) -> str:
+    """Chunks by a walk over the pieces ``p``."""
+    return f"""c AS (SELECT doc_id, n, 1 AS chunk_no, length(piece) AS size FROM p WHERE n = 1
+  UNION ALL SELECT p.doc_id, p.n, CASE WHEN c.size + length(piece) > {longest} THEN c.chunk_no + 1 ELSE c.chunk_no END, CASE WHEN c.size + length(piece) > {longest} THEN length(piece) ELSE c.size + length(piece) END FROM c JOIN p ON p.doc_id = c.doc_id AND p.n = c.n + 1)"""
 
 
 @query(
-    f"WITH RECURSIVE {TURNS}, c AS (SELECT doc_id, n, 1 AS chunk_no, size FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, CASE WHEN c.size + p.size > 600 THEN c.chunk_no + 1 ELSE c.chunk_no END, CASE WHEN c.size + p.size > 600 THEN p.size ELSE c.size + p.size END FROM c JOIN p ON p.doc_id = c.doc_id AND p.n = c.n + 1) "
-    "SELECT doc_id, max(chunk_no) AS n_chunks FROM c GROUP BY doc_id"
+    f"WITH RECURSIVE {TURNS}, {_greedy(600)}, g AS (SELECT doc_id, chunk_no, trim(string_agg(piece, '' ORDER BY n), chr(10)) AS text FROM c JOIN p USING (doc_id, n) GROUP BY ALL) "
+    "SELECT doc_id, chunk_no, text, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words FROM g"
 )
 def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.block_chunks(_turns(spark, sf_dir), longest=600).groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"))
+    out = chunks.block_chunks(_turns(spark, sf_dir), longest=600)
+    return out.select("doc_id", "chunk_no", "text", F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SPOKEN_TURNS}, {_greedy(4000)} "
+    "SELECT doc_id, chunk_no, '<speak>' || chr(10) || string_agg(piece, chr(10) ORDER BY n) || chr(10) || '</speak>' AS ssml, count(*) AS n_blocks FROM c JOIN p USING (doc_id, n) GROUP BY ALL"
+)
 def ssml_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.ssml_chunks(_turns(spark, sf_dir))
+    return chunks.ssml_chunks(_turns(spark, sf_dir)).withColumn("n_blocks", F.col("n_blocks").cast("long"))
 
 
 @query("SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words, len(string_split(text, chr(10))) AS n_lines FROM documents")
@@ -528,10 +561,17 @@ def _token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT o_custkey AS doc_id, 'T' || (o_orderkey % 3) AS table_id, count(*) AS n, min(o_orderkey % 9 + 1) AS first_page FROM (SELECT DISTINCT o_custkey, o_orderkey % 3 AS o_orderkey_3, o_orderkey % 9 AS p, o_orderkey % 5 AS h, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) GROUP BY 1, 2")
+@query(
+    "WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS k, 'T' || (o_orderkey % 3) AS table_id, 't' || (o_orderkey % 5) AS hit, o_orderkey % 9 + 1 AS page, 'Table ' || (o_orderkey % 3) || ' of ' || o_orderkey AS caption FROM orders), "
+    "o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, table_id, page, hit ORDER BY k) = 1), "
+    "g AS (SELECT doc_id, table_id, string_agg(page || ' ' || hit || ' ' || caption, ';' ORDER BY page, k) AS occurrences, min(page) AS first_page FROM o GROUP BY ALL), "
+    "c AS (SELECT doc_id, table_id, caption FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, table_id ORDER BY length(caption) DESC, k) = 1) "
+    "SELECT doc_id, table_id, caption, occurrences, row_number() OVER (PARTITION BY doc_id ORDER BY first_page, table_id) AS position FROM g JOIN c USING (doc_id, table_id)"
+)
 def table_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tables.index(_token_blocks(spark, sf_dir))
-    return out.select("doc_id", "table_id", F.size("occurrences").cast("long").alias("n"), F.element_at("occurrences", 1)["page"].cast("long").alias("first_page"))
+    seen = F.array_join(F.transform("occurrences", lambda x: F.concat_ws(" ", x["page"].cast("string"), x["hit_id"], x["caption"])), ";")
+    return out.select("doc_id", "table_id", "caption", seen.alias("occurrences"), F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT p_partkey, 'T' || CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_partkey % 10000 ELSE p_size + 1 END AS table_id FROM part")
@@ -641,13 +681,14 @@ def formula_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {HEADINGS}, f AS (SELECT doc_id, page, line_no FROM layout WHERE line_no % 13 = 6), h AS (SELECT s.doc_id, s.seq, count(f.line_no) AS n FROM sections s LEFT JOIN f ON s.doc_id = f.doc_id AND f.page BETWEEN s.page_start AND s.page_end GROUP BY 1, 2) "
-    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS section_no, n AS formulas FROM h"
+    f"WITH {HEADINGS}, f AS (SELECT doc_id, page, 'F' || line_no AS id FROM layout WHERE line_no % 13 = 6), "
+    "n AS (SELECT s.doc_id, s.seq, string_agg('- ' || id || ' (page ' || f.page || '): qqq', chr(10) ORDER BY f.page, id) AS told FROM sections s JOIN f ON s.doc_id = f.doc_id AND f.page BETWEEN s.page_start AND s.page_end GROUP BY 1, 2) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS section_no, text || coalesce(chr(10) || chr(10) || 'Formulas in this section:' || chr(10) || told, '') AS text FROM sections LEFT JOIN n USING (doc_id, seq)"
 )
 def section_formula_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = layout(spark, sf_dir).where("line_no % 13 = 6").selectExpr("doc_id", "page", "concat('F', line_no) as formula_id", "'qqq' as text")
     out = formulas.append_to_sections(sections.build(heading_blocks(spark, sf_dir)), told)
-    return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.regexp_count("text", F.lit(": qqq")).cast("long").alias("formulas"))
+    return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "text")
 
 
 @query(
@@ -661,21 +702,31 @@ def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {FORMULAS}, tiers AS (SELECT doc_id, page, line_no, 0 AS tier FROM eqd WHERE rn = 1 UNION ALL SELECT doc_id, page, line_no, 1 FROM lyd WHERE rn = 1 UNION ALL SELECT doc_id, page, line_no, 2 FROM fl WHERE doc_id % 3 = 2 AND line_no % 10 = 4), "
-    "s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS seq FROM tiers) "
-    "SELECT doc_id, 'F' || CASE WHEN tier = 0 THEN line_no ELSE seq END || '_p' || page || '_' || seq AS formula_id, page, "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS seq FROM tiers), "
+    "made AS (SELECT doc_id, 'F' || CASE WHEN tier = 0 THEN line_no ELSE seq END || '_p' || page || '_' || seq AS formula_id, page, "
     "CASE WHEN seq % 4 = 0 THEN 'first' WHEN seq % 4 = 1 THEN 'second' ELSE 'text' END AS provider, "
-    "CASE WHEN seq % 4 = 0 THEN 'p=q' WHEN seq % 4 = 1 THEN 'r=s' WHEN tier = 0 THEN '(' || line_no || ')' WHEN tier = 1 THEN '' ELSE 'z = b x' END AS latex, CASE WHEN seq % 4 = 3 THEN 'no image' END AS error FROM s"
+    "CASE WHEN seq % 4 = 0 THEN 'p=q' WHEN seq % 4 = 1 THEN 'r=s' WHEN tier = 0 THEN '(' || line_no || ')' WHEN tier = 1 THEN '' ELSE 'z = b x' END AS latex, CASE WHEN seq % 4 = 3 THEN 'no image' END AS error FROM s), "
+    "spoken AS (SELECT *, CASE latex WHEN 'p=q' THEN 'p equals q' WHEN 'r=s' THEN 'r equals s' WHEN 'z = b x' THEN 'z equals b x' ELSE latex END AS said FROM made) "
+    "SELECT 'formula' AS result, doc_id, CAST(NULL AS BIGINT) AS block_no, formula_id, page, provider, latex AS text, error FROM made "
+    "UNION ALL SELECT 'block', doc_id, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY page, formula_id), NULL, page, NULL, '[[FORMULA|' || formula_id || '|]]', NULL FROM made WHERE error IS NULL "
+    "UNION ALL SELECT 'block', doc_id, 1, NULL, 1, NULL, 'words', NULL FROM documents "
+    "UNION ALL SELECT 'narration', doc_id, NULL, formula_id, page, NULL, CASE WHEN formula_id LIKE 'F4%' THEN 'of doc ' || doc_id ELSE said END, NULL FROM spoken WHERE error IS NULL AND (said <> '' OR formula_id LIKE 'F4%')"
 )
 def formula_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions to recognised formulas: two recognisers, the second asked where the first is bad, some images missing."""
+    """Regions to formulas, blocks with their tokens, and narrations: two recognisers, the second asked where the first is bad, some images missing, some formulas told by the user."""
     from lectern import plans
 
     rows = _formula_lines(spark, sf_dir)
-    nothing = spark.createDataFrame([], "doc_id long, block_no long, type string, page int, bbox array<double>, text string")
+    found = table(spark, sf_dir, "documents").selectExpr("doc_id", "1L as block_no", "'paragraph' as type", "1 as page", "cast(null as array<double>) as bbox", "'words' as text")
     seq = "cast(regexp_extract(formula_id, '_([0-9]+)$', 1) as int)"
-    ids = plans.narrated_formulas(nothing, rows)[0]
+    ids = plans.narrated_formulas(found, rows)[0]
     seen = ids.selectExpr("doc_id", "formula_id", f"case {seq} % 4 when 0 then 'p=q' when 1 then '??' end as first", f"case when {seq} % 4 = 1 then 'r=s' end as second", f"case when {seq} % 4 = 3 then 'no image' end as error")
-    return plans.narrated_formulas(nothing, rows, seen, providers=("first", "second"))[0].select("doc_id", "formula_id", "page", "provider", "latex", "error")
+    told = ids.where("formula_id like 'F4%'").selectExpr("doc_id", "formula_id as id", "concat(' of doc ', doc_id) as text")
+    made, blocks, said = plans.narrated_formulas(found, rows, seen, told, providers=("first", "second"))
+    row = lambda df, kind, **c: df.select(F.lit(kind).alias("result"), "doc_id", *[F.expr(c.get(k, f"cast(null as {t})")).alias(k) for k, t in (("block_no", "long"), ("formula_id", "string"), ("page", "int"), ("provider", "string"), ("text", "string"), ("error", "string"))])
+    out = row(made, "formula", formula_id="formula_id", page="page", provider="provider", text="latex", error="error")
+    out = out.unionByName(row(blocks, "block", block_no="cast(block_no as long)", page="page", text="text"))
+    return out.unionByName(row(said, "narration", formula_id="formula_id", page="page", text="text"))
 
 
 @query()
@@ -726,11 +777,11 @@ def _failing(contents: list[bytes]) -> list[str | None]:
 
 @query(
     "SELECT o_orderkey, CASE WHEN n % 3 <> 0 THEN substr(c, 1, n // 2) WHEN n % 2 = 0 THEN 'x = ' || n END AS latex, CASE WHEN n % 3 <> 0 THEN 'half' WHEN n % 2 = 0 THEN 'length' END AS provider, "
-    "CASE WHEN n % 3 = 0 AND n % 2 = 1 THEN 'length: ValueError: odd' END AS error FROM (SELECT o_orderkey, o_orderpriority || repeat('c', CAST(o_custkey % 12 AS INT)) AS c, length(o_orderpriority) + CAST(o_custkey % 12 AS INT) AS n FROM orders)"
+    "CASE WHEN n % 3 = 0 AND n % 2 = 1 THEN 'length: ValueError: odd' END AS error FROM (SELECT o_orderkey, 'price ' || o_orderpriority || repeat('c', CAST(o_custkey % 12 AS INT)) AS c, 6 + length(o_orderpriority) + CAST(o_custkey % 12 AS INT) AS n FROM orders)"
 )
 def recognition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two recognisers over contents that many rows share; the second is asked for what the first reads badly, and fails on some."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(concat(o_orderpriority, repeat('c', cast(o_custkey % 12 as int))) as binary)").alias("image"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(concat('price ', o_orderpriority, repeat('c', cast(o_custkey % 12 as int))) as binary)").alias("image"))
     found = recognise.readings(rows, [("half", lambda: _first_half), ("length", lambda: _failing)])
     return recognise.with_readings(rows, found).select("o_orderkey", "latex", "provider", "error")
 
