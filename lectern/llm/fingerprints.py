@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import shuffles
+
 #: Code points of a k-gram, k-grams of a window, and of a piece (with the overlap fewer than 2^POSITION_BITS).
-K, WINDOW, PIECE, POSITION_BITS = 16, 32, 16384, 15
+K, WINDOW, PIECE, POSITION_BITS = 16, 64, 16384, 15
 #: Code points of the pieces that very long texts are cut into first, since a cut counts code points from the start.
 LONG = 1 << 20
-#: Bytes of text in a range of ids, and the most ranges (their bounds are held by the driver).
-RANGE_BYTES, RANGES = 16 << 20, 10_000
+#: Bytes of text in a range of ids, the most ranges (their bounds are held by the driver), and bytes in a task.
+RANGE_BYTES, RANGES, TASK_BYTES = 2 << 20, 10_000, 16 << 20
 
 FINGERPRINT = "array<struct<position:int,hash:bigint>>"
 
@@ -40,10 +42,22 @@ def _cuts(text: Column, size: int, overlap: int, least: int) -> Column:
 
 
 def _blocks(piece: Column) -> Column:
-    """Of each block of a piece, its keys: hash, then place from the right, so that keys differ and the rightmost of equal hashes is least."""
+    """Of each block of a piece, its keys: hash, then place from the right, so that keys differ and the rightmost of equal hashes is least.
+
+    A block of one-byte letters is cut as bytes, which needs no count of letters.
+    """
     half, last = WINDOW // 2, (1 << POSITION_BITS) - 1
-    places = lambda z: F.sequence(F.lit(1), F.greatest(F.length(z) - (K - 1), F.lit(1)))
-    keys = lambda z, b: _let(F.lit(last) - b * half, lambda end: F.transform(places(z), lambda i: F.shiftleft(F.xxhash64(F.substring(z, i, F.lit(K))), POSITION_BITS) + (end - i)))
+    key = lambda gram, end, i: F.shiftleft(F.xxhash64(gram), POSITION_BITS) + (end - i)
+
+    def keys(z: Column, b: Column) -> Column:
+        def of_block(end: Column) -> Column:
+            every = F.array(*[F.lit(i) for i in range(1, half + 1)])
+            places = lambda raw: F.when(F.length(raw) == half + K - 1, every).otherwise(F.sequence(F.lit(1), F.greatest(F.length(raw) - (K - 1), F.lit(1))))
+            plain = lambda raw: F.transform(places(raw), lambda i: key(F.substring(raw, i, F.lit(K)), end, i))
+            return F.when(F.length(z) == F.octet_length(z), _let(z.cast("binary"), plain)).otherwise(plain(z))
+
+        return _let(F.lit(last) - b * half, of_block)
+
     coarse = _cuts(piece, 32 * half, K - 1, K)
     return F.transform(F.flatten(F.transform(coarse, lambda q: _cuts(q, half, K - 1, K))), keys)
 
@@ -60,15 +74,18 @@ def _left(blocks: Column) -> Column:
 
 def _kept(piece: Column) -> Column:
     """Keys of a piece that are the least of one of its windows, by place."""
-    last = (1 << POSITION_BITS) - 1
-    place = lambda k: F.lit(last) - k.bitwiseAND(F.lit(last))
+    low = F.lit((1 << POSITION_BITS) - 1)
 
     def chosen(n: Column) -> Column:
         def stays(pool: Column, k: Column) -> Column:
-            """Whether the places between the next smaller keys to both sides have room for a window."""
-            before = F.array_max(F.transform(pool, lambda o: F.when((o < k) & (place(o) < place(k)), place(o)).otherwise(0)))
-            after = F.array_min(F.transform(pool, lambda o: F.when((o < k) & (place(o) > place(k)), place(o)).otherwise(n + 1)))
-            return after - before > F.least(F.lit(WINDOW), n)
+            """Whether the places between the next smaller keys to both sides have room for a window; places are counted from the right."""
+
+            def room(smaller: Column) -> Column:
+                before = F.array_min(F.transform(smaller, lambda o: F.when(o.bitwiseAND(low) > k.bitwiseAND(low), o.bitwiseAND(low))))
+                after = F.array_max(F.transform(smaller, lambda o: F.when(o.bitwiseAND(low) < k.bitwiseAND(low), o.bitwiseAND(low))))
+                return F.coalesce(before, low) - F.coalesce(after, low - 1 - n) > F.least(F.lit(WINDOW), n)
+
+            return _let(F.filter(pool, lambda o: o < k), room)
 
         def of_blocks(left: Column) -> Column:
             def of_block(own: Column, b: Column) -> Column:
@@ -234,7 +251,7 @@ def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     dealt = own.join(F.broadcast(places), ["part", "k", "tie"], "left")
     here, there = F.struct(F.col("part").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
     dealt = dealt.withColumn("to", F.explode(F.when(F.col("host").isNull(), F.array(here)).otherwise(F.array(here, there)))).select("doc_id", "text", "k", "tie", "to.at", "to.guest")
-    dealt = dealt.repartition(max(len(tops), 1), "at").withColumn("fp", fingerprint(F.col("text")))
+    dealt = dealt.repartition(max(shuffles(spark), -(-size // TASK_BYTES)), "at").withColumn("fp", fingerprint(F.col("text")))
     after = Window.partitionBy("at").orderBy("guest", F.desc("k"), F.desc("tie"), F.desc("text"))
     return dealt.withColumns({"next_text": F.lead("text").over(after), "next_fp": F.lead("fp").over(after)}).where("not guest").select("doc_id", "text", "fp", "next_text", "next_fp")
 
