@@ -1,18 +1,23 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole join of its blocks, edit similarity, one occurrence a group.
+"""Fuzzy line deduplication: sketches of normalised lines, pigeonhole join of their blocks, edit similarity, one occurrence a group.
 
 A line is normalised to lower case with every run of other characters than
-letters and digits as one space. Two lines link when at most a tenth (rounded:
-``(n + 5) div 10``) of the longer's ``n`` words are put in, taken out or
-replaced, the order of words counting. Of all occurrences of the lines of a
-connected group the first stays, by document id and line number. Lines without
-letters and digits always stay.
-
-The SimHash has ``PARTS`` blocks of 32 bits. A word's hash names the block that
-it votes on, so a replaced word touches two blocks at most and a word put in or
-taken out one, wherever it stands. Lines that agree in any two blocks are
-compared: after one edit two blocks are always left, after several with a
-chance that README.md gives as measured. Two blocks that hold fewer than
-``LEAST`` words together say too little and are not joined on.
+letters and digits as one space. Two lines link when at most d words are put
+in, taken out or replaced, the order of words counting, where d is a tenth of
+the longer's ``n`` words, rounded (``(n + 5) div 10``), and ``MOST`` at most.
+Of all occurrences of the lines of a connected group the first stays, by
+document id and line number. Lines without letters and digits always stay.
+
+Every word belongs to one of 2d + 1 blocks by its hash, wherever it stands. One
+edit touches two blocks at most, so after d edits one block holds the same
+words: lines meet under the sum of hashes of each block. A line whose partner
+may allow one edit more sends keys for 2d + 3 blocks, too. So no link is lost.
+
+Blocks of few words, and keys that a sample shows to be frequent, say too little.
+Outside such a block d edits leave all but d words in common, so of the first
+d + k words there, in one fixed order of all words (long ones first), lines share
+k: they meet under the block with each k of those words instead. Before texts
+are looked at, a parity sketch of 64 bits, in which every word turns one bit and
+an edit two at most, rules out lines that merely share a key.
 
 Everything is DataFrame operations. Equal lines are known by two 64-bit hashes;
 lines that share only one of them are left alone. Edits are counted on strings
@@ -30,15 +35,15 @@ from pyspark.sql import functions as F
 from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, stored
 from lectern.llm.components import connected_components
 
-#: Blocks of the SimHash; longs of eight 8-bit counters for a block's 32 bits.
-PARTS, LONGS = 4, 4
-#: Words whose votes are counted in 8 bits; longer lines are counted in pieces.
-PIECE = 127
-#: Words that the two blocks of a key must hold.
+#: Edited words allowed: (words + 5) div TENTH, and MOST at most.
+TENTH, MOST = 10, 3
+#: Words that a block must hold to be a key by itself.
 LEAST = 3
-#: Edited words allowed: (words + 5) div TENTH.
-TENTH = 10
-#: A key found this often among a sixteenth of the lines is dealt over several tasks.
+#: Words outside a block that a finer key takes, of blocks of few words and of frequent ones.
+FEW, MANY = 2, 3
+#: Words of a line that are kept for finer keys.
+RARE = 16
+#: A key found this often among a sixteenth of the lines is frequent, or, if it is a finer one, dealt over several tasks.
 HOT = 16
 #: Lines of a key that go to one task.
 SLICE = 4096
@@ -54,55 +59,57 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), _RUN, " ")
 
 
-def allowed(a: str, b: str) -> Column:
-    return F.expr(f"cast((greatest({a}, {b}) + 5) div {TENTH} as int)")
+def allowed(a: str | Column, b: str | Column) -> Column:
+    n = F.greatest(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+    return F.least(F.floor((n + 5) / TENTH), F.lit(MOST)).cast("int")
 
 
-def _each(mask: int, width: int) -> int:
-    return sum(mask << k for k in range(0, 64, width))
+def sketched(line: Column) -> Column:
+    """``struct(n, sketch, rare, own, next)`` of a normalised line: words, parity sketch, hashes of its first words in the fixed order, sums of blocks for the edits that it allows and, where a partner may allow one more, for one more (else empty)."""
+    words = F.split(line, " ")
+    h = F.transform(words, lambda w: F.struct((F.least(F.length(w), F.lit(15)) + F.when(w < ":", 16).otherwise(0)).alias("l"), F.xxhash64(w).alias("h")))
+    part = lambda x: x["h"].bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
+    def of(hs: Column) -> Column:
+        n = F.size(hs)
+        d = allowed(n, n)
+        sketch = F.aggregate(hs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x["h"], 58).cast("int"))))
+        rare = F.transform(F.slice(F.array_sort(F.transform(hs, lambda x: F.struct((-x["l"]).alias("l"), part(x).alias("p")))), 1, RARE), lambda x: x["p"])
 
-def simhashes(words: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """``keys`` and, of each, the blocks ``b0`` to ``b3`` and their words ``n0`` to ``n3``.
+        def sums(d: Column) -> Column:
+            """Of each block the sum of its words' hashes and their number: 44 and 19 bits."""
+            blocks = d * 2 + 1
+            own = lambda b: F.filter(hs, lambda x: F.pmod(part(x), blocks) == b)
+            total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: (a + F.shiftrightunsigned(x["h"], 31)).bitwiseAND(F.lit((1 << 44) - 1)))
+            one = lambda b: F.transform(F.array(own(b)), lambda xs: F.shiftleft(F.least(F.size(xs), F.lit((1 << 19) - 1)).cast("long"), 44).bitwiseOR(total(xs)))[0]
+            return F.transform(F.sequence(F.lit(0), blocks - 1), one)
 
-    ``words`` has a row a word: ``keys``, ``n`` words in all, place ``p`` and
-    hash ``h``. Bits are counted eight to a long, for up to ``PIECE`` words, so
-    that sums never overflow; the pieces of longer lines are then added up in
-    counters of 32 bits. A bit is set that more than half of a block's words have.
-    """
-    part, ones = F.shiftrightunsigned("h", 62), F.lit(_each(1, 8))
-    votes = [F.sum(F.when(part == p, F.shiftrightunsigned("h", f).bitwiseAND(ones)).otherwise(F.lit(0).cast("long"))).alias(f"c{p}{f}") for p in range(PARTS) for f in range(LONGS)]
-    sizes = [F.sum(F.when(part == p, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))).alias(f"n{p}") for p in range(PARTS)]
-    counted = stored(words.withColumn("piece", F.expr(f"p div {PIECE}")).groupBy(*keys, n, "piece").agg(*votes, *sizes).drop("piece"), "votes")
-
-    def majority(fields: list[tuple[Column, int]], width: int, size: Column) -> Column:
-        """Fields of ``width`` bits with a free bit each; the carry of field + threshold is the bit."""
-        full = (1 << (width - 2)) - 1
-        threshold = (F.lit(full) - F.floor(size / 2).cast("long")) * F.lit(_each(1, width))
-        out = None
-        for field, to in fields:
-            bit = F.shiftleft(F.shiftrightunsigned(field + threshold, width - 2).bitwiseAND(F.lit(_each(1, width))), to)
-            out = bit if out is None else out.bitwiseOR(bit)
-        return out
-
-    short, long = counted.where(F.col(n) <= PIECE), counted.where(F.col(n) > PIECE)
-    eight = F.lit(_each(0xFF, 16))
-    blocks = []
-    for p in range(PARTS):
-        halves = [(F.shiftrightunsigned(f"c{p}{f}", 8 * k).bitwiseAND(eight), f + 8 * k) for f in range(LONGS) for k in range(2)]
-        blocks.append(majority(halves, 16, F.col(f"n{p}")).alias(f"b{p}"))
-    names = [f"n{p}" for p in range(PARTS)]
-    near = short.select(*keys, n, *blocks, *names)
-    wide = _each(0xFF, 32)
-    sums = [F.sum(F.shiftrightunsigned(f"c{p}{f}", 8 * k).bitwiseAND(F.lit(wide))).alias(f"c{p}{f}{k}") for p in range(PARTS) for f in range(LONGS) for k in range(4)]
-    total = long.groupBy(*keys, n).agg(*sums, *[F.sum(x).alias(x) for x in names])
-    blocks = [majority([(F.col(f"c{p}{f}{k}"), f + 8 * k) for f in range(LONGS) for k in range(4)], 32, F.col(f"n{p}")).alias(f"b{p}") for p in range(PARTS)]
-    return near.union(total.select(*keys, n, *blocks, *names)), counted
-
-
-def key_columns() -> Column:
-    """A key for each two blocks that hold enough words; others are null."""
-    return F.array(*[F.when(F.col(f"n{i}") + F.col(f"n{j}") >= LEAST, F.xxhash64(F.lit(t), f"b{i}", f"b{j}", f"n{i}", f"n{j}")) for t, (i, j) in enumerate(combinations(range(PARTS), 2))])
+        more = (d < MOST) & (n + d + 1 >= TENTH * (d + 1) - 5)
+        return F.struct(n.alias("n"), sketch.alias("sketch"), rare.alias("rare"), sums(d).alias("own"), F.when(more, sums(d + 1)).otherwise(F.array().cast("array<bigint>")).alias("next"))
+
+    return F.transform(F.array(h), of)[0]
+
+
+def _subsets(words: Column, k: int) -> Column:
+    """Hashes of all ``k`` of the words, which are in the fixed order."""
+    if k == 0:
+        return F.array(F.lit(0).cast("long"))
+    if k == 1:
+        return F.transform(words, lambda a: F.xxhash64(a))
+    after = lambda i: F.slice(words, i + 2, F.size(words))
+    if k == 2:
+        return F.flatten(F.transform(words, lambda a, i: F.transform(after(i), lambda b: F.xxhash64(a, b))))
+    return F.flatten(F.transform(words, lambda a, i: F.flatten(F.transform(after(i), lambda b, j: F.transform(F.slice(words, i + j + 3, F.size(words)), lambda c: F.xxhash64(a, b, c))))))
+
+
+def finer(key: str, rare: Column, d: Column, outside: Column, k: int) -> Column:
+    """Keys under which lines meet that share ``key`` and are d edits apart: with each ``k`` of the first d + k words outside its block; lines of fewer words also with fewer."""
+    out = []
+    for few in range(k, -1, -1):
+        own = F.slice(rare, 1, F.least(d + few, F.size(rare)))
+        keys = F.transform(_subsets(own, few), lambda x: F.xxhash64(F.col(key), F.lit(few), x))  # noqa: B023
+        out.append(keys if few == k else F.when(outside < d + few + 1, keys).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.concat(*out))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -116,15 +123,29 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _seen(rows: DataFrame) -> DataFrame:
-    """Every line with letters or digits: where it stands, its hashes ``id`` and ``id2``, words and blocks."""
+    """Every line with letters or digits: where it stands, its hashes ``id`` and ``id2``, and what ``sketched`` says."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("line_no", "line"))
     lines = lines.select(*_ROW, F.trim("line").alias("line")).where("line <> ''")
-    parted = lines.select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.split("line", " ").alias("words")).withColumn("n", F.size("words"))
-    words = parted.select(*_ROW, "id", "id2", "n", F.posexplode("words").alias("p", "w")).withColumn("h", F.xxhash64("w"))
-    out, counted = simhashes(words, [*_ROW, "id", "id2"], "n")
-    out = stored(out, "lines")
-    discard(counted)
-    return out
+    return stored(lines.select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.explode(F.array(sketched(F.col("line")))).alias("s")).select(*_ROW, "id", "id2", "s.*"), "lines")
+
+
+def _keyed(first: DataFrame) -> DataFrame:
+    """``key, id, n, sketch, rank`` of every line under each of its keys, those of frequent blocks being finer ones."""
+    rank = F.shiftleft(F.least("often", F.lit(1 << 30)), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 32) - 1)))
+    own = allowed("n", "n")
+    named = lambda sums, d: F.transform(sums, lambda s, i: F.struct(d.alias("d"), i.alias("block"), s.alias("sum")))
+    sent = F.concat(named("own", own), named("next", own + 1))
+    blocks = first.where("sole").select("id", "n", "sketch", "rare", rank.alias("rank"), F.explode(sent).alias("x")).select("id", "n", "sketch", "rare", "rank", "x.*")
+    blocks = blocks.where("d > 0").withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", 44).cast("int")).drop("sum")
+    outside = F.filter("rare", lambda w: F.pmod(w, F.col("d") * 2 + 1) != F.col("block"))
+    blocks = blocks.withColumn("small", F.col("size") < LEAST)
+    hot = blocks.where(~F.col("small") & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
+    hot = stored(hot, "hot-blocks")
+    marked = blocks.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 2 else hot, "key", "left")
+    left = F.col("n") - F.col("size")
+    by = lambda k: F.transform(F.array(outside), lambda o: finer("key", o, F.col("d"), left, k))[0]
+    keys = F.when(F.col("small"), by(FEW)).when(F.col("hot"), by(MANY)).otherwise(F.array("key"))
+    return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch", "rank")
 
 
 def coded(line: Column) -> Column:
@@ -151,7 +172,7 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     lines = stored(found.select("id", coded(F.col("line")).alias("code")), "line-codes")
     side = lambda k: lines.select(F.col("id").alias(k), F.col("code").alias(f"code_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = F.expr(f"levenshtein(code_a, code_b, cast((greatest(length(code_a), length(code_b)) + 5) div {TENTH} as int))") >= 0
+    near = F.expr(f"levenshtein(code_a, code_b, cast(least((greatest(length(code_a), length(code_b)) + 5) div {TENTH}, {MOST}) as int))") >= 0
     out = stored(both.where(near).select("a", "b"), "line-links")
     discard(needed, lines)
     return out
@@ -166,21 +187,25 @@ def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
     known from a sixteenth of the lines, with a line to hold against; theirs are
     dealt over tasks by ``SLICE``.
     """
-    keyed = first.where(F.col("sole") & (F.col("n") >= TENTH // 2)).select("id", "n", "often", F.explode(key_columns()).alias("key")).where("key is not null")
-    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= allowed(x, y)
-    rank = F.shiftleft(F.least("often", F.lit(1 << 30)), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 32) - 1)))
-    keyed = keyed.withColumn("rank", rank).drop("often")
-    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), F.max_by("id", "rank").alias("hot"), F.max_by("n", "rank").alias("hot_n")).where(F.col("count") >= HOT)
-    hot = stored(sample.select("key", "hot", "hot_n", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices")), "hot-keys")
+    keyed = stored(_keyed(first), "line-blocks")
+
+    def near(x: str, y: str) -> Column:
+        d = allowed(f"{x}n", f"{y}n")
+        return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= d) & (F.bit_count(F.col(f"{x}sketch").bitwiseXOR(F.col(f"{y}sketch"))) <= 2 * d)
+
+    mine = ["id", "n", "sketch"]
+    top = F.max_by(F.struct(*mine), "rank")
+    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), top.alias("hot")).where(F.col("count") >= HOT)
+    hot = stored(sample.select("key", "hot", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices")), "hot-keys")
     dealt = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 8 else hot, "key", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod("id", F.col("slices"))))
     own = Window.partitionBy("key", "slice")
-    dealt = dealt.withColumn("top", F.max("rank").over(own)).withColumn("several", F.min("rank").over(own) < F.col("top")).where("several or hot is not null")
-    top = lambda c: F.max(F.when(F.col("rank") == F.col("top"), F.col(c))).over(own)
-    members = dealt.withColumns({"top_id": top("id"), "top_n": top("n")}).select("key", "id", "n", F.coalesce("hot", "top_id").alias("head"), F.coalesce("hot_n", "top_n").alias("head_n"))
-    members = stored(members, "line-keys")
-    stars = members.where((F.col("id") != F.col("head")) & near("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = _verified(stored(stars.distinct(), "line-pairs"), first, rows)
-    placed = members.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    dealt = dealt.withColumn("top", F.max(F.struct("rank", *mine)).over(own)).withColumn("several", F.min("rank").over(own) < F.col("top.rank")).where("several or hot is not null")
+    head = lambda c: F.coalesce(F.col("hot")[c], F.col("top")[c]).alias(f"head_{c}")
+    members = stored(dealt.select("key", *mine, *map(head, mine)), "line-keys")
+    stars = members.where((F.col("id") != F.col("head_id")) & near("", "head_")).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
+    stars = stored(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    links = _verified(stars, first, rows)
+    placed = members.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("key", *mine, F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed-lines")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("lines"))
     largest = F.max_by("component", F.shiftleft("lines", 32).bitwiseOR(F.col("component").bitwiseAND(F.lit((1 << 32) - 1))))
@@ -190,10 +215,10 @@ def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
     x = crowd.where("component <> most").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).alias("x")
     y = crowd.withColumn("slice", F.pmod("id", F.col("slices")).cast("int")).alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.n", "y.n") & apart)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.", "y.") & apart)
     pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
-    discard(members, placed, most)
+    discard(keyed, hot, members, placed, most, stars)
     if not pairs.limit(1).count():
         return links
     return links.union(_verified(pairs, first, rows))
@@ -206,8 +231,8 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     rows = _rows(docs, doc_id, text)
     seen = _seen(rows)
-    blocks = [F.first(f"{k}{p}").alias(f"{k}{p}") for k in "bn" for p in range(PARTS)]
-    first = seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at"), F.first("n").alias("n"), *blocks)
+    also = [F.first(c).alias(c) for c in ("n", "sketch", "rare", "own", "next")]
+    first = seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at"), *also)
     first = stored(first, "first-lines")
     component = connected_components(_links(first, rows)).withColumnRenamed("node", "id")
     grouped = first.where("sole").select("id", "at", "often").join(component, "id", "left").where("often > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
@@ -243,7 +268,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     occurrence and all keep its lines. Other columns pass through, whatever
     their names.
     """
-    own = docs.select(F.struct(*docs.columns).alias("__own"), F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    column = lambda c: F.col(f"`{c}`")
+    own = docs.select(F.struct(*map(column, docs.columns)).alias("__own"), column(doc_id).alias("__doc"), column(text).alias("__text"))
     out = _with_removed(own, "__doc", "__text")
     if drop_emptied:
         out = out.where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines")))

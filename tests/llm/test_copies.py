@@ -145,20 +145,12 @@ def edits(a, b):
     return row[-1]
 
 
-def signature(spark, lines):
-    """Of each line its blocks by majority of the votes of its words, bit by bit."""
-    words = sorted({w for line in lines for w in line.split()})
-    h = {r.w: r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    out = {}
-    for line in lines:
-        own = [h[w] for w in line.split()]
-        blocks = [[x for x in own if x >> 62 == p] for p in range(4)]
-        bits = [b for k in range(8) for b in range(8 * k, 8 * k + 4)]
-        out[line] = [(len(block), sum(1 << b for b in bits if 2 * sum(x >> b & 1 for x in block) > len(block))) for block in blocks]
-    return out
+def near_lines(x, y):
+    most = min((max(len(x), len(y)) + 5) // 10, 3)
+    return abs(len(x) - len(y)) <= most and edits(x, y) <= most
 
 
-def brute_lines(spark, rows):
+def brute_lines(rows):
     """The text that is left of each row, by holding every two lines against each other."""
     kinds = sorted({(k, t) for k, t in rows if k is not None and t is not None})
     at = {}
@@ -166,14 +158,7 @@ def brute_lines(spark, rows):
         for i, line in enumerate(t.split("\n")):
             if n := normal(line):
                 at.setdefault(n, []).append((k, t, i))
-    sig, linked = signature(spark, at), []
-    for a, b in itertools.combinations(at, 2):
-        x, y = a.split(), b.split()
-        if min(len(x), len(y)) < 5:
-            continue
-        shared = any(sig[a][i] == sig[b][i] and sig[a][j] == sig[b][j] and sig[a][i][0] + sig[a][j][0] >= 3 for i, j in itertools.combinations(range(4), 2))
-        if shared and edits(x, y) <= (max(len(x), len(y)) + 5) // 10:
-            linked.append((a, b))
+    linked = [(a, b) for a, b in itertools.combinations(at, 2) if near_lines(a.split(), b.split())]
     group = components(at, linked)
     first = {}
     for line, places in at.items():
@@ -182,7 +167,7 @@ def brute_lines(spark, rows):
 
 
 def held_lines(spark, rows, schema="doc_id long, text string"):
-    at, group, first, n = brute_lines(spark, rows)
+    at, group, first, n = brute_lines(rows)
     ids = {k for k, _ in rows}
     assert all(len({t for j, t in rows if j == k}) == 1 for k in ids)
     expected = []
@@ -252,30 +237,81 @@ def test_rows_with_one_id_keep_their_own_lines(spark):
     assert sorted((r.doc_id, r.text) for r in out) == [(0, y), (1, x)]
 
 
-def test_line_votes_of_any_length(spark):
-    """One word more at the start and at the end of a line beyond every counter's size."""
+def test_very_long_lines(spark):
+    """One word more at the start and at the end of a line; a line of one word again and again."""
     words = [f"word{k}" for k in range(40_000)]
-    texts_ = [" ".join(words), " ".join(["new", *words, "end"]), " ".join(["same"] * 70_000)]
-    seen = line_dedup._seen(line_dedup._rows(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), "doc_id", "text")).collect()
-    sig = signature(spark, texts_)
-    for r in seen:
-        assert [(r[f"n{p}"], r[f"b{p}"] % (1 << 64)) for p in range(4)] == sig[texts_[r.doc_id]]
-    assert [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()] == [0, 2]
+    texts_ = [" ".join(words), " ".join(["new", *words, "end"]), " ".join(["same"] * 70_000), " ".join(["same"] * 70_003), " ".join(["same"] * 70_007)]
+    assert [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 2, 4]
 
 
-def test_one_edit_always_leaves_blocks(spark):
-    """Every line of 16 words or more within one edited word of an earlier one goes, nearly every shorter one."""
+def edited_lines(seed, vocabulary, lengths, number):
+    """Pairs of lines ``number`` edits apart (words put in, taken out, replaced, swapped for one of the line), as many as allowed for None."""
+    r = random.Random(seed)
+    for n in lengths:
+        line = [r.choice(vocabulary) for _ in range(n)]
+        most = min((n + 5) // 10, 3) if number is None else number
+        other = list(line)
+        for _ in range(most):
+            i = r.randrange(len(other))
+            other[i : i + 1] = r.choice([[], [r.choice(vocabulary)], [r.choice(vocabulary), other[i]], [r.choice(line)]]) or ([] if len(other) > 4 else ["new"])
+        yield line, other
+
+
+@pytest.mark.parametrize("number", [1, 2, 3, None])
+@pytest.mark.parametrize("words", [40, 4000])
+@pytest.mark.parametrize("hot", [2, 16])
+def test_no_link_is_lost(spark, monkeypatch, number, words, hot):
+    """Every two lines within the edits allowed share a group, from four words on, whatever blocks they share; with frequent words, so that blocks are common."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    vocabulary = [f"v{k}" * (1 + k % 3) for k in range(words)]
+    r = random.Random(words)
+    pairs = list(edited_lines(number, vocabulary, [r.choice([4, 5, 6, 8, 11, 14, 15, 24, 25, 40, 90]) for _ in range(90)], number))
+    rows = [(k, " ".join(x)) for k, x in enumerate([x for p in pairs for x in p])]
+    _, group, _, n = brute_lines(rows)
+    found = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = {x["doc_id"] for x in found.collect() if x["removed"]}
+    first = {}
+    for k, t in rows:
+        first.setdefault(group[normal(t)], k)
+    assert gone == {k for k, t in rows if first[group[normal(t)]] != k}
+    assert n >= 60 or number in (2, 3)
+
+
+def test_lines_that_share_blocks_only(spark, monkeypatch):
+    """Lines with four words in common and six at random: candidates do not grow with the square of the lines."""
+    tried = []
+    whole = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or whole(pairs, *rest))
+    counts = []
+    for n in (500, 1000, 2000):
+        r = random.Random(n)
+        rows = [(k, " ".join(["alpha", "beta", "gamma", "delta", *[f"x{r.randrange(10**6)}" for _ in range(6)]])) for k in range(n)]
+        tried.clear()
+        out = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert out.where("size(removed) > 0").count() == 0
+        counts.append(sum(tried))
+    assert counts[2] <= 2000, counts
+
+
+def test_one_edit_always_goes(spark):
+    """Every line of five words or more within one edited word of an earlier one goes."""
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     rows = []
     for k in range(150):
-        line = [word() for _ in range(r.randint(16, 60))]
+        line = [word() for _ in range(r.randint(5, 60))]
         i = r.randrange(len(line))
         rows += [(k, " ".join(line)), (1000 + k, " ".join(line[:i] + [[], [word()], [word(), line[i]]][k % 3] + line[i + 1 :]))]
     kept = {x.doc_id for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(150))
 
 
+def test_lines_with_dotted_columns(spark):
+    rows = spark.createDataFrame([(1, "one two three four five six", "x"), (2, "one two three four five six", "y")], "doc_id long, text string, `a.b` string")
+    out = line_dedup.dedup_lines(rows)
+    assert out.columns == ["doc_id", "text", "a.b"] and [tuple(x) for x in out.collect()] == [(1, "one two three four five six", "x")]
+
+
 def test_shards(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target=1 << 20, lowest=1 << 10, fanout=3)
     assert store.manifest() == (0, [])
@@ -403,7 +439,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {x.lang for x in kept.collect()} == {"en"}
 
     before = rows_of(kept)
-    at, group, first, _ = brute_lines(spark, before)
+    at, group, first, _ = brute_lines(before)
     cut = [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if not normal(x) or first[group[normal(x)]] == (k, t, i))) for k, t in before]
     kept = pipeline.lines(spark, kept, str(tmp_path))
     assert rows_of(kept) == sorted((k, t) for k, t in cut if normal(t)) and all(x.n_chars == len(x.text) for x in kept.collect())
