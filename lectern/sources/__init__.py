@@ -42,11 +42,23 @@ def remove_rules(spark: SparkSession, path: str) -> dict:
 
 
 def spans(spark: SparkSession, path: str, max_pages: int | None = None) -> DataFrame:
-    """Layout spans with ``span_no``; bold and italic from the font's name where they are not given; blank ones go."""
-    rows = json_rows(spark, path, SPAN).withColumn("span_no", F.monotonically_increasing_id())
-    rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''")
-    rows = rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
-    return rows if max_pages is None else rows.where(F.col("page") <= max_pages)
+    """Layout spans with ``span_no``; bold and italic from the font's name where they are not given; blank ones go.
+
+    The limit on pages reaches the reader, which makes no rows of later pages.
+    """
+    rows = json_rows(spark, path, SPAN)
+    rows = rows if max_pages is None else rows.where(F.col("page") <= max_pages)
+    rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("span_no", F.monotonically_increasing_id())
+    return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
+
+
+def document_spans(spark: SparkSession, folder: str, max_pages: int | None = None) -> DataFrame:
+    """``spans`` of every JSON file in ``folder`` (an array or lines of objects each), a document a file: with ``doc, doc_id``."""
+    rows = spark.read.schema(f"{SPAN}, _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
+    rows = rows if max_pages is None else rows.where(F.col("page") <= max_pages)
+    rows = rows.withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:\\.json)?$", 1)).where("_corrupt_record is null").drop("_corrupt_record")
+    rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumns({"span_no": F.monotonically_increasing_id(), "doc_id": F.xxhash64("doc")})
+    return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
