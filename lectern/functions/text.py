@@ -174,12 +174,19 @@ def _moles(c: Column) -> Column:
 
 
 def _numbers(c: Column, profile: str) -> Column:
-    kinds: list[tuple[dict[str, str], str, str]] = [(LENGTHS, "cubic ", "3"), (LENGTHS, "square ", "2"), (LENGTHS, "", "")]
-    masses = {k: plural(v) for k, v in MASSES.items()} if profile == "step3" else MASSES
-    kinds += [(masses, "", ""), (LIQUIDS, "", "")] + ([(TIMES, "", "")] if profile == "step3" else [])
-    for names, prefix, power in kinds:
-        c = _units(c, {k: prefix + v for k, v in names.items()}, power)
-    return c if profile == "step3" else _moles(c)
+    """Powers of lengths first, where there are any; then all other units in one pass, since none is the beginning of another's match."""
+    powers = "|".join(sorted(LENGTHS, key=len, reverse=True))
+
+    def powered(x: Column) -> Column:
+        out = x
+        for prefix, power in (("cubic ", "3"), ("square ", "2")):
+            out = _units(out, {k: prefix + v for k, v in LENGTHS.items()}, power)
+        return F.when(x.rlike(rf"(?iU)\d\s*(?:{powers})\s*\^?\s*[23]\b"), out).otherwise(x)
+
+    wide = profile == "step3"
+    masses = {k: plural(v) for k, v in MASSES.items()} if wide else MASSES
+    c = _units(let(c, powered), LENGTHS | masses | LIQUIDS | (TIMES if wide else {}))
+    return c if wide else _moles(c)
 
 
 def split_sentences(c: Column) -> Column:

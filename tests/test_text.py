@@ -125,3 +125,19 @@ def test_chunks(spark):
     assert one(spark, lambda c: text_chunks(c, 10), "aaaa\n\nbbbb\n\n" + "c" * 30 + "\n\n<i> </i>") == ["aaaa", "bbbb", "c" * 30]
     assert one(spark, lambda c: text_chunks(c, 100), "") == []
     assert one(spark, lambda c: packed(F.array(c, c), 3), "ab") == ["ab", "ab"]
+
+
+def test_units_in_one_pass(spark):
+    """All kinds of units at once give what one kind after another gives."""
+    import random
+
+    r = random.Random(3)
+    parts = ["5", "1", "1.0", "2.5", "2", "3", "0", "10,5", " ", "  ", "m", "mm", "km", "M", "kg", "g", "mg", "l", "ML", "s", "min", "hr", "y", "^", "2", "3", "m2", "cm3", "m^3", "x", ".", "-", "mol / l", "½", "٣"]
+    rows = spark.createDataFrame([("".join(r.choice(parts) for _ in range(r.choice([3, 5, 9]))),) for _ in range(3000)], "text string")
+    for profile in ("main", "step3"):
+        masses = {k: t.plural(v) for k, v in t.MASSES.items()} if profile == "step3" else t.MASSES
+        c = F.col("text")
+        for names, prefix, power in [(t.LENGTHS, "cubic ", "3"), (t.LENGTHS, "square ", "2"), (t.LENGTHS, "", ""), (masses, "", ""), (t.LIQUIDS, "", ""), *([(t.TIMES, "", "")] if profile == "step3" else [])]:
+            c = t._units(c, {k: prefix + v for k, v in names.items()}, power)
+        c = c if profile == "step3" else t._moles(c)
+        assert rows.where(t._numbers(F.col("text"), profile) != c).collect() == []
