@@ -170,7 +170,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
     labels = sorted(counts)
     x, y, taken = [], [], dict.fromkeys(labels, 0)
     for r in drawn:
-        if taken[r.label] < SAMPLE_DOCS and re.search(r"[^\W\d_]", r.t):
+        if taken[r.label] < SAMPLE_DOCS and lettered(r.t):
             taken[r.label] += 1
             raw = np.frombuffer(r.t.encode(), np.uint8)
             w, _ = cut(FOLD[raw], np.array([0, len(raw)]))
@@ -183,7 +183,13 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
     return net
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_NEARLY = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str | None) -> bool:
+    """Whether a text holds a letter (category L); numeric symbols such as ½ and ② are none."""
+    found = _NEARLY.search(text) if text else None
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text[found.end() :])))
 
 
 def _predictor(model, text: str, added: list[str]):
@@ -203,8 +209,7 @@ def _predictor(model, text: str, added: list[str]):
                         p = net.windows(symbols[k : k + 128], tables) * letters[k : k + 128, None]
                         np.add.at(total, owner[k : k + 128], p)
                 weight = total.sum(1)
-                lettered = np.fromiter((t is not None and _LETTER.search(t) is not None for t in column.to_pylist()), bool, len(column))
-                known = lettered & (weight > 0)
+                known = np.fromiter(map(lettered, column.to_pylist()), bool, len(column)) & (weight > 0)
                 best = total.argmax(1)
                 names = [net.labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)] if net else [UNKNOWN] * len(column)
                 score = np.where(known, total.max(1) / np.maximum(weight, 1e-9), 0.0).clip(0, 1)

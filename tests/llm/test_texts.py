@@ -203,3 +203,18 @@ def test_suffix_dedup(spark):
     cut = {r.doc_id: r for r in suffix_dedup.remove_repeats(odd(spark)).collect()}
     assert cut[11].text == "" and cut[10].n_removed == 0
     assert suffix_dedup.digests(none(spark)).count() == 0
+
+
+def test_letters_of_language_id():
+    """Numeric symbols and marks alone are no letters."""
+    for text in (None, "", "½ ² ① Ⅷ", "12 _ -", "\u0301\u0308", "² 3 🙂"):
+        assert not language_id.lettered(text)
+    for text in ("a", "½ é", "①漢", "ª", "\u01c5", "12 ² x"):
+        assert language_id.lettered(text)
+
+
+def test_texts_without_letters_are_of_no_language(spark):
+    rows = [(k, "some words of a language here and there", "en") for k in range(8)] + [(50, "½ ² ① Ⅷ", "en"), (51, "½ word", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify(docs, docs.doc_id < 0).collect()}
+    assert (found[50].lang_pred, found[50].score) == ("und", 0.0) and found[51].lang_pred == "en"
