@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,10 +129,20 @@ def csr(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts]))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One a worker; what it remembers of texts is bounded."""
+    return Encoder(path)
+
+
+#: What the two columns made of the ids are called on the way.
+MADE = ("__lectern_made_1", "__lectern_made_2")
+
+
 def _mapper(path: str, text: str, full: bool):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(path)
+        own = encoder(path)
         for whole in batches:
             for batch in pieces(whole, text, STEP):
                 at = batch.schema.get_field_index(text)
@@ -143,7 +154,7 @@ def _mapper(path: str, text: str, full: bool):
                     added = [pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()) for made in (own.decimals(ids, o), decoded)]
                 kept = [k for k in range(batch.num_columns) if k != at or full]
                 names = batch.schema.names
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(counts, pa.int64()), *added], [names[k] for k in kept] + ["n_tokens", "1", "2"])
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(counts, pa.int64()), *added], [names[k] for k in kept] + ["n_tokens", *MADE])
 
     return run
 
@@ -156,10 +167,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """
     own = docs.drop("n_tokens", "ids", "decoded")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(_mapper(path, text, True), f"{fields}, n_tokens long, `1` array<int>, `2` string").withColumnsRenamed({"1": "ids", "2": "decoded"})
+    return own.mapInArrow(_mapper(path, text, True), f"{fields}, n_tokens long, {MADE[0]} array<int>, {MADE[1]} string").withColumnsRenamed(dict(zip(MADE, ("ids", "decoded"), strict=True)))
 
 
 def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row per document of the contract: counts and hashes of ids and decoding, made where the text is encoded."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(_mapper(path, text, False), f"`{doc_id}` {kind}, n_tokens long, `1` string, `2` string").withColumnsRenamed({"1": "ids_sha256", "2": "decoded_sha256"})
+    return docs.select(doc_id, text).mapInArrow(_mapper(path, text, False), f"`{doc_id}` {kind}, n_tokens long, {MADE[0]} string, {MADE[1]} string").withColumnsRenamed(dict(zip(MADE, ("ids_sha256", "decoded_sha256"), strict=True)))

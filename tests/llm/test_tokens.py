@@ -105,3 +105,11 @@ def test_cache_overflow(monkeypatch):
     library = Tokenizer.from_file(BYTE)
     for text in ("a b c d e", "f g h i", "a b c"):
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encode_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "some words", "x", "y", 7)], "doc_id long, text string, `1` string, `2` string, n_tokens int")
+    out = bpe.encode(rows, WORD)
+    assert out.columns == ["doc_id", "text", "1", "2", "n_tokens", "ids", "decoded"]
+    r = out.first()
+    assert (r["1"], r["2"], "some" in r["decoded"]) == ("x", "y", True) and len(r["ids"]) == r["n_tokens"]
