@@ -132,3 +132,29 @@ def test_text_of_100_mb(spark):
     out = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text")).select("doc_id", F.posexplode(chunks.packed(F.transform(F.split("text", "\n"), lambda p: F.concat(p, F.lit("\n\n"))), 1800)).alias("no", "text"))
     found = out.agg(F.count("*"), F.max(F.length("text")), F.sum(F.regexp_count("text", F.lit("p0"))), F.min(F.expr("int(substr(text, 2, 7)) = no * 4 + 1")), F.sum(F.length("text"))).first()
     assert found[0] == math.ceil(n / 4) and found[1] <= 1800 and found[2] == n and found[3] and found[4] > 99_000_000
+
+
+def drawings(rows):
+    return [(1, p, k, [float(v) for v in b], 600.0, 800.0) for p, k, b in rows]
+
+
+DRAWN = "doc_id long, page int, drawing_no long, bbox array<double>, page_w double, page_h double"
+
+
+def test_clusters_of_many_drawings(spark, monkeypatch):
+    """First fit by numpy and by the fold are the same, whatever touches."""
+    r = random.Random(12)
+    rows = [(p, k, (x, y, x + r.choice([1, 30, -2]), y + r.choice([1, 30]))) for p in range(4) for k in range(150) for x, y in [(r.uniform(0, 550), r.uniform(0, 750))]]
+    df = spark.createDataFrame(drawings(rows), DRAWN)
+    pages = df.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("drawing_no", "bbox"))).alias("drawn"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
+    found = sorted(map(str, tables._clusters(pages).collect()))
+    monkeypatch.setattr(tables, "FOLDED", 0)
+    assert sorted(map(str, tables._clusters(pages).collect())) == found
+
+
+def test_page_of_20000_drawings(spark):
+    """A table of many rules among specks that are all apart."""
+    grid = [(1, k, (100 + 10 * (k % 40), 100 + 10 * (k // 40), 110 + 10 * (k % 40), 110 + 10 * (k // 40))) for k in range(1000)]
+    specks = [(1, 1000 + k, (50.0 * (k % 150) + 900, 50.0 * (k // 150), 50.0 * (k % 150) + 901, 50.0 * (k // 150) + 1)) for k in range(19_000)]
+    found = tables.ruled_regions(spark.createDataFrame(drawings(grid + specks), DRAWN)).collect()
+    assert [x["bbox"] for x in found] == [[100.0, 100.0, 500.0, 350.0]]
