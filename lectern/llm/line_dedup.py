@@ -39,10 +39,10 @@ from lectern.llm.components import connected_components
 TENTH, MOST = 10, 3
 #: Words that a block must hold to be a key by itself.
 LEAST = 3
-#: Words outside a block that a finer key takes, of blocks of few words and of frequent ones.
-FEW, MANY = 2, 3
+#: Words outside a block that a finer key takes.
+FEW = 2
 #: Words of a line that are kept for finer keys.
-RARE = 16
+RARE = 14
 #: A key found this often among a sixteenth of the lines is frequent, or, if it is a finer one, dealt over several tasks.
 HOT = 16
 #: Lines of a key that go to one task.
@@ -64,42 +64,50 @@ def allowed(a: str | Column, b: str | Column) -> Column:
     return F.least(F.floor((n + 5) / TENTH), F.lit(MOST)).cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Of a word's hash: the bits that say its block and order, and how many are summed up; a sum has the number of words above its ``SUMMED + 15`` bits.
+PLACED, SUMMED = (1 << 31) - 1, 24
+
+
 def sketched(line: Column) -> Column:
     """``struct(n, sketch, rare, own, next)`` of a normalised line: words, parity sketch, hashes of its first words in the fixed order, sums of blocks for the edits that it allows and, where a partner may allow one more, for one more (else empty)."""
-    words = F.split(line, " ")
-    h = F.transform(words, lambda w: F.struct((F.least(F.length(w), F.lit(15)) + F.when(w < ":", 16).otherwise(0)).alias("l"), F.xxhash64(w).alias("h")))
-    part = lambda x: x["h"].bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    order = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PLACED)) - F.shiftleft(F.least(F.length(w) + F.when(w < ":", 16).otherwise(0), F.lit(24)).cast("long"), 32))
+    one = F.lit(1 << (SUMMED + 12))
+
+    def sums(hs: Column, blocks: Column) -> Column:
+        """Of each block how many words it holds, and the sum of their hashes; a word is one number with its block in the last three bits."""
+        worth = lambda h: F.shiftleft(F.shiftrightunsigned(h, 64 - SUMMED) + one, 3) + F.pmod(h.bitwiseAND(F.lit(PLACED)), blocks)
+        total = lambda w, b: F.aggregate(w, F.lit(0).cast("long"), lambda t, x: F.when(x.bitwiseAND(F.lit(7)) == b, F.try_add(t, x)).otherwise(t))
+        return _let(F.transform(hs, worth), lambda w: F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: total(w, b)))
 
     def of(hs: Column) -> Column:
-        n = F.size(hs)
-        d = allowed(n, n)
-        sketch = F.aggregate(hs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x["h"], 58).cast("int"))))
-        rare = F.transform(F.slice(F.array_sort(F.transform(hs, lambda x: F.struct((-x["l"]).alias("l"), part(x).alias("p")))), 1, RARE), lambda x: x["p"])
+        sketch = F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+
+        def with_edits(n: Column) -> Column:
+            def with_blocks(d: Column) -> Column:
+                more = (d < MOST) & (n + d + 1 >= TENTH * (d + 1) - 5)
+                own = F.when(d > 0, _let(d * 2 + 1, lambda k: sums(hs, k))).otherwise(F.array().cast("array<bigint>"))
+                following = F.when(more, _let(d * 2 + 3, lambda k: sums(hs, k))).otherwise(F.array().cast("array<bigint>"))
+                return F.struct(n.alias("n"), sketch.alias("sketch"), own.alias("own"), following.alias("next"))
 
-        def sums(d: Column) -> Column:
-            """Of each block the sum of its words' hashes and their number: 44 and 19 bits."""
-            blocks = d * 2 + 1
-            own = lambda b: F.filter(hs, lambda x: F.pmod(part(x), blocks) == b)
-            total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: (a + F.shiftrightunsigned(x["h"], 31)).bitwiseAND(F.lit((1 << 44) - 1)))
-            one = lambda b: F.transform(F.array(own(b)), lambda xs: F.shiftleft(F.least(F.size(xs), F.lit((1 << 19) - 1)).cast("long"), 44).bitwiseOR(total(xs)))[0]
-            return F.transform(F.sequence(F.lit(0), blocks - 1), one)
+            return _let(allowed(n, n), with_blocks)
 
-        more = (d < MOST) & (n + d + 1 >= TENTH * (d + 1) - 5)
-        return F.struct(n.alias("n"), sketch.alias("sketch"), rare.alias("rare"), sums(d).alias("own"), F.when(more, sums(d + 1)).otherwise(F.array().cast("array<bigint>")).alias("next"))
+        return _let(F.size(hs), with_edits)
 
-    return F.transform(F.array(h), of)[0]
+    rare = F.transform(F.slice(F.array_sort(order), 1, RARE), lambda x: x.bitwiseAND(F.lit(PLACED)).cast("int"))
+    return F.struct(_let(hashes, of).alias("s"), rare.alias("rare"))
 
 
 def _subsets(words: Column, k: int) -> Column:
-    """Hashes of all ``k`` of the words, which are in the fixed order."""
-    if k == 0:
-        return F.array(F.lit(0).cast("long"))
-    if k == 1:
-        return F.transform(words, lambda a: F.xxhash64(a))
-    after = lambda i: F.slice(words, i + 2, F.size(words))
-    if k == 2:
-        return F.flatten(F.transform(words, lambda a, i: F.transform(after(i), lambda b: F.xxhash64(a, b))))
-    return F.flatten(F.transform(words, lambda a, i: F.flatten(F.transform(after(i), lambda b, j: F.transform(F.slice(words, i + j + 3, F.size(words)), lambda c: F.xxhash64(a, b, c))))))
+    """Hashes of all ``k`` (2 at most) of the words, which are in the fixed order."""
+    if k < 2:
+        return F.transform(words, lambda a: F.xxhash64(a)) if k else F.array(F.lit(0).cast("long"))
+    return F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.xxhash64(a, b))))
 
 
 def finer(key: str, rare: Column, d: Column, outside: Column, k: int) -> Column:
@@ -122,30 +130,33 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return once.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
-def _seen(rows: DataFrame) -> DataFrame:
-    """Every line with letters or digits: where it stands, its hashes ``id`` and ``id2``, and what ``sketched`` says."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """Every line with letters or digits, normalised, and where it stands."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    lines = lines.select(*_ROW, F.trim("line").alias("line")).where("line <> ''")
-    return stored(lines.select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"), F.explode(F.array(sketched(F.col("line")))).alias("s")).select(*_ROW, "id", "id2", "s.*"), "lines")
+    return lines.select(*_ROW, F.trim("line").alias("line")).where("line <> ''")
 
 
-def _keyed(first: DataFrame) -> DataFrame:
-    """``key, id, n, sketch, rank`` of every line under each of its keys, those of frequent blocks being finer ones."""
-    rank = F.shiftleft(F.least("often", F.lit(1 << 30)), 32).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 32) - 1)))
+def _sketches(rows: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
+    """``id`` and what ``sketched`` says of every different line, from its first occurrence."""
+    later = seen.join(first.select("id", "at"), "id").where(F.struct(*_ROW) != F.col("at")).select(F.xxhash64(*_ROW).alias("spot"))
+    own = keep_ids(_lines(rows).withColumn("spot", F.xxhash64(*_ROW)), stored(later, "later-lines"), "spot", "left_anti")
+    return stored(own.select(F.xxhash64("line").alias("id"), F.explode(F.array(sketched(F.col("line")))).alias("x")).select("id", "x.s.*", "x.rare"), "sketches")
+
+
+def _keyed(sketches: DataFrame) -> DataFrame:
+    """``key, id, n, sketch`` of every line under each of its keys, those of small and frequent blocks being finer ones."""
     own = allowed("n", "n")
     named = lambda sums, d: F.transform(sums, lambda s, i: F.struct(d.alias("d"), i.alias("block"), s.alias("sum")))
-    sent = F.concat(named("own", own), named("next", own + 1))
-    blocks = first.where("sole").select("id", "n", "sketch", "rare", rank.alias("rank"), F.explode(sent).alias("x")).select("id", "n", "sketch", "rare", "rank", "x.*")
-    blocks = blocks.where("d > 0").withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", 44).cast("int")).drop("sum")
-    outside = F.filter("rare", lambda w: F.pmod(w, F.col("d") * 2 + 1) != F.col("block"))
-    blocks = blocks.withColumn("small", F.col("size") < LEAST)
-    hot = blocks.where(~F.col("small") & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
+    lines = sketches.select("id", "n", "sketch", "rare", F.explode(F.concat(named("own", own), named("next", own + 1))).alias("x")).select("id", "n", "sketch", "rare", "x.*")
+    blocks = lines.withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", SUMMED + 15).cast("int"))
+    small = F.col("size") < LEAST
+    hot = blocks.where(~small & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
     hot = stored(hot, "hot-blocks")
     marked = blocks.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 2 else hot, "key", "left")
-    left = F.col("n") - F.col("size")
-    by = lambda k: F.transform(F.array(outside), lambda o: finer("key", o, F.col("d"), left, k))[0]
-    keys = F.when(F.col("small"), by(FEW)).when(F.col("hot"), by(MANY)).otherwise(F.array("key"))
-    return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch", "rank")
+    outside = F.filter("rare", lambda w: F.pmod(w, F.col("d") * 2 + 1) != F.col("block"))
+    by = _let(outside, lambda o: finer("key", o, F.col("d"), F.col("n") - F.col("size"), FEW))
+    keys = F.when(small | F.coalesce("hot", F.lit(False)), by).otherwise(F.array("key"))
+    return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch")
 
 
 def coded(line: Column) -> Column:
@@ -178,28 +189,27 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(sketches: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect the lines of each group, over the different lines ``first``.
 
-    The lines of a key are first held against one of them, the most frequent.
-    Where they still fall apart, those outside the key's largest component are
-    held against all of the key's other components. Keys of very many lines are
+    The lines of a key are first held against one of them. Where they still
+    fall apart, those outside the key's largest component are held against all
+    of the key's other components. Keys of very many lines are
     known from a sixteenth of the lines, with a line to hold against; theirs are
     dealt over tasks by ``SLICE``.
     """
-    keyed = stored(_keyed(first), "line-blocks")
 
     def near(x: str, y: str) -> Column:
         d = allowed(f"{x}n", f"{y}n")
         return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= d) & (F.bit_count(F.col(f"{x}sketch").bitwiseXOR(F.col(f"{y}sketch"))) <= 2 * d)
 
     mine = ["id", "n", "sketch"]
-    top = F.max_by(F.struct(*mine), "rank")
-    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), top.alias("hot")).where(F.col("count") >= HOT)
+    keyed = _keyed(sketches)
+    own = Window.partitionBy("key", "slice")
+    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), F.max(F.struct(*mine)).alias("hot")).where(F.col("count") >= HOT)
     hot = stored(sample.select("key", "hot", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices")), "hot-keys")
     dealt = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 8 else hot, "key", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod("id", F.col("slices"))))
-    own = Window.partitionBy("key", "slice")
-    dealt = dealt.withColumn("top", F.max(F.struct("rank", *mine)).over(own)).withColumn("several", F.min("rank").over(own) < F.col("top.rank")).where("several or hot is not null")
+    dealt = dealt.withColumn("top", F.max(F.struct(*mine)).over(own)).withColumn("several", F.min("id").over(own) < F.col("top.id")).where("several or hot is not null")
     head = lambda c: F.coalesce(F.col("hot")[c], F.col("top")[c]).alias(f"head_{c}")
     members = stored(dealt.select("key", *mine, *map(head, mine)), "line-keys")
     stars = members.where((F.col("id") != F.col("head_id")) & near("", "head_")).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
@@ -218,7 +228,7 @@ def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.", "y.") & apart)
     pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
-    discard(keyed, hot, members, placed, most, stars)
+    discard(hot, members, placed, most, stars)
     if not pairs.limit(1).count():
         return links
     return links.union(_verified(pairs, first, rows))
@@ -230,11 +240,10 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     ``row`` is 0 where ids are unique, else the hash of the row's text.
     """
     rows = _rows(docs, doc_id, text)
-    seen = _seen(rows)
-    also = [F.first(c).alias(c) for c in ("n", "sketch", "rare", "own", "next")]
-    first = seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at"), *also)
-    first = stored(first, "first-lines")
-    component = connected_components(_links(first, rows)).withColumnRenamed("node", "id")
+    seen = stored(_lines(rows).select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2")), "lines")
+    first = stored(seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at")), "first-lines")
+    links = _links(_sketches(rows, seen, first), first.where("sole"), rows)
+    component = connected_components(links).withColumnRenamed("node", "id")
     grouped = first.where("sole").select("id", "at", "often").join(component, "id", "left").where("often > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     stay = grouped.groupBy("component").agg(F.min("at").alias("stay"))
     decided = stored(grouped.join(stay, "component").select("id", "stay"), "line-groups")
