@@ -13,38 +13,40 @@ from lectern.operators import chunks, sections, toc
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    rows = sources.json_rows(spark, path, sources.BLOCK)
-    return rows.withColumns({"doc_id": F.lit(1).cast("long"), "block_no": F.monotonically_increasing_id()})
+    """A file is a document."""
+    return sources.document_rows(spark, path, sources.BLOCK).withColumn("block_no", F.monotonically_increasing_id())
 
 
-def _sections(spark: SparkSession, path: str) -> DataFrame:
-    return sources.sections(spark, path).withColumn("doc_id", F.lit(1).cast("long"))
+def _named(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """With the document's name in front."""
+    return rows.select("doc_id", "doc").distinct().join(out, "doc_id")
 
 
 def sections_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Blocks (JSON) to sections."""
-    return sections.manifest(sections.build(_blocks(spark, args.input)))
+    rows = _blocks(spark, args.input)
+    return _named(rows, sections.manifest(sections.build(rows)))
 
 
 def normalize_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Section files to normalised texts."""
-    texts = toc.drop_from_text(_sections(spark, args.input).select(F.struct("section_no", "name").alias("doc_id"), t.norm_unicode(F.col("text")).alias("text")))
+    texts = toc.drop_from_text(sources.document_sections(spark, args.input).select(F.struct("doc", "section_no", "name").alias("doc_id"), t.norm_unicode(F.col("text")).alias("text")))
     return texts.select("doc_id.*", plans.normalized_text(F.col("text")).alias("text"))
 
 
 def blocks_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Blocks (JSON) to normalised blocks in the wider form."""
-    return plans.normalize_blocks(_blocks(spark, args.input)).select("block_no", "page", "type", "text")
+    return plans.normalize_blocks(_blocks(spark, args.input)).select("doc", "block_no", "page", "type", "text")
 
 
 def ssml_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Section files to SSML."""
-    return _sections(spark, args.input).select("section_no", "name", t.text_ssml(F.col("text")).alias("ssml"))
+    return sources.document_sections(spark, args.input).select("doc", "section_no", "name", t.text_ssml(F.col("text")).alias("ssml"))
 
 
 def chunks_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Section files to chunks for a voice."""
-    return chunks.exploded(_sections(spark, args.input), chunks.text_chunks(F.col("text"), args.chars), "section_no", "name")
+    return chunks.exploded(sources.document_sections(spark, args.input), chunks.text_chunks(F.col("text"), args.chars), "doc", "section_no", "name")
 
 
 COMMANDS = {"sections": sections_command, "normalize": normalize_command, "blocks": blocks_command, "ssml": ssml_command, "chunks": chunks_command}

@@ -52,15 +52,33 @@ def spans(spark: SparkSession, path: str, max_pages: int | None = None) -> DataF
     return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
 
 
+def document_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON files (an array or lines of objects each) with a declared schema and ``doc, doc_id``: a file is a document, named as it is without ``.json``.
+
+    ``path`` is a file, a folder or a pattern; what is no JSON has no rows.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    rows = rows.withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?$", 1))
+    return rows.select(*names, "doc", F.xxhash64("doc").alias("doc_id"))
+
+
 def document_spans(spark: SparkSession, folder: str, max_pages: int | None = None) -> DataFrame:
-    """``spans`` of every JSON file in ``folder`` (an array or lines of objects each), a document a file: with ``doc, doc_id``."""
-    rows = spark.read.schema(f"{SPAN}, _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
+    """``spans`` of every JSON file in ``folder``, with ``doc, doc_id``; the limit on pages reaches the reader."""
+    rows = document_rows(spark, folder, SPAN)
     rows = rows if max_pages is None else rows.where(F.col("page") <= max_pages)
-    rows = rows.withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:\\.json)?$", 1)).where("_corrupt_record is null").drop("_corrupt_record")
-    rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumns({"span_no": F.monotonically_increasing_id(), "doc_id": F.xxhash64("doc")})
+    rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("span_no", F.monotonically_increasing_id())
     return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
 
 
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Text files in folders below ``folder``, a folder a document: ``doc, doc_id, section_no, name, text``; files of ``folder`` itself are a document of its name."""
+    rows = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", F.regexp_extract_all(F.col("_metadata.file_path"), F.lit("[^/]+"), F.lit(0)).alias("at"))
+    name, doc = F.element_at("at", -1), F.element_at("at", -2)
+    number = F.coalesce(F.regexp_extract(name, r"^(\d+)_", 1).try_cast("int"), F.lit(999999))
+    return rows.select(doc.alias("doc"), F.xxhash64(doc).alias("doc_id"), number.alias("section_no"), name.alias("name"), F.col("value").alias("text")).where(strip(F.col("text")) != "")
+
+
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """One text file a section: ``section_no, name, text`` in order of leading number and name; blank ones go."""
     rows = spark.read.text(folder, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"))

@@ -229,3 +229,19 @@ def test_command_line(spark, tmp_path):
         main([command, str(tmp_path / given), str(tmp_path / command)], spark)
         assert spark.read.json(str(tmp_path / command)).count() > 0, command
     assert "5 kilograms" in spark.read.json(str(tmp_path / "normalize")).first().text
+
+
+def test_command_line_on_many_documents(spark, tmp_path):
+    """A JSON file is a document, and so is a folder of texts."""
+    from lectern.__main__ import main
+
+    for name in ("a", "b"):
+        (tmp_path / "blocks").mkdir(exist_ok=True)
+        (tmp_path / "blocks" / f"{name}.json").write_text('[{"page": 1, "type": "heading", "text": "1 Scope of %s"}, {"page": 1, "type": "paragraph", "text": "body %s"}]' % (name, name))
+        (tmp_path / "texts" / name).mkdir(parents=True)
+        (tmp_path / "texts" / name / "01_x.txt").write_text(f"Some text of {name}.")
+    for command, given in (("sections", "blocks"), ("blocks", "blocks"), ("chunks", "texts"), ("normalize", "texts"), ("ssml", "texts")):
+        main([command, str(tmp_path / given), str(tmp_path / f"out-{command}")], spark)
+        found = spark.read.json(str(tmp_path / f"out-{command}")).collect()
+        assert {r["doc"] for r in found} == {"a", "b"}, command
+    assert {(r["doc"], r["title"]) for r in spark.read.json(str(tmp_path / "out-sections")).collect()} == {("a", "1 Scope of a"), ("b", "1 Scope of b")}
