@@ -707,10 +707,10 @@ def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CASE WHEN seq % 4 = 0 THEN 'first' WHEN seq % 4 = 1 THEN 'second' ELSE 'text' END AS provider, "
     "CASE WHEN seq % 4 = 0 THEN 'p=q' WHEN seq % 4 = 1 THEN 'r=s' WHEN tier = 0 THEN '(' || line_no || ')' WHEN tier = 1 THEN '' ELSE 'z = b x' END AS latex, CASE WHEN seq % 4 = 3 THEN 'no image' END AS error FROM s), "
     "spoken AS (SELECT *, CASE latex WHEN 'p=q' THEN 'p equals q' WHEN 'r=s' THEN 'r equals s' WHEN 'z = b x' THEN 'z equals b x' ELSE latex END AS said FROM made) "
-    "SELECT 'formula' AS result, doc_id, CAST(NULL AS BIGINT) AS block_no, formula_id, page, provider, latex AS text, error FROM made "
+    "SELECT 'formula' AS result, doc_id, CAST(0 AS BIGINT) AS block_no, formula_id, page, provider, latex AS text, error FROM made "
     "UNION ALL SELECT 'block', doc_id, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY page, formula_id), NULL, page, NULL, '[[FORMULA|' || formula_id || '|]]', NULL FROM made WHERE error IS NULL "
     "UNION ALL SELECT 'block', doc_id, 1, NULL, 1, NULL, 'words', NULL FROM documents "
-    "UNION ALL SELECT 'narration', doc_id, NULL, formula_id, page, NULL, CASE WHEN formula_id LIKE 'F4%' THEN 'of doc ' || doc_id ELSE said END, NULL FROM spoken WHERE error IS NULL AND (said <> '' OR formula_id LIKE 'F4%')"
+    "UNION ALL SELECT 'narration', doc_id, 0, formula_id, page, NULL, CASE WHEN formula_id LIKE 'F4%' THEN 'of doc ' || doc_id ELSE said END, NULL FROM spoken WHERE error IS NULL AND (said <> '' OR formula_id LIKE 'F4%')"
 )
 def formula_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions to formulas, blocks with their tokens, and narrations: two recognisers, the second asked where the first is bad, some images missing, some formulas told by the user."""
@@ -724,9 +724,9 @@ def formula_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = ids.where("formula_id like 'F4%'").selectExpr("doc_id", "formula_id as id", "concat(' of doc ', doc_id) as text")
     made, blocks, said = plans.narrated_formulas(found, rows, seen, told, providers=("first", "second"))
     row = lambda df, kind, **c: df.select(F.lit(kind).alias("result"), "doc_id", *[F.expr(c.get(k, f"cast(null as {t})")).alias(k) for k, t in (("block_no", "long"), ("formula_id", "string"), ("page", "int"), ("provider", "string"), ("text", "string"), ("error", "string"))])
-    out = row(made, "formula", formula_id="formula_id", page="page", provider="provider", text="latex", error="error")
+    out = row(made, "formula", block_no="0L", formula_id="formula_id", page="page", provider="provider", text="latex", error="error")
     out = out.unionByName(row(blocks, "block", block_no="cast(block_no as long)", page="page", text="text"))
-    return out.unionByName(row(said, "narration", formula_id="formula_id", page="page", text="text"))
+    return out.unionByName(row(said, "narration", block_no="0L", formula_id="formula_id", page="page", text="text"))
 
 
 @query()

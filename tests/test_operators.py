@@ -245,3 +245,19 @@ def test_command_line_on_many_documents(spark, tmp_path):
         found = spark.read.json(str(tmp_path / f"out-{command}")).collect()
         assert {r["doc"] for r in found} == {"a", "b"}, command
     assert {(r["doc"], r["title"]) for r in spark.read.json(str(tmp_path / "out-sections")).collect()} == {("a", "1 Scope of a"), ("b", "1 Scope of b")}
+
+
+def test_boxed_lines(spark):
+    """Order by page, height and left edge; a blank span lends its box and size; lines without text or box go."""
+    rows = [(1, 0, "right", 300, 50, 10), (1, 1, "left", 72, 50, 10), (1, 2, " ", 20, 90, 30), (1, 2, "wide", 72, 95, 10), (1, 3, " ", 72, 200, 10), (2, 0, "next", 72, 10, 10)]
+    df = spans(spark, rows)
+    lost = df.where("span_no = 0").withColumns({"line_no": F.lit(9), "bbox": F.lit(None).cast("array<double>"), "text": F.lit("no box")})
+    found = lines.boxed_lines(df.unionByName(lost)).orderBy("page", "line_no").collect()
+    assert [(r.page, r.line_no, r.text, r.bbox) for r in found] == [(1, 1, "left", [72.0, 50.0, 172.0, 60.0]), (1, 2, "right", [300.0, 50.0, 400.0, 60.0]), (1, 3, "wide", [20.0, 90.0, 172.0, 105.0]), (2, 1, "next", [72.0, 10.0, 172.0, 20.0])]
+    assert found[2].avg_size == 20.0
+
+
+def test_document_keys(spark):
+    files = spark.createDataFrame([("a/x.pdf",), ("b/x.pdf",), ("a/x.pdf",)], "path string")
+    keys = [r.doc_key for r in sources.with_doc_ids(files).collect()]
+    assert keys[0] == keys[2] != keys[1] and all(len(k) == 10 and int(k, 16) >= 0 for k in keys)
