@@ -15,8 +15,9 @@ may allow one edit more sends keys for 2d + 3 blocks, too. So no link is lost.
 Blocks of few words, and keys that a sample shows to be frequent, say too little.
 Outside such a block d edits leave all but d words in common, so of the first
 d + k words there, in one fixed order of all words (long ones first), lines share
-k: they meet under the block with each k of those words instead. Before texts
-are looked at, a parity sketch of 64 bits, in which every word turns one bit and
+k: they meet under the block with each k of those words instead. (Of a line the
+first ``RARE`` words are kept; that a block holds so many of them that d + k
+others are not there has a chance below 1e-5.) Before texts are looked at, a parity sketch of 64 bits, in which every word turns one bit and
 an edit two at most, rules out lines that merely share a key.
 
 Everything is DataFrame operations. Equal lines are known by two 64-bit hashes;
@@ -27,8 +28,6 @@ passes with a chance of some 1e-6.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
