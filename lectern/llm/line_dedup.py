@@ -136,26 +136,34 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
-    """``id`` and what ``sketched`` says of every different line, from its first occurrence."""
+    """``id``, ``often`` and what ``sketched`` says of every different line, from its first occurrence."""
     later = seen.join(first.select("id", "at"), "id").where(F.struct(*_ROW) != F.col("at")).select(F.xxhash64(*_ROW).alias("spot"))
     own = keep_ids(_lines(rows).withColumn("spot", F.xxhash64(*_ROW)), stored(later, "later-lines"), "spot", "left_anti")
-    return stored(own.select(F.xxhash64("line").alias("id"), F.explode(F.array(sketched(F.col("line")))).alias("x")).select("id", "x.s.*", "x.rare"), "sketches")
+    made = own.select(F.xxhash64("line").alias("id"), F.explode(F.array(sketched(F.col("line")))).alias("x")).select("id", "x.s.*", "x.rare")
+    often = stored(first.where("often > 1").select("id", F.least("often", F.lit(1 << 30)).cast("int").alias("often")), "often")
+    made = made.join(F.broadcast(often) if often.count() <= BROADCAST_IDS else often, "id", "left")
+    return stored(made.withColumn("often", F.coalesce("often", F.lit(1))), "sketches")
+
+
+def _never_empty(keys: DataFrame, *others: Column) -> DataFrame:
+    """With a key that no line has, so that plans are the same whether there are frequent keys or not."""
+    return keys.unionByName(keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), *others))
 
 
 def _keyed(sketches: DataFrame) -> DataFrame:
-    """``key, id, n, sketch`` of every line under each of its keys, those of small and frequent blocks being finer ones."""
+    """``key, id, n, sketch, often`` of every line under each of its keys, those of small and frequent blocks being finer ones."""
     own = allowed("n", "n")
     named = lambda sums, d: F.transform(sums, lambda s, i: F.struct(d.alias("d"), i.alias("block"), s.alias("sum")))
-    lines = sketches.select("id", "n", "sketch", "rare", F.explode(F.concat(named("own", own), named("next", own + 1))).alias("x")).select("id", "n", "sketch", "rare", "x.*")
+    lines = sketches.select("id", "n", "sketch", "often", "rare", F.explode(F.concat(named("own", own), named("next", own + 1))).alias("x")).select("id", "n", "sketch", "often", "rare", "x.*")
     blocks = lines.withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", SUMMED + 15).cast("int"))
     small = F.col("size") < LEAST
     hot = blocks.where(~small & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
-    hot = stored(hot, "hot-blocks")
+    hot = stored(_never_empty(hot, F.lit(True).alias("hot")), "hot-blocks")
     marked = blocks.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 2 else hot, "key", "left")
     outside = F.filter("rare", lambda w: F.pmod(w, F.col("d") * 2 + 1) != F.col("block"))
     by = _let(outside, lambda o: finer("key", o, F.col("d"), F.col("n") - F.col("size"), FEW))
     keys = F.when(small | F.coalesce("hot", F.lit(False)), by).otherwise(F.array("key"))
-    return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch")
+    return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch", "often")
 
 
 def coded(line: Column) -> Column:
@@ -191,7 +199,7 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
 def _links(sketches: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect the lines of each group, over the different lines ``first``.
 
-    The lines of a key are first held against one of them. Where they still
+    The lines of a key are first held against the most frequent. Where they still
     fall apart, those outside the key's largest component are held against all
     of the key's other components. Keys of very many lines are
     known from a sixteenth of the lines, with a line to hold against; theirs are
@@ -205,10 +213,12 @@ def _links(sketches: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     mine = ["id", "n", "sketch"]
     keyed = _keyed(sketches)
     own = Window.partitionBy("key", "slice")
-    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), F.max(F.struct(*mine)).alias("hot")).where(F.col("count") >= HOT)
-    hot = stored(sample.select("key", "hot", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices")), "hot-keys")
+    sample = keyed.where(F.pmod("id", F.lit(16)) == 0).groupBy("key").agg(F.count("*").alias("count"), F.max(F.struct("often", *mine)).alias("hot")).where(F.col("count") >= HOT)
+    sample = sample.select("key", "hot", F.ceil(F.col("count") * 16 / SLICE).cast("int").alias("slices"))
+    nobody = F.lit(None).cast(sample.schema["hot"].dataType).alias("hot")
+    hot = stored(_never_empty(sample, nobody, F.lit(1).alias("slices")), "hot-keys")
     dealt = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 8 else hot, "key", "left").withColumn("slice", F.when(F.col("slices").isNull(), 0).otherwise(F.pmod("id", F.col("slices"))))
-    dealt = dealt.withColumn("top", F.max(F.struct(*mine)).over(own)).withColumn("several", F.min("id").over(own) < F.col("top.id")).where("several or hot is not null")
+    dealt = dealt.withColumn("top", F.max(F.struct("often", *mine)).over(own)).withColumn("several", F.min("id").over(own) < F.max("id").over(own)).where("several or hot is not null")
     head = lambda c: F.coalesce(F.col("hot")[c], F.col("top")[c]).alias(f"head_{c}")
     members = stored(dealt.select("key", *mine, *map(head, mine)), "line-keys")
     stars = members.where((F.col("id") != F.col("head_id")) & near("", "head_")).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
