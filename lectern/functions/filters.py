@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import literal, normalize_ws, replaced, strip
+from lectern.functions.text import let, literal, normalize_ws, replaced, strip
 
 # fixed values: stamps, boilerplate, headings, units
 STAMPS = ["supplied by", "under the license", "license from bis", "valid upto", "book supply bureau", "csir-national physical laboratory"]
@@ -27,7 +30,7 @@ def _low(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return c.rlike("|".join(literal(w) for w in words))
+    return let(c, lambda x: reduce(or_, [x.contains(w) for w in words]))
 
 
 def bold(font: Column) -> Column:
@@ -65,14 +68,16 @@ def margin_noise(x: Column, y: Column, size: Column) -> Column:
 
 
 def boilerplate(c: Column) -> Column:
-    return contains_any(_low(c), BOILERPLATE)
+    return contains_any(F.lower(F.coalesce(c, F.lit(""))), BOILERPLATE)
 
 
 def page_marker(c: Column, profile: str = "main") -> Column:
     """A line that only says which page it is on."""
+    # a marker is short, or has white space in a row near its start
     if profile != "main":
-        return _low(c).rlike(r"^(?:page|[ivxlcdm]{1,6}|\d{1,3})$")
-    return _low(c).rlike(r"^\s*(?:page|" + "|".join(PAGE_MARKERS) + r")\s*$")
+        return let(strip(F.coalesce(c, F.lit(""))), lambda x: (F.length(x) <= 6) & F.lower(x).rlike(r"^(?:page|[ivxlcdm]{1,6}|\d{1,3})$"))
+    short = lambda x: (F.length(x) <= 12) | F.substring(x, 1, 12).rlike(r"\s\s")
+    return let(strip(F.coalesce(c, F.lit(""))), lambda x: short(x) & F.lower(x).rlike(r"^\s*(?:page|" + "|".join(PAGE_MARKERS) + r")\s*$"))
 
 
 def section_heading(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +18,9 @@ ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "e.g", "i.e", "etc
 #: Stands for a protected dot while sentences are split.
 _DOT = "\ue000"
 
+#: All that ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
 
@@ -30,7 +35,7 @@ def replaced(c: Column, pattern: str, by: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space (of all Unicode) at both ends."""
-    return replaced(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def lines_of(c: Column) -> Column:
@@ -40,7 +45,8 @@ def lines_of(c: Column) -> Column:
 
 def normalize_ws(c: Column) -> Column:
     """Runs of white space to one space, none at the ends; null to ''."""
-    return F.trim(replaced(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    runs = lambda x: F.when(x.contains("  ") | x.rlike(r"[\t\n\x0B\f\r\x85\xA0\u1680-\u3000]"), replaced(x, r"(?U)[\s&&[^ ]]\s*| \s+", " ")).otherwise(x)
+    return F.trim(let(F.coalesce(c, F.lit("")), runs))
 
 
 def normalize_lines(c: Column) -> Column:
@@ -54,7 +60,7 @@ def strip_control_chars(c: Column) -> Column:
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(c: Column) -> Column:
@@ -63,8 +69,8 @@ def nfkc(c: Column) -> Column:
 
 def norm_unicode(c: Column, form: Callable[[Column], Column] = nfkc) -> Column:
     """NFKC; no soft hyphens; straight quotes; hyphens for dashes. Null to ''."""
-    c = F.translate(form(F.coalesce(c, F.lit(""))), "\u00ad", "")
-    return F.translate(c, "\u201c\u201d\u2019\u2018\u2013\u2014", "\"\"''--")
+    odd = "\u201c\u201d\u2019\u2018\u2013\u2014\u00ad"
+    return let(form(F.coalesce(c, F.lit(""))), lambda x: F.when(x.rlike("[\u00ad\u2013-\u201d]"), F.translate(x, odd, "\"\"''--")).otherwise(x))
 
 
 def fix_decimal_spacing(c: Column) -> Column:
@@ -74,22 +80,22 @@ def fix_decimal_spacing(c: Column) -> Column:
 
 def remove_dot_leaders(c: Column) -> Column:
     """Five or more dots in a row to a space; then ``normalize_ws``."""
-    return normalize_ws(replaced(F.coalesce(c, F.lit("")), r"\.{5,}", " "))
+    return normalize_ws(replaced(F.coalesce(c, F.lit("")), r"\.\.\.\.\.\.*", " "))
 
 
 def normalize_decimal_commas(c: Column) -> Column:
-    return replaced(c, r"(?U)(?<=\d),(?=\d)", ".")
+    return replaced(c, r"(?U),(?<=\d,)(?=\d)", ".")
 
 
 def normalize_numeric_ranges(c: Column) -> Column:
     """A dash between digits to ' to '."""
-    return replaced(c, "(?U)(?<=\\d)\\s*[-\u2013\u2014]\\s*(?=\\d)", " to ")
+    return let(c, lambda x: F.when(x.contains("-") | x.contains("\u2013") | x.contains("\u2014"), replaced(x, "(?U)(?<=\\d)\\s*[-\u2013\u2014]\\s*(?=\\d)", " to ")).otherwise(x))
 
 
 def normalize_dots(c: Column) -> Column:
     """Dots between digits are spoken 'point', runs of dots 'dot' each."""
-    c = replaced(c, r"(?U)(?<=\d)\.(?=\d)", " point ")
-    return normalize_ws(replaced(c, r"(?<=\.)\.|\.(?=\.)", " dot "))
+    c = replaced(c, r"(?U)\.(?<=\d\.)(?=\d)", " point ")
+    return normalize_ws(replaced(c, r"\.(?:(?<=\.\.)|(?=\.))", " dot "))
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -110,10 +116,14 @@ def in_matches(c: Column, pattern: str, change: Callable[[Column], Column]) -> C
 def normalize_slash_context(c: Column) -> Column:
     """'slash' in addresses and paths, 'per' between words, 'upon' between digits."""
     spoken = lambda m: F.replace(m, F.lit("/"), F.lit(" slash "))
-    c = in_matches(F.coalesce(c, F.lit("")), r"(?:https?://|www\.)\S+", spoken)
-    c = in_matches(c, r"[A-Za-z]:\\\S+|/[A-Za-z0-9_\-/.]+", spoken)
-    c = replaced(c, r"(?<=[A-Za-z])\s*/\s*(?=[A-Za-z]+\b)", " per ")
-    return replaced(c, r"(?U)(?<=\d)\s*/\s*(?=\d)", " upon ")
+
+    def changed(c: Column) -> Column:
+        c = in_matches(c, r"(?:https?://|www\.)\S+", spoken)
+        c = in_matches(c, r"[A-Za-z]:\\\S+|/[A-Za-z0-9_\-/.]+", spoken)
+        c = replaced(c, r"(?<=[A-Za-z])\s*/\s*(?=[A-Za-z]+\b)", " per ")
+        return replaced(c, r"(?U)(?<=\d)\s*/\s*(?=\d)", " upon ")
+
+    return let(F.coalesce(c, F.lit("")), lambda x: F.when(x.contains("/"), changed(x)).otherwise(x))
 
 
 def plural(unit: str) -> str:
@@ -164,13 +174,22 @@ def normalize_units(c: Column, profile: str = "main") -> Column:
     the plural, and knows units of time.
     """
     c = normalize_decimal_commas(F.coalesce(c, F.lit("")))
-    for a, b in [*GLYPHS.items(), *(WIDE_SYMBOLS if profile == "step3" else SYMBOLS).items()]:
-        c = F.replace(c, F.lit(a), F.lit(b))
+    spoken = GLYPHS | (WIDE_SYMBOLS if profile == "step3" else SYMBOLS)
+    one, many = {a[0] for a in spoken if not a[0].isascii() or len(a) == 1}, [a for a in spoken if a[0].isascii() and len(a) > 1]
+    far = [a for a in one if a > "\xff"]
+    there = f"[{''.join(map(literal, sorted(one.difference(far))))}{min(far)}-{max(far)}]"
+
+    def said(x: Column) -> Column:
+        for a, b in spoken.items():
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return x
+
+    c = let(c, lambda x: F.when(reduce(or_, [x.contains(a) for a in many], x.rlike(there)), said(x)).otherwise(x))
     return normalize_ws(let(c, lambda x: F.when(x.rlike(r"(?U)\d"), _numbers(x, profile)).otherwise(x if profile == "step3" else _moles(x))))
 
 
 def _moles(c: Column) -> Column:
-    return replaced(c, r"(?iU)\bmol\s*/\s*l\b", " mole per litre ")
+    return let(c, lambda x: F.when(x.contains("/"), replaced(x, r"(?iU)\bmol\s*/\s*l\b", " mole per litre ")).otherwise(x))
 
 
 def _numbers(c: Column, profile: str) -> Column:
@@ -191,9 +210,10 @@ def _numbers(c: Column, profile: str) -> Column:
 
 def split_sentences(c: Column) -> Column:
     """Sentences as an array: cut after . ? ! and white space, not after abbreviations."""
-    names = "|".join(literal(a) for a in ABBREVIATIONS)
-    c = replaced(F.coalesce(c, F.lit("")), rf"(?iU)\b({names})\.", f"$1{_DOT}")
-    parts = F.transform(F.split(c, r"(?U)(?<=[.?!])\s+", -1), lambda s: normalize_ws(F.translate(s, _DOT, ".")))
+    # the dot is looked for first; in i.e.g. the e belongs to i.e
+    names = "|".join((r"(?<!\bi\.)" if a == "e.g" else "") + literal(a) for a in ABBREVIATIONS)
+    c = replaced(F.coalesce(c, F.lit("")), rf"(?iU)\.(?<=\b(?:{names})\.)", _DOT)
+    parts = F.transform(F.split(c, r"(?U)(?<=[.?!])\s+", -1), lambda s: normalize_ws(F.replace(s, F.lit(_DOT), F.lit("."))))
     return F.filter(parts, lambda s: s != "")
 
 

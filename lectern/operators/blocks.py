@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import filters as f
-from lectern.functions.text import lines_of, normalize_lines, strip
+from lectern.functions.text import let, lines_of, normalize_lines, strip
 from lectern.operators.islands import joined, settled
 from lectern.operators.lines import reading_order
 
@@ -73,7 +73,7 @@ def reflow(c: Column, profile: str = "main") -> Column:
 
     def cut(line: Column) -> Column:
         base, marker = strip(F.regexp_replace(line, end, "")), F.regexp_extract(line, end, 1)
-        return F.when(line.rlike(end) & ~line.rlike(f.LIST_MARKER), F.filter(F.array(base, marker), lambda x: x != "")).otherwise(text(line))
+        return F.when((line.endswith(".") | line.endswith(")")) & line.rlike(end) & ~line.rlike(f.LIST_MARKER), F.filter(F.array(base, marker), lambda x: x != "")).otherwise(text(line))
 
     lines = F.flatten(F.transform(F.transform(lines_of(c), strip), cut))
     nothing = F.lit(None).cast("string")
@@ -101,5 +101,5 @@ def reflow(c: Column, profile: str = "main") -> Column:
         )
 
     lines = F.aggregate(lines, state(empty, nothing, F.lit(0)), pair, ended)
-    kept = F.filter(lines, lambda x, i: ~((x == "") & (i > 0) & (F.coalesce(F.get(lines, i - 1), F.lit("x")) == "")))
-    return strip(F.array_join(kept, "\n"))
+    kept = lambda made: F.filter(made, lambda x, i: ~((x == "") & (i > 0) & (F.coalesce(F.get(made, i - 1), F.lit("x")) == "")))
+    return strip(F.array_join(let(lines, kept), "\n"))

@@ -47,7 +47,7 @@ def normalize_blocks(found: DataFrame) -> DataFrame:
     out = settled(out, "text", restored(wide_text(F.col("text")), F.col("__held"))).drop("__held")
     out = out.where(~((~F.col("text").contains("\n")) & f.page_marker(F.col("text"), "step3")))
     kept = F.filter(F.split("text", "\n"), lambda x: (t.strip(x) != "") & ~f.boilerplate(x))
-    out = settled(out, "text", F.when(F.exists(F.split("text", "\n"), f.boilerplate), t.strip(F.array_join(kept, "\n"))).otherwise(F.col("text")))
+    out = settled(out, "text", F.when(f.boilerplate(F.col("text")), t.strip(F.array_join(kept, "\n"))).otherwise(F.col("text")))
     contents = (F.col("type") == "heading") & (F.lower(t.strip(F.col("text"))) == "contents")
     return out.where((F.length(t.strip(F.translate("text", "\n", ""))) > 2) & ~contents)
 

@@ -141,3 +141,25 @@ def test_units_in_one_pass(spark):
             c = t._units(c, {k: prefix + v for k, v in names.items()}, power)
         c = c if profile == "step3" else t._moles(c)
         assert rows.where(t._numbers(F.col("text"), profile) != c).collect() == []
+
+
+def test_white_space_is_what_patterns_take_for_it(spark):
+    """Trimmed characters are those of Java's ``(?U)\\s``, one by one, and no pattern runs over the text for them."""
+    rows = spark.createDataFrame([(chr(k),) for k in [*range(1, 0x3400), *range(0xF000, 0x10000)]], "c string")
+    white = rows.where(F.col("c").rlike(r"(?U)^\s\z")).collect()
+    assert sorted(r.c for r in white) == sorted(t.WHITE)
+    plan = rows.select(t.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "trim" in plan
+
+
+def test_guards_change_nothing(spark):
+    """Texts that lack what a rule looks for pass its pattern by; all others come out as before."""
+    texts = {"i.e.g. no. e.g. x": ["i.e.g.", "no. e.g. x"], "See no. 5 etc. Next. End": ["See no. 5 etc. Next.", "End"]}
+    df = spark.createDataFrame([(k,) for k in texts], "s string")
+    assert {r.s: r.p for r in df.select("s", t.split_sentences(F.col("s")).alias("p")).collect()} == texts
+    df = spark.createDataFrame([("1 2\u20033  4",), ("1-2 a/b 3/4 \u338f 5 mol/l",), ("12  of   34",), ("12 of 34 of 56",)], "s string")
+    out = df.select(t.normalize_ws(F.col("s")), t.normalize_slash_context(t.normalize_numeric_ranges(F.col("s"))), f.page_marker(F.col("s"))).collect()
+    assert [r[0] for r in out] == ["1 2 3 4", "1-2 a/b 3/4 \u338f 5 mol/l", "12 of 34", "12 of 34 of 56"]
+    assert out[1][1] == "1 to 2 a slash b 3 slash 4 \u338f 5 mol slash l" and [r[2] for r in out] == [False, False, True, False]
+    plan = df.select(f.boilerplate(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
