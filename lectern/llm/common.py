@@ -16,6 +16,8 @@ import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.batches import small_batches  # noqa: F401  operators take it from here
+
 #: Id lists of at most this many rows may be broadcast (16 bytes a row in Spark's long map).
 BROADCAST_IDS = 1_000_000
 
@@ -76,13 +78,6 @@ def discard(*frames: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send Python ``rows`` documents at a time, where the session has Spark's default of 10000: a batch of whole documents is held several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def frugal(run: Callable) -> Callable:
     """A function over Arrow batches that gives its worker's memory back to the system when a task ends."""
 

@@ -134,3 +134,16 @@ def test_recogniser_of_many_rows_is_made_once(spark):
     out = recognise.with_readings(rows, recognise.readings(rows, [(name, make)], batch=50))
     assert out.where("latex = 'abc' and error is null").count() == 500
     assert 1 <= made.value <= 8
+
+
+def test_texts_come_in_small_batches(spark):
+    """Python holds 1000 texts at a time, not Spark's 10000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        df = spark.createDataFrame([("ab",)], "text string")
+        out = rules.replace_by_rules(df, rules.rule_table(spark, [{"find": "a", "replace": "c"}]))
+        assert spark.conf.get(key) == "1000" and [r.text for r in out.collect()] == ["cb"]
+    finally:
+        spark.conf.set(key, kept)
