@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bytesops import pieces
-from lectern.llm.common import drawn, shuffles
+from lectern.llm.common import drawn, frugal, shuffles
 from lectern.llm.pretokens import Pretokens
 
 #: The dictionary is trained on at most this many documents' first characters; it affects size only.
@@ -58,6 +58,7 @@ def _train(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> b
 
 
 def _frames(path: str, end_id: int, dictionary, cuts, text: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = dictionary.value
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
@@ -77,6 +78,7 @@ _PAGE = "part int, page int, first_id long, last_id long, dictionary_sha256 stri
 
 
 def _pages(sha: str, width: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, held, size, part = 0, [], 0, None
 
@@ -128,6 +130,7 @@ def write_token_ids(docs: DataFrame, folder: str, path: str, *, end_id: int, doc
 
 
 def _unpack(dictionary, sha: str, wanted: frozenset[int] | None):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = dictionary.value
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data) if data else None)

@@ -113,3 +113,9 @@ def test_encode_with_clashing_names(spark):
     assert out.columns == ["doc_id", "text", "1", "2", "n_tokens", "ids", "decoded"]
     r = out.first()
     assert (r["1"], r["2"], "some" in r["decoded"]) == ("x", "y", True) and len(r["ids"]) == r["n_tokens"]
+
+
+def test_token_steps_give_memory_back():
+    """Every Python step of the token files returns its worker's memory when a task ends."""
+    for run in (token_output._frames("", 2, None, None, "text"), token_output._pages("", 2), token_output._unpack(None, "", None)):
+        assert hasattr(run, "__wrapped__")
