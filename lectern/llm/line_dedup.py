@@ -9,7 +9,7 @@ document id and line number. Lines without letters and digits always stay.
 
 Every word belongs to one of 2d + 1 blocks by its hash, wherever it stands. One
 edit touches two blocks at most, so after d edits one block holds the same
-words: lines meet under the sum of hashes of each block. A line whose partner
+words: lines meet under the hash of each block's words. A line whose partner
 may allow one edit more sends keys for 2d + 3 blocks, too. So no link is lost.
 
 Blocks of few words, and keys that a sample shows to be frequent, say too little.
@@ -18,7 +18,8 @@ d + k words there, in one fixed order of all words (long ones first), lines shar
 k: they meet under the block with each k of those words instead. (Of a line the
 first ``RARE`` words are kept; that a block holds so many of them that d + k
 others are not there has a chance below 1e-5.) Before texts are looked at, a parity sketch of 64 bits, in which every word turns one bit and
-an edit two at most, rules out lines that merely share a key.
+an edit two at most, rules out lines that merely share a key. Where many lines of one
+family still fall apart, four more such sketches and the edits themselves are looked at as they meet.
 
 Everything is DataFrame operations. Equal lines are known by two 64-bit hashes;
 lines that share only one of them are left alone. Edits are counted on strings
@@ -68,38 +69,40 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Of a word's hash: the bits that say its block and order, and how many are summed up; a sum has the number of words above its ``SUMMED + 15`` bits.
-PLACED, SUMMED = (1 << 31) - 1, 24
+#: Of a word's hash: the bits that say its block and order. Of a block's hash: how many bits stand below its number of words.
+PLACED, HASHED = (1 << 31) - 1, 48
+#: Bits of a word below those of its block.
+_BELOW = 60
 
 
-def sketched(line: Column) -> Column:
-    """``struct(n, sketch, rare, own, next)`` of a normalised line: words, parity sketch, hashes of its first words in the fixed order, sums of blocks for the edits that it allows and, where a partner may allow one more, for one more (else empty)."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    order = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PLACED)) - F.shiftleft(F.least(F.length(w) + F.when(w < ":", 16).otherwise(0), F.lit(24)).cast("long"), 32))
-    one = F.lit(1 << (SUMMED + 12))
+def _blocks(placed: Column, k: Column) -> Column:
+    """Of each of ``k`` blocks how many words it holds, above a hash of them; ``placed`` holds its words in ascending order, a mark before each block."""
+    at = lambda b: F.array_position(placed, F.lit(b << _BELOW)).cast("int")
 
-    def sums(hs: Column, blocks: Column) -> Column:
-        """Of each block how many words it holds, and the sum of their hashes; a word is one number with its block in the last three bits."""
-        worth = lambda h: F.shiftleft(F.shiftrightunsigned(h, 64 - SUMMED) + one, 3) + F.pmod(h.bitwiseAND(F.lit(PLACED)), blocks)
-        total = lambda w, b: F.aggregate(w, F.lit(0).cast("long"), lambda t, x: F.when(x.bitwiseAND(F.lit(7)) == b, F.try_add(t, x)).otherwise(t))
-        return _let(F.transform(hs, worth), lambda w: F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: total(w, b)))
+    def block(b: int) -> Column:
+        size = at(b + 1) - at(b) - 1
+        return F.shiftleft(size.cast("long"), HASHED).bitwiseOR(F.xxhash64(F.slice(placed, at(b) + 1, size)).bitwiseAND(F.lit((1 << HASHED) - 1)))
 
-    def of(hs: Column) -> Column:
-        sketch = F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    return F.slice(F.array(*[F.when(F.lit(b) < k, block(b)) for b in range(2 * MOST + 1)]), 1, k)
 
-        def with_edits(n: Column) -> Column:
-            def with_blocks(d: Column) -> Column:
-                more = (d < MOST) & (n + d + 1 >= TENTH * (d + 1) - 5)
-                own = F.when(d > 0, _let(d * 2 + 1, lambda k: sums(hs, k))).otherwise(F.array().cast("array<bigint>"))
-                following = F.when(more, _let(d * 2 + 3, lambda k: sums(hs, k))).otherwise(F.array().cast("array<bigint>"))
-                return F.struct(n.alias("n"), sketch.alias("sketch"), own.alias("own"), following.alias("next"))
 
-            return _let(allowed(n, n), with_blocks)
+def sketched(lines: DataFrame) -> DataFrame:
+    """``id, n, sketch, rare, own, next`` of normalised lines ``id, line``: words, parity sketch, hashes of its first words in the fixed order, hashes of blocks for the edits that it allows and, where a partner may allow one more, for one more (else empty).
 
-        return _let(F.size(hs), with_edits)
-
-    rare = F.transform(F.slice(F.array_sort(order), 1, RARE), lambda x: x.bitwiseAND(F.lit(PLACED)).cast("int"))
-    return F.struct(_let(hashes, of).alias("s"), rare.alias("rare"))
+    Sorting and cutting are functions over whole arrays, which Spark compiles; those with a body for each element it does not.
+    """
+    nothing = F.array().cast("array<bigint>")
+    marks = F.array(*[F.lit(b << _BELOW) for b in range(2 * MOST + 2)])
+    order = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PLACED)) - F.shiftleft(F.least(F.length(w) + F.when(w < ":", 16).otherwise(0), F.lit(24)).cast("long"), 32))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x.bitwiseAND(F.lit(PLACED)), 25).cast("int"))
+    place = lambda k: F.transform("words", lambda x: F.shiftleft(F.pmod(x.bitwiseAND(F.lit(PLACED)), k), _BELOW).bitwiseOR(x.bitwiseAND(F.lit((1 << _BELOW) - 1))))
+    made = lines.select("id", F.sort_array(order).alias("words")).withColumn("n", F.size("words"))
+    made = made.withColumn("d", allowed("n", "n")).withColumn("more", (F.col("d") < MOST) & (F.col("n") + F.col("d") + 1 >= TENTH * (F.col("d") + 1) - 5))
+    sketch = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    rare = F.transform(F.slice("words", 1, RARE), lambda x: x.bitwiseAND(F.lit(PLACED)).cast("int"))
+    for name, used, k in (("own", F.col("d") > 0, F.col("d") * 2 + 1), ("next", F.col("more"), F.col("d") * 2 + 3)):
+        made = made.withColumn(f"{name}_placed", F.when(used, F.sort_array(F.concat(place(k), marks)))).withColumn(name, F.when(used, _blocks(F.col(f"{name}_placed"), k)).otherwise(nothing))
+    return made.select("id", "n", sketch.alias("sketch"), rare.alias("rare"), "own", "next")
 
 
 def _subsets(words: Column, k: int) -> Column:
@@ -139,7 +142,7 @@ def _sketches(rows: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
     """``id``, ``often`` and what ``sketched`` says of every different line, from its first occurrence."""
     later = seen.join(first.select("id", "at"), "id").where(F.struct(*_ROW) != F.col("at")).select(F.xxhash64(*_ROW).alias("spot"))
     own = keep_ids(_lines(rows).withColumn("spot", F.xxhash64(*_ROW)), stored(later, "later-lines"), "spot", "left_anti")
-    made = own.select(F.xxhash64("line").alias("id"), F.explode(F.array(sketched(F.col("line")))).alias("x")).select("id", "x.s.*", "x.rare")
+    made = sketched(own.select(F.xxhash64("line").alias("id"), "line"))
     often = stored(first.where("often > 1").select("id", F.least("often", F.lit(1 << 30)).cast("int").alias("often")), "often")
     made = made.join(F.broadcast(often) if often.count() <= BROADCAST_IDS else often, "id", "left")
     return stored(made.withColumn("often", F.coalesce("often", F.lit(1))), "sketches")
@@ -155,7 +158,7 @@ def _keyed(sketches: DataFrame) -> DataFrame:
     own = allowed("n", "n")
     named = lambda sums, d: F.transform(sums, lambda s, i: F.struct(d.alias("d"), i.alias("block"), s.alias("sum")))
     lines = sketches.select("id", "n", "sketch", "often", "rare", F.explode(F.concat(named("own", own), named("next", own + 1))).alias("x")).select("id", "n", "sketch", "often", "rare", "x.*")
-    blocks = lines.withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", SUMMED + 15).cast("int"))
+    blocks = lines.withColumn("key", F.xxhash64("d", "block", "sum")).withColumn("size", F.shiftrightunsigned("sum", HASHED).cast("int"))
     small = F.col("size") < LEAST
     hot = blocks.where(~small & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
     hot = stored(_never_empty(hot, F.lit(True).alias("hot")), "hot-blocks")
@@ -172,14 +175,13 @@ def coded(line: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " "), code), "")), "UTF-32")
 
 
-def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those within the edits allowed; texts come from each line's first occurrence.
+def _codes(ids: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """``id, code`` of the lines ``ids``; texts come from each line's first occurrence.
 
-    Rows of text are read again where they stand: only lines in a pair are
+    Rows of text are read again where they stand: only lines asked for are
     normalised and go on, found by a broadcast of their places while these are
     counted to be few, else by a join.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     spot = F.xxhash64(*_ROW).alias("spot")
     needed = stored(ids.join(first, "id").select("id", "at.*").select("id", *_ROW, spot), "line-places")
     n = needed.count()
@@ -187,12 +189,35 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     if n <= BROADCAST_IDS:
         raw = raw.join(F.broadcast(needed.select("spot")), "spot", "left_semi")
     found = raw.drop("spot").join(needed.drop("spot"), _ROW).select("id", F.trim(normalised(F.col("line"))).alias("line"))
-    lines = stored(found.select("id", coded(F.col("line")).alias("code")), "line-codes")
+    out = stored(found.select("id", coded(F.col("line")).alias("code")), "line-codes")
+    discard(needed)
+    return out
+
+
+def _within(a: str, b: str) -> Column:
+    """Whether two lines' codes are within the edits allowed."""
+    return F.expr(f"levenshtein({a}, {b}, cast(least((greatest(length({a}), length({b})) + 5) div {TENTH}, {MOST}) as int))") >= 0
+
+
+#: More parity sketches of lines of keys that hold several components, and their columns.
+MORE = [f"sketch_{k}" for k in range(4)]
+
+
+def _sketched_again(codes: DataFrame) -> DataFrame:
+    """``codes`` with ``MORE``: lines of one family are many under each key, and a few edits more than allowed often fit one sketch, hardly five."""
+    hashed = codes.withColumn("__words", F.transform(F.split("code", ""), lambda c: F.xxhash64(c)))
+    bit = lambda h, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = lambda k: F.aggregate("__words", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h, k)))
+    return hashed.withColumns({c: sketch(k) for k, c in enumerate(MORE)}).drop("__words")
+
+
+def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those within the edits allowed."""
+    lines = _codes(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), first, rows)
     side = lambda k: lines.select(F.col("id").alias(k), F.col("code").alias(f"code_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = F.expr(f"levenshtein(code_a, code_b, cast(least((greatest(length(code_a), length(code_b)) + 5) div {TENTH}, {MOST}) as int))") >= 0
-    out = stored(both.where(near).select("a", "b"), "line-links")
-    discard(needed, lines)
+    out = stored(both.where(_within("code_a", "code_b")).select("a", "b"), "line-links")
+    discard(lines)
     return out
 
 
@@ -206,9 +231,12 @@ def _links(sketches: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     dealt over tasks by ``SLICE``.
     """
 
-    def near(x: str, y: str) -> Column:
+    def near(x: str, y: str, *more: str) -> Column:
         d = allowed(f"{x}n", f"{y}n")
-        return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= d) & (F.bit_count(F.col(f"{x}sketch").bitwiseXOR(F.col(f"{y}sketch"))) <= 2 * d)
+        alike = F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= d
+        for c in ("sketch", *more):
+            alike &= F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) <= 2 * d
+        return alike
 
     mine = ["id", "n", "sketch"]
     keyed = _keyed(sketches)
@@ -230,17 +258,19 @@ def _links(sketches: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     largest = F.max_by("component", F.shiftleft("lines", 32).bitwiseOR(F.col("component").bitwiseAND(F.lit((1 << 32) - 1))))
     most = sizes.groupBy("key").agg(largest.alias("most"), F.count("*").alias("parts"), F.ceil(F.sum("lines") / SLICE).cast("int").alias("slices")).where("parts > 1")
     most = stored(most.select("key", "most", "slices"), "mixed-keys")
-    crowd = placed.join(F.broadcast(most) if most.count() <= BROADCAST_IDS // 4 else most, "key")
+    if not most.limit(1).count():
+        discard(hot, members, placed, most, stars)
+        return links
+    crowd_lines = stored(placed.join(F.broadcast(most) if most.count() <= BROADCAST_IDS // 4 else most, "key"), "crowded-lines")
+    codes = _codes(crowd_lines.select("id").distinct(), first, rows)
+    crowd = crowd_lines.join(_sketched_again(codes), "id")
     x = crowd.where("component <> most").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).alias("x")
     y = crowd.withColumn("slice", F.pmod("id", F.col("slices")).cast("int")).alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.", "y.") & apart)
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    discard(hot, members, placed, most, stars)
-    if not pairs.limit(1).count():
-        return links
-    return links.union(_verified(pairs, first, rows))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & near("x.", "y.", *MORE) & apart & _within("x.code", "y.code"))
+    further = stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "line-links")
+    discard(hot, members, placed, most, stars, crowd_lines, codes)
+    return links.union(further)
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -306,6 +306,21 @@ def test_one_edit_always_goes(spark):
     assert kept == set(range(150))
 
 
+def test_lines_of_one_family_that_do_not_link(spark, monkeypatch):
+    """Lines two words from one that is not there are four from each other: what meets does not grow with the square of the lines."""
+    kept, made = line_dedup.stored, []
+    monkeypatch.setattr(line_dedup, "stored", lambda df, what: (out := kept(df, what), made.append(out.count()) if what in ("line-pairs", "line-links") else None)[0])
+    rows = []
+    for k in range(150):
+        line = [f"word{i}" for i in range(300)]
+        line[2 * k : 2 * k + 2] = [f"x{k}", f"y{k}"]
+        rows.append((k, " ".join(line)))
+    rows += [(1000 + k, f"{t} more") for k, t in rows[:10]]
+    out = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0")
+    assert {x.doc_id for x in out.collect()} == {1000 + k for k in range(10)}
+    assert sum(made) < 1000
+
+
 def test_lines_with_dotted_columns(spark):
     rows = spark.createDataFrame([(1, "one two three four five six", "x"), (2, "one two three four five six", "y")], "doc_id long, text string, `a.b` string")
     out = line_dedup.dedup_lines(rows)
