@@ -4,7 +4,7 @@ A unit vector is padded to ``BITS`` dimensions and rotated by a random
 orthogonal matrix; its code is the sign of each coordinate, one bit. Stored
 with it are its factor f = <code / sqrt(BITS), rotated vector> and, for its
 part as the other side, the rotated coordinates rounded at random to
-``PLANES`` bits. Bitwise ANDs and bit counts of a code with those planes give
+``PLANES`` bits. The product of the matrix of codes with that of those planes' numbers gives
 <code, rounded> and, over f, an estimate of the inner product without bias. It
 is off by more than ``SIGMAS`` / sqrt(BITS - 1) * sqrt((1 - f^2) / f^2) for the
 code and ``SIGMAS`` * step / (2 f) for the rounding only with a probability of
@@ -79,6 +79,22 @@ class Codes:
         inner = 2 * (other.low[:, None] * self.ones[None] + other.step[:, None] * common) - other.total[:, None]
         return inner / (np.sqrt(self.bits) * self.factor[None])
 
+    def levels(self) -> np.ndarray:
+        """What stands for the rounded coordinates in ``may_reach``: a row a vector, to be multiplied with a row of ``signs``."""
+        level = sum(np.unpackbits(np.ascontiguousarray(self.planes[:, j]).view(np.uint8), axis=1).astype(np.float32) * (1 << j) for j in range(PLANES))
+        wide = (2 * self.low)[:, None], (SIGMAS / 2 * np.sqrt(self.bits) * self.step - self.total)[:, None]
+        return np.hstack([level * (2 * self.step)[:, None], *wide]).astype(np.float32)
+
+    def signs(self) -> np.ndarray:
+        bits = np.unpackbits(np.ascontiguousarray(self.code).view(np.uint8), axis=1)
+        return np.hstack([bits, self.ones[:, None], np.ones((len(bits), 1))]).astype(np.float32)
+
+    def may_reach(self, levels: np.ndarray, threshold: float) -> np.ndarray:
+        """Where estimates and doubt add up to the threshold: one matrix product, in single precision with room for its rounding."""
+        room = 1e-4 * np.sqrt(self.bits)
+        least = np.sqrt(self.bits) * self.factor * (threshold - self.bound) - room
+        return levels @ self.signs().T >= least.astype(np.float32)[None]
+
     def doubt(self, other: Codes) -> np.ndarray:
         """How far these estimates may be off."""
         return self.bound[None] + SIGMAS / 2 * other.step[:, None] / self.factor[None]
@@ -86,9 +102,9 @@ class Codes:
 
 def linked_pairs(x: np.ndarray, cx: Codes, y: np.ndarray, cy: Codes, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows at or above the threshold by exact cosine, a bounded number at a time."""
-    for k in range(0, len(x), 256):
-        own = cx.of_rows(slice(k, k + 256))
-        a, b = np.nonzero(cy.estimates(own) + cy.doubt(own) >= threshold)
+    levels = cx.levels()
+    for k in range(0, len(x), 1024):
+        a, b = np.nonzero(cy.may_reach(levels[k : k + 1024], threshold))
         for p in range(0, len(a), 1 << 16):
             i, j = a[p : p + (1 << 16)] + k, b[p : p + (1 << 16)]
             exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
