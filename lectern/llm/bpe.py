@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
 from lectern.llm.bytesops import pieces
-from lectern.llm.common import frugal
+from lectern.llm.common import between, frugal, give_back
 from lectern.llm.pretokens import Pretokens, gather
 
 #: Leaves of the tree have at most this many characters; a pre-token of more is encoded as halves.
@@ -27,7 +27,9 @@ LEAF = 8
 #: From this many leaves they are encoded by the library's threads.
 MANY = 256
 #: Bytes of text encoded at a time.
-STEP = 1 << 19
+STEP = 1 << 17
+#: Pre-tokens that a worker keeps, letters of them, and bits of their table's places: half of what op4, whose model costs less memory, keeps.
+CACHED, LETTERS, SLOTS = 200_000, 1 << 21, 18
 
 
 class TreeBpe:
@@ -90,7 +92,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tree = TreeBpe(path)
-        self.own = Pretokens(path, lambda mapped: [self.tree.vocab[t] for t in self.tree.tokens(mapped)])
+        self.own = Pretokens(path, lambda mapped: [self.tree.vocab[t] for t in self.tree.tokens(mapped)], cached=CACHED, letters=LETTERS, slots=SLOTS)
         self.plain = self.own.library.decoder is None
         self.decimal = csr([f"{i} ".encode() for i in range(len(self.own.names))])
         self.name = csr([f"{x} ".encode() for x in self.own.names])
@@ -132,7 +134,9 @@ def csr(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @cache
 def encoder(path: str) -> Encoder:
     """One a worker; what it remembers of texts is bounded."""
-    return Encoder(path)
+    made = Encoder(path)
+    give_back()
+    return made
 
 
 #: What the two columns made of the ids are called on the way.
@@ -143,7 +147,7 @@ def _mapper(path: str, text: str, full: bool):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for whole in batches:
+        for whole in between(batches):
             for batch in pieces(whole, text, STEP):
                 at = batch.schema.get_field_index(text)
                 ids, o = own.own.encode(batch.column(at).to_pylist())

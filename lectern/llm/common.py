@@ -78,6 +78,13 @@ def discard(*frames: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system."""
+    pyarrow.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run: Callable) -> Callable:
     """A function over Arrow batches that gives its worker's memory back to the system when a task ends."""
 
@@ -85,13 +92,24 @@ def frugal(run: Callable) -> Callable:
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 
 
+def between(batches: Iterator) -> Iterator:
+    """The batches, with memory given back after each, for functions that keep a few large tables beside many short-lived arrays.
+
+    Arrays of a megabyte and more get mappings of their own, which end with them.
+    """
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; glibc raises it to 32 MB where it is not set
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

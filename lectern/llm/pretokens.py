@@ -105,8 +105,12 @@ def bounds(c: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray,
 class Pretokens:
     """Encodes texts piece by piece; every different pre-token goes through the library's model once while it is cached."""
 
-    def __init__(self, path: str, encode_pretoken=None) -> None:
-        """``encode_pretoken`` gets a pre-token in the file's letters and returns its ids; by default the library's model does."""
+    def __init__(self, path: str, encode_pretoken=None, *, cached: int | None = None, letters: int | None = None, slots: int = _SLOTS) -> None:
+        """``encode_pretoken`` gets a pre-token in the file's letters and returns its ids; by default the library's model does.
+
+        ``cached`` and ``letters`` bound the cache (``CACHED`` and ``LETTERS``), whose table has twice 2 ** ``slots`` places.
+        """
+        self.bound, self.slots = (cached, letters), slots
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.spaced = file["pre_tokenizer"]["type"] == "ByteLevel"
@@ -121,7 +125,7 @@ class Pretokens:
         self.clear()
 
     def clear(self) -> None:
-        self.slot_hash, self.slot_row = np.zeros(2 << _SLOTS, U), np.zeros(2 << _SLOTS, np.int32)
+        self.slot_hash, self.slot_row = np.zeros(2 << self.slots, U), np.zeros(2 << self.slots, np.int32)
         self.rows, self.exact = 0, {}
         self.ids, self.starts = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64)
         self.chars, self.char_starts = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64)
@@ -158,14 +162,13 @@ class Pretokens:
         """
         return any(s in text for s in self.special) or not self.spaced and "Σ" in text or not text.isascii() and _RARE.search(text) is not None
 
-    @staticmethod
-    def _second(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes & U((1 << _SLOTS) - 1)) + U(1 << _SLOTS)).astype(np.int64)
+    def _second(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes & U((1 << self.slots) - 1)) + U(1 << self.slots)).astype(np.int64)
 
     def _learn(self, text: str, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rows of the pre-tokens, new ones included."""
         hashes = span_hashes(prefix_hashes_of(_random()[c]), start, end)
-        slot = (hashes >> U(64 - _SLOTS)).astype(np.int64)
+        slot = (hashes >> U(64 - self.slots)).astype(np.int64)
         row = self.slot_row[slot]
         missing = np.flatnonzero(self.slot_hash[slot] != hashes)
         if len(missing):  # each hash has a second place
@@ -210,7 +213,8 @@ class Pretokens:
         if not joined:
             ids, offsets = np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         else:
-            if self.rows > CACHED or self.char_starts[self.rows] > LETTERS:
+            cached, letters = (own or default for own, default in zip(self.bound, (CACHED, LETTERS), strict=True))
+            if self.rows > cached or self.char_starts[self.rows] > letters:
                 self.clear()
             c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             edges = np.zeros(len(texts) + 1, np.int64)

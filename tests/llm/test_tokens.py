@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public = pytest.importorskip("public_tokenizers")
@@ -119,3 +120,20 @@ def test_token_steps_give_memory_back():
     """Every Python step of the token files returns its worker's memory when a task ends."""
     for run in (token_output._frames("", 2, None, None, "text"), token_output._pages("", 2), token_output._unpack(None, "", None)):
         assert hasattr(run, "__wrapped__")
+
+
+def test_bpe_gives_memory_back_between_batches(monkeypatch):
+    """A task's short-lived arrays do not stay with its worker, and what it remembers of pre-tokens is bounded lower than for the byte-level file."""
+    bpe.encoder(WORD)
+    given = []
+    monkeypatch.setattr("lectern.llm.common.give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words"])], ["text"])
+    assert len(list(bpe._mapper(WORD, "text", False)(iter([batch] * 3)))) == 3
+    assert len(given) == 4
+    own, other = bpe.Encoder(WORD).own, Pretokens(BYTE)
+    assert 2 * len(own.slot_hash) == len(other.slot_hash)
+    library = Tokenizer.from_file(WORD)
+    own.bound = (2, None)
+    for text in ("a b c d e", "f g h i", "a b c"):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.rows <= 5
