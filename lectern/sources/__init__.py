@@ -52,21 +52,21 @@ def spans(spark: SparkSession, path: str, max_pages: int | None = None) -> DataF
     return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
 
 
-def document_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def document_rows(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:
     """JSON files (an array or lines of objects each) with a declared schema and ``doc, doc_id``: a file is a document, named as it is without ``.json``.
 
-    ``path`` is a file, a folder or a pattern; what is no JSON has no rows.
+    ``path`` is a file, a folder or a pattern; what is no JSON has no rows. The condition ``where`` reaches the reader.
     """
     names = [x.split()[0] for x in schema.split(", ")]
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    rows = rows.withColumn("doc", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?$", 1))
+    rows = rows if where is None else rows.where(where)
+    rows = rows.withColumn("doc", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1))
     return rows.select(*names, "doc", F.xxhash64("doc").alias("doc_id"))
 
 
 def document_spans(spark: SparkSession, folder: str, max_pages: int | None = None) -> DataFrame:
     """``spans`` of every JSON file in ``folder``, with ``doc, doc_id``; the limit on pages reaches the reader."""
-    rows = document_rows(spark, folder, SPAN)
-    rows = rows if max_pages is None else rows.where(F.col("page") <= max_pages)
+    rows = document_rows(spark, folder, SPAN, None if max_pages is None else f"page <= {int(max_pages)}")
     rows = rows.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("span_no", F.monotonically_increasing_id())
     return rows.withColumn("bold", F.coalesce("bold", bold(F.col("font")))).withColumn("italic", F.coalesce("italic", italic(F.col("font"))))
 
