@@ -28,7 +28,7 @@ LEAF = 8
 MANY = 256
 #: Bytes of text encoded at a time.
 STEP = 1 << 17
-#: Pre-tokens that a worker keeps, letters of them, and bits of their table's places: half of what op4, whose model costs less memory, keeps.
+#: Pre-tokens that a worker keeps, letters of them, and bits of their table's places: less than op4 keeps, whose model costs less memory.
 CACHED, LETTERS, SLOTS = 200_000, 1 << 21, 18
 
 
