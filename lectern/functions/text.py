@@ -38,6 +38,12 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE))
 
 
+def stripped(c: Column) -> Column:
+    """``strip`` of texts that are seldom white at their ends, which are looked at first; ``c`` may be computed more than once."""
+    white = lambda x: F.instr(F.lit(WHITE), x) > 0
+    return F.when(white(F.substring(c, 1, 1)) | white(F.substring(c, -1, 1)), strip(c)).otherwise(c)
+
+
 def lines_of(c: Column) -> Column:
     """The lines of a text, at every Unicode line end."""
     return F.split(replaced(F.coalesce(c, F.lit("")), f"({LINE_END})\\z", ""), LINE_END, -1)
@@ -304,8 +310,8 @@ def normalize_selection(c: Column, *, fix_hyphens: bool = True, collapse: bool =
 def slug(c: Column, longest: int = 60) -> Column:
     """Lower-case a-z, digits and underscores; 'section' if empty."""
     c = replaced(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^a-z0-9\s_]+", "")
-    c = F.trim(replaced(c, r"(?U)\s+", "_"), F.lit("_"))
-    return F.when(c == "", "section").otherwise(F.substring(c, 1, longest))
+    c = F.substring(F.trim(replaced(c, r"(?U)\s+", "_"), F.lit("_")), 1, longest)
+    return let(c, lambda x: F.when(x == "", "section").otherwise(x))
 
 
 def file_slug(c: Column, longest: int = 70) -> Column:
@@ -320,5 +326,4 @@ def safe_name(c: Column, longest: int = 80) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    n = normalize_ws(c)
-    return F.when(n == "", 0).otherwise(F.size(F.split(n, " ")))
+    return let(normalize_ws(c), lambda n: F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1))

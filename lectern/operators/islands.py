@@ -10,7 +10,7 @@ def joined(order: str | Column, text: str | Column, separator: str = "") -> Colu
     """Aggregate: texts in order, joined."""
     order = F.col(order) if isinstance(order, str) else order
     text = F.col(text) if isinstance(text, str) else text
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
 
 
 def numbered(rows: DataFrame, starts: Column, *, by: list[str], order: list[Column], name: str) -> DataFrame:

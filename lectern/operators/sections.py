@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import filters as f
-from lectern.functions.text import file_slug, slug, strip, word_count
+from lectern.functions.text import file_slug, slug, strip, stripped, word_count
 from lectern.functions.tokens import TABLE_OLD
-from lectern.operators.islands import joined, numbered
+from lectern.operators.islands import joined, numbered, settled
 
 
 def heading_names(c: Column) -> Column:
@@ -37,40 +37,46 @@ def table_fields(blocks: DataFrame) -> DataFrame:
     return out.drop("table_id", "caption").withColumnsRenamed({"__id": "table_id", "__caption": "caption"})
 
 
-def build(blocks: DataFrame) -> DataFrame:
+def build(blocks: DataFrame, *, texts: bool = True) -> DataFrame:
     """Sections from blocks (``doc_id, block_no, type, page, text`` and, for tables, ``table_id, caption, bbox``).
 
     ``doc_id, section_no`` (from 0), ``id, title, page_start, page_end, text,
     tables``. What precedes the first heading is front matter from page 1.
+    Without ``texts``, ``word_count`` in place of ``text``: words are counted block by block, and only headings go on.
     """
     for name, kind in (("table_id", "string"), ("caption", "string"), ("bbox", "array<double>")):
         if name not in blocks.columns:
             blocks = blocks.withColumn(name, F.lit(None).cast(kind))
-    rows = blocks.withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''")
-    rows = table_fields(rows)
+    rows = table_fields(settled(blocks, "text", stripped(F.coalesce("text", F.lit("")))).where("text <> ''"))
     head = (F.col("type") == "heading") & f.section_heading(F.col("text"))
-    rows = numbered(rows.withColumn("head", head), F.col("head"), by=["doc_id"], order=[F.col("block_no")], name="seq")
+    rows = rows.withColumn("head", head)
+    if not texts:
+        rows = rows.withColumn("words", word_count(F.col("text"))).withColumn("text", F.when(F.col("head"), F.col("text")))
+    rows = numbered(rows, F.col("head"), by=["doc_id"], order=[F.col("block_no")], name="seq")
+    first = F.min_by("text", "block_no") if texts else F.min_by("text", F.when(F.col("head"), F.col("block_no")))
+    body = joined("block_no", "text", "\n\n").alias("text") if texts else F.sum("words").cast("int").alias("word_count")
     table = F.struct("block_no", "table_id", "caption", "page", "bbox")
     out = rows.groupBy("doc_id", "seq").agg(
-        F.min_by("text", "block_no").alias("first"),
+        first.alias("first"),
         F.min_by("page", "block_no").alias("page_start"),
         F.max("page").alias("page_end"),
-        joined("block_no", "text", "\n\n").alias("text"),
+        body,
         F.array_sort(F.collect_list(F.when(F.col("type") == "table", table))).alias("tables"),
     )
-    names = heading_names(F.col("first"))
     front = F.col("seq") == 0
+    out, names = settled(out, "names", F.when(~front, heading_names(F.col("first")))), F.col("names")
     out = out.withColumn("id", F.when(front, "00_front_matter").otherwise(names["id"])).withColumn("title", F.when(front, "Front matter").otherwise(names["title"]))
     out = out.withColumn("page_start", F.when(front, 1).otherwise(F.col("page_start"))).withColumn("page_end", F.greatest("page_start", "page_end"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
     tables = F.transform("tables", lambda t: F.struct(t["table_id"].alias("table_id"), t["caption"].alias("caption"), t["page"].alias("page"), t["bbox"].alias("bbox")))
-    return out.select("doc_id", order.alias("section_no"), "id", "title", "page_start", "page_end", "text", tables.alias("tables"))
+    return out.select("doc_id", order.alias("section_no"), "id", "title", "page_start", "page_end", "text" if texts else "word_count", tables.alias("tables"))
 
 
 def manifest(sections: DataFrame) -> DataFrame:
-    """A row per section without its text: file name, pages, words, tables."""
+    """A row per section without its text: file name, pages, words (as ``build`` counted them without texts, if so), tables."""
+    words = F.col("word_count") if "word_count" in sections.columns else word_count(F.col("text"))
     return sections.select(
-        "doc_id", F.col("section_no").alias("order"), "id", "title", F.format_string("%02d_%s.txt", "section_no", "id").alias("file"), "page_start", "page_end", word_count(F.col("text")).alias("word_count"), "tables", F.size("tables").alias("table_count")
+        "doc_id", F.col("section_no").alias("order"), "id", "title", F.format_string("%02d_%s.txt", "section_no", "id").alias("file"), "page_start", "page_end", words.alias("word_count"), "tables", F.size("tables").alias("table_count")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lectern import sources, streaming
 from lectern.operators import blocks, chunks, formulas, lines, overlay, sections, tables, toc
 from lectern.plans import documents_to_sections, normalize_sections, spoken_blocks
+from lectern.queries import queries
 
 
 def spans(spark, rows):
@@ -62,6 +63,17 @@ def test_sections(spark):
     assert [(r.file, r.word_count, r.table_count) for r in sections.manifest(built).orderBy("order").collect()][1] == ("01_1_scope_of_it.txt", 7, 0)
 
 
+def test_manifest_counts_words_without_joining_texts(spark):
+    odd = [("heading", 1, " 1 Scope\u00a0of  it "), ("paragraph", 1, "\u3000"), ("paragraph", 2, None), ("table", 2, "x"), ("paragraph", 3, "\ta\u2003b\nc "), ("heading", 4, "bibliography"), ("heading", 4, "Annex C")]
+    rows = blocked(spark, odd).union(blocked(spark, [("paragraph", 9, " one two"), ("heading", 9, "2.1 ?!")]).withColumn("doc_id", F.lit(2).cast("long")))
+    listed = lambda built: sorted(map(str, sections.manifest(built).collect()))
+    lean = sections.build(rows, texts=False)
+    assert listed(lean) == listed(sections.build(rows)) and len(listed(lean)) == 5 and "text" not in lean.columns
+    assert [r.word_count for r in lean.orderBy("doc_id", "section_no").collect()] == [11, 1, 2, 2, 2]
+    plan = queries()["section_manifest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(o," not in plan
+
+
 def test_topics(spark):
     rows = blocked(spark, [("paragraph", 1, "a"), ("heading", 2, "H"), ("paragraph", 2, "b")]).withColumn("block_id", F.concat(F.lit("b"), F.col("block_no").cast("string")))
     assert [(r.topic_id, r.title, r.page, r.block_ids) for r in sections.topics(rows).orderBy("topic_no").collect()] == [("topic_default", "Introduction / Unsorted", 1, ["b0"]), ("b1", "H", 2, ["b2"])]
