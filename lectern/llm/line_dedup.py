@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, stored
+from lectern.llm.common import BROADCAST_IDS, discard, keep_ids, small_methods, stored
 from lectern.llm.components import connected_components
 
 #: Edited words allowed: (words + 5) div TENTH, and MOST at most.
@@ -69,19 +69,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Of a word's hash: the bits that say its block and order. Of a block's hash: how many bits stand below its number of words.
-PLACED, HASHED = (1 << 31) - 1, 48
-#: Bits of a word below those of its block.
-_BELOW = 60
+#: Of a block's hash: how many bits stand below its number of words.
+HASHED = 48
 
 
-def _blocks(placed: Column, k: Column) -> Column:
-    """Of each of ``k`` blocks how many words it holds, above a hash of them; ``placed`` holds its words in ascending order, a mark before each block."""
-    at = lambda b: F.array_position(placed, F.lit(b << _BELOW)).cast("int")
+def _first_of(block: int, k: int) -> int:
+    """The least hash of block ``block`` of ``k``: blocks are equal ranges of words' hashes, which are of 32 bits with a sign."""
+    return -(-(block << 32) // k) - (1 << 31)
+
+
+def _blocks(placed: Column, at: Column, k: Column) -> Column:
+    """Of each of ``k`` blocks how many words it holds, above a hash of them; ``placed`` holds words in ascending order, a mark before each block, ``at`` where marks stand."""
 
     def block(b: int) -> Column:
-        size = at(b + 1) - at(b) - 1
-        return F.shiftleft(size.cast("long"), HASHED).bitwiseOR(F.xxhash64(F.slice(placed, at(b) + 1, size)).bitwiseAND(F.lit((1 << HASHED) - 1)))
+        size = F.get(at, F.lit(b + 1)) - F.get(at, F.lit(b)) - 1
+        return F.shiftleft(size.cast("long"), HASHED).bitwiseOR(F.xxhash64(F.slice(placed, F.get(at, F.lit(b)) + 1, size)).bitwiseAND(F.lit((1 << HASHED) - 1)))
 
     return F.slice(F.array(*[F.when(F.lit(b) < k, block(b)) for b in range(2 * MOST + 1)]), 1, k)
 
@@ -89,19 +91,22 @@ def _blocks(placed: Column, k: Column) -> Column:
 def sketched(lines: DataFrame) -> DataFrame:
     """``id, n, sketch, rare, own, next`` of normalised lines ``id, line``: words, parity sketch, hashes of its first words in the fixed order, hashes of blocks for the edits that it allows and, where a partner may allow one more, for one more (else empty).
 
-    Sorting and cutting are functions over whole arrays, which Spark compiles; those with a body for each element it does not.
+    Sorting and cutting are functions over whole arrays, which Spark compiles; those with a body for each element it does not, so
+    bodies are few and short: a word's hash says its block by its range, its bit by its last bits.
     """
     nothing = F.array().cast("array<bigint>")
-    marks = F.array(*[F.lit(b << _BELOW) for b in range(2 * MOST + 2)])
-    order = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PLACED)) - F.shiftleft(F.least(F.length(w) + F.when(w < ":", 16).otherwise(0), F.lit(24)).cast("long"), 32))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x.bitwiseAND(F.lit(PLACED)), 25).cast("int"))
-    place = lambda k: F.transform("words", lambda x: F.shiftleft(F.pmod(x.bitwiseAND(F.lit(PLACED)), k), _BELOW).bitwiseOR(x.bitwiseAND(F.lit((1 << _BELOW) - 1))))
-    made = lines.select("id", F.sort_array(order).alias("words")).withColumn("n", F.size("words"))
+    marks = {k: F.array(*[F.lit(_first_of(b, k)).cast("int") for b in range(k)]) for k in range(3, 2 * MOST + 2, 2)}
+    order = F.transform("words", lambda w: F.hash(w) - F.shiftleft((F.length(w) + F.when(w < ":", 16).otherwise(0)).cast("long"), 32))
+    made = lines.select("id", F.split("line", " ").alias("words")).withColumn("n", F.size("words")).withColumn("hashes", F.transform("words", lambda w: F.hash(w)))
     made = made.withColumn("d", allowed("n", "n")).withColumn("more", (F.col("d") < MOST) & (F.col("n") + F.col("d") + 1 >= TENTH * (F.col("d") + 1) - 5))
-    sketch = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    rare = F.transform(F.slice("words", 1, RARE), lambda x: x.bitwiseAND(F.lit(PLACED)).cast("int"))
+    sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    rare = F.transform(F.slice(F.sort_array(order), 1, RARE), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
     for name, used, k in (("own", F.col("d") > 0, F.col("d") * 2 + 1), ("next", F.col("more"), F.col("d") * 2 + 3)):
-        made = made.withColumn(f"{name}_placed", F.when(used, F.sort_array(F.concat(place(k), marks)))).withColumn(name, F.when(used, _blocks(F.col(f"{name}_placed"), k)).otherwise(nothing))
+        mark = F.coalesce(*[F.when(k == size, x) for size, x in marks.items()])
+        placed, at = F.col(f"{name}_placed"), F.col(f"{name}_at")
+        made = made.withColumn(f"{name}_mark", F.when(used, mark)).withColumn(f"{name}_placed", F.when(used, F.sort_array(F.concat("hashes", f"{name}_mark"))))
+        place = lambda b: F.when(F.lit(b) < k, F.array_position(placed, F.get(F.col(f"{name}_mark"), F.lit(b))).cast("int")).otherwise(F.size(placed) + 1)  # noqa: B023, E731
+        made = made.withColumn(f"{name}_at", F.when(used, F.array(*[place(b) for b in range(2 * MOST + 2)]))).withColumn(name, F.when(used, _blocks(placed, at, k)).otherwise(nothing))
     return made.select("id", "n", sketch.alias("sketch"), rare.alias("rare"), "own", "next")
 
 
@@ -163,7 +168,9 @@ def _keyed(sketches: DataFrame) -> DataFrame:
     hot = blocks.where(~small & (F.pmod("id", F.lit(16)) == 0)).groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
     hot = stored(_never_empty(hot, F.lit(True).alias("hot")), "hot-blocks")
     marked = blocks.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS // 2 else hot, "key", "left")
-    outside = F.filter("rare", lambda w: F.pmod(w, F.col("d") * 2 + 1) != F.col("block"))
+    first = lambda block: F.expr(f"(shiftleft(cast({block} as bigint), 32) + 2 * d) div (2 * d + 1) - {1 << 31}")
+    marked = marked.withColumn("low", first("block").cast("int")).withColumn("high", (first("(block + 1)") - 1).cast("int"))
+    outside = F.filter("rare", lambda w: (w < F.col("low")) | (w > F.col("high")))
     by = _let(outside, lambda o: finer("key", o, F.col("d"), F.col("n") - F.col("size"), FEW))
     keys = F.when(small | F.coalesce("hot", F.lit(False)), by).otherwise(F.array("key"))
     return marked.select(F.explode(keys).alias("key"), "id", "n", "sketch", "often")
@@ -278,6 +285,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     ``row`` is 0 where ids are unique, else the hash of the row's text.
     """
+    small_methods(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     seen = stored(_lines(rows).select(*_ROW, F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2")), "lines")
     first = stored(seen.groupBy("id").agg(F.count("*").alias("often"), (F.min("id2") == F.max("id2")).alias("sole"), F.min(F.struct(*_ROW)).alias("at")), "first-lines")
