@@ -110,13 +110,6 @@ def between(batches: Iterator) -> Iterator:
         give_back()
 
 
-def small_methods(spark: SparkSession) -> None:
-    """Let generated methods too large for the JVM to compile (8000 bytes) be split, where the session has Spark's default limit of 65535: they would be interpreted."""
-    key = "spark.sql.codegen.hugeMethodLimit"
-    if spark.conf.get(key, "65535") == "65535":
-        spark.conf.set(key, "8000")
-
-
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
