@@ -1,5 +1,6 @@
 """Queries over documents whose ids lie far apart."""
 
+import hashlib
 import os
 import re
 
@@ -63,3 +64,26 @@ def test_formula_flag_on_lines_with_dashes(spark, tmp_path):
     texts = ["x = 1 – 2", "x = 1 — 2", "x = a\u00adb", "plain – words"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in queries()["formula_text_flag"](spark, str(tmp_path)).collect()} == {0, 1, 2}
+
+
+def test_every_word_of_the_benchmark_is_a_rule(spark, tmp_path):
+    """Words of one to three letters and words with other than ASCII letters, too; against plain replacing and the SQL."""
+    import duckdb
+
+    items = ["It is a Chöß, not an apple.", "Ñ e\u0301t 42 of\nit", None, ""]
+    texts = ["it is a Chöß and Ñ is it", "Ch ö an apple, e\u0301t of 142", "öß", "Zug", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    words = sorted({"It", "is", "a", "Chöß", "not", "an", "apple", "Ñ", "e\u0301t", "42", "of", "it"}, key=lambda w: (len(w), w.encode()))
+
+    def brute(text):
+        for n, w in enumerate(words, 1):
+            text = text and text.replace(w, f"{w[1:]}{n}")
+        return text if text is None else hashlib.sha256(text.encode()).hexdigest()
+
+    found = queries()["rule_replace"](spark, str(tmp_path)).toPandas()
+    assert rows(found)[1] == sorted((str(k), str(brute(x))) for k, x in enumerate(texts))
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert rows(found) == rows(con.execute(oracle_sql()["rule_replace"]).df())
