@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern.functions import rules as sets
 from lectern.functions import text as t
 from lectern.functions.rules import RuleSet, folded, needle
 from lectern.operators import lines, recognise, rules
@@ -147,3 +148,27 @@ def test_texts_come_in_small_batches(spark):
         assert spark.conf.get(key) == "1000" and [r.text for r in out.collect()] == ["cb"]
     finally:
         spark.conf.set(key, kept)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.text("abc-\u0301", min_size=1, max_size=3), st.text("abc1- ", max_size=3), st.sampled_from(["exact", "exact", "word"]), st.sampled_from([True, True, False])), max_size=12), st.lists(st.text("abcABC-1é\u0301 .", max_size=12), max_size=8), st.sampled_from([0, 2, 64]), st.sampled_from([0, 500, 10_000]))
+def test_pieces_in_order(found, texts, short, kept):
+    """Pieces on their own, short and long, kept and dropped: the outcome is that of the rules one after another on the whole text."""
+    before = sets.SHORT, sets.KEPT
+    sets.SHORT, sets.KEPT = short, kept
+    try:
+        own = RuleSet(found)
+        for text in [*texts, " ".join(texts), "".join(texts)] * 2:
+            assert own.replaced(text) == one_by_one(found, text)
+    finally:
+        sets.SHORT, sets.KEPT = before
+
+
+def test_words_that_come_again_are_looked_at_once():
+    found = [("ab", "b1", "exact", True), ("b", "c", "exact", True), ("c", "", "word", False)]
+    own, asked = RuleSet(found), []
+    plainly = own._in_order
+    own._in_order = lambda text: asked.append(text) or plainly(text)
+    text = "abc, abc. c\nabc d " * 50
+    assert own.replaced(text) == one_by_one(found, text)
+    assert sorted(asked) == ["abc", "c", "d"]
